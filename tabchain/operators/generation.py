@@ -64,6 +64,20 @@ def _drawn_order(entries: Column, keep: Column, *key) -> Column:
     return F.transform(F.slice(F.array_sort(keyed), F.lit(1), keep), lambda s: s["e"])
 
 
+def sample_values(df: DataFrame, key: str, table: str, columns: int, seed: int) -> DataFrame:
+    """Drawn columns without replacement, and one drawn cell of each."""
+    t, k = F.col(table), (seed, F.col(key))
+    chosen = _drawn_order(owned_columns([t]), F.least(F.lit(columns), F.size(t["columns"])), *k)
+    drawn = df.withColumn("_drawn", chosen)
+    value = lambda e, j: F.get(F.get(t["rows"], draw_below(F.size(t["rows"]), *k, "row", j)), e["pos"])
+    return drawn.withColumns(
+        {
+            "drawn_columns": F.transform("_drawn", lambda e: e["col"]),
+            "drawn_values": F.transform("_drawn", value),
+        }
+    ).drop("_drawn")
+
+
 def generate_conditions(
     tables: list[Column],
     seed: int,

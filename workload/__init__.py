@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("chains", "nested", "texts")
+MODULES = ("chains", "nested", "texts", "generated", "corpus_jobs")
 
 
 def all_queries() -> dict:
