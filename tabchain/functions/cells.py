@@ -8,9 +8,9 @@ expression.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import DataFrame, types as T
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from tabchain.functions.sqltext import exists, forall, let, lit, transform
 
 TABLE_DDL = "struct<columns:array<string>,rows:array<array<string>>>"
 SPLIT_JSON_DDL = "columns array<string>, data array<array<string>>"
@@ -26,163 +26,166 @@ TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 NULL_MODES = ("empty", "literal")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once and use it many times inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def evaluate_once(df: DataFrame, record: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Add the fields of a struct expression that is costly to compute.
+
+    The struct is evaluated by a one-row generator. Filters and projections
+    above it read its fields, and the optimizer cannot copy the expression
+    into each of them.
+    """
+    kept = [f"`{c}`" for c in df.columns if c not in drop]
+    return df.selectExpr(*kept, f"inline(array({record}))")
 
 
-def strip(text: Column) -> Column:
+def strip(text: str) -> str:
     """Remove all leading and trailing whitespace, not only blanks."""
-    return F.btrim(text, F.lit(STRIP_CHARS))
+    return f"btrim({text}, {lit(STRIP_CHARS)})"
 
 
-def number_text(value: Column) -> Column:
+def number_text(value: str) -> str:
     """Text of a double: plain digits up to 16 places, exponent form beyond.
 
-    ``cast('string')`` switches to exponent form at ten million already, which
+    A cast to string switches to exponent form at ten million already, which
     would make the text of one number depend on its neighbours' size.
     """
-    plain = value.cast("string")
-    sign = F.when(plain.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    mantissa = F.regexp_extract(plain, r"^-?([0-9.]+)E", 1)
-    exponent = F.regexp_extract(plain, r"E(-?\d+)$", 1).try_cast("int")
-    fraction = F.regexp_replace(F.split_part(mantissa, F.lit("."), F.lit(2)), "^0$", "")
-    digits = F.concat(F.split_part(mantissa, F.lit("."), F.lit(1)), fraction)
-    size = F.length(digits)
-    large = F.when(
-        size <= exponent + 1,
-        F.concat(digits, F.repeat(F.lit("0"), exponent + 1 - size), F.lit(".0")),
-    ).otherwise(
-        F.concat(
-            F.substring(digits, F.lit(1), exponent + 1),
-            F.lit("."),
-            F.substring(digits, exponent + 2, size),
+
+    def expand(p: str) -> str:
+        sign = f"if({p} LIKE '-%', '-', '')"
+        # Digits without the point, and the power of ten of the first digit.
+        parts = let(
+            f"regexp_extract({p}, '^-?([0-9]+[.][0-9]+)E', 1)",
+            lambda m: (
+                f"named_struct('d', concat(split_part({m}, '.', 1), regexp_replace(split_part({m}, '.', 2), '^0$', '')), "
+                f"'e', try_cast(regexp_extract({p}, 'E(-?[0-9]+)$', 1) AS int))"
+            ),
+        )
+        large = lambda s: (
+            f"if(length({s}.d) <= {s}.e + 1, concat(rpad({s}.d, {s}.e + 1, '0'), '.0'), "
+            f"concat(substr({s}.d, 1, {s}.e + 1), '.', substr({s}.d, {s}.e + 2)))"
+        )
+        small = lambda s: f"concat('0.', repeat('0', -{s}.e - 1), {s}.d)"
+        scientific = lambda s: (
+            f"concat(substr({s}.d, 1, 1), if(length({s}.d) > 1, concat('.', substr({s}.d, 2)), ''), "
+            f"'e', if({s}.e < 0, '-', '+'), if(abs({s}.e) < 10, '0', ''), abs({s}.e))"
+        )
+        expanded = let(
+            parts,
+            lambda s: (
+                f"concat({sign}, CASE WHEN {s}.e >= 0 AND {s}.e < 16 THEN {large(s)} "
+                f"WHEN {s}.e < 0 AND {s}.e >= -4 THEN {small(s)} ELSE {scientific(s)} END)"
+            ),
+        )
+        return (
+            f"CASE {p} WHEN 'NaN' THEN 'nan' WHEN 'Infinity' THEN 'inf' WHEN '-Infinity' THEN '-inf' "
+            f"ELSE if({p} LIKE '%E%', {expanded}, {p}) END"
         )
-    )
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    scientific = F.concat(
-        F.substring(digits, 1, 1),
-        F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(""),
-        F.lit("e"),
-        F.when(exponent < 0, "-").otherwise("+"),
-        F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")),
-    )
-    return (
-        F.when(~plain.contains("E"), F.when(plain == "NaN", "nan").when(plain == "Infinity", "inf").when(plain == "-Infinity", "-inf").otherwise(plain))
-        .when((exponent >= 0) & (exponent < 16), F.concat(sign, large))
-        .when((exponent < 0) & (exponent >= -4), F.concat(sign, small))
-        .otherwise(F.concat(sign, scientific))
-    )
 
+    return let(f"CAST({value} AS string)", expand)
 
-def cell_text(value: Column, data_type: T.DataType) -> Column:
+
+def cell_text(column: str, data_type: T.DataType) -> str:
     """Text of one typed cell: timestamps formatted, numbers plain, rest cast."""
     if isinstance(data_type, T.TimestampNTZType):
         # Already wall-clock time: no detour over the session time zone.
-        return F.substring(value.cast("string"), 1, 19)
+        return f"substr(CAST({column} AS string), 1, 19)"
     if isinstance(data_type, T.TimestampType):
-        return F.date_format(value, TIMESTAMP_FORMAT)
+        return f"date_format({column}, {lit(TIMESTAMP_FORMAT)})"
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return number_text(value)
+        return number_text(column)
     if isinstance(data_type, T.BooleanType):
-        return F.initcap(value.cast("string"))
-    return value.cast("string")
+        return f"initcap(CAST({column} AS string))"
+    return f"CAST({column} AS string)"
+
+
+def text_cells(schema: T.StructType, columns: list[str]) -> str:
+    """The named columns of a typed DataFrame as one array of cell texts."""
+    return f"array({', '.join(cell_text(f'`{c}`', schema[c].dataType) for c in columns)})"
 
 
-def text_cells(df: DataFrame, columns: list[str]) -> Column:
-    """All named columns of a typed DataFrame as one array of cell texts."""
-    return F.array(*[cell_text(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns])
+def text_array(texts: list[str] | tuple[str, ...]) -> str:
+    """Array of fixed texts."""
+    return f"CAST(array({', '.join(lit(t) for t in texts)}) AS array<string>)"
 
 
-def table_value(columns: Column, rows: Column) -> Column:
-    return F.struct(columns.alias("columns"), rows.alias("rows")).cast(TABLE_DDL)
+def table_value(columns: str, rows: str) -> str:
+    return f"CAST(named_struct('columns', {columns}, 'rows', {rows}) AS {TABLE_DDL})"
 
 
-def empty_table() -> Column:
-    return table_value(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
+def empty_table() -> str:
+    return table_value("array()", "array()")
 
 
-def table_from_split_json(text: Column) -> Column:
+def table_from_split_json(text: str) -> str:
     """Nested table from split-oriented JSON; broken JSON gives NULL.
 
     Cells keep the JSON literal as text, without type inference. Floats that
     the JSON reader prints in exponent form are printed plain again.
     """
-    parsed = F.from_json(text, SPLIT_JSON_DDL)
-    is_exponent = lambda x: x.rlike(r"^-?[0-9]\.[0-9]+E-?[0-9]+$")
-    plain = lambda rows: F.when(
-        F.exists(rows, lambda r: F.exists(r, is_exponent)),
-        F.transform(
+    is_exponent = lambda x: f"{x} RLIKE '^-?[0-9][.][0-9]+E-?[0-9]+$'"
+    plain = lambda rows: (
+        f"if({exists(rows, lambda r: exists(r, is_exponent))}, "
+        + transform(
             rows,
-            lambda r: F.transform(
-                r, lambda x: F.when(is_exponent(x), number_text(x.try_cast("double"))).otherwise(x)
-            ),
-        ),
-    ).otherwise(rows)
+            lambda r: transform(r, lambda x: f"if({is_exponent(x)}, {number_text(f'try_cast({x} AS double)')}, {x})"),
+        )
+        + f", {rows})"
+    )
     return let(
-        parsed,
-        lambda t: F.when(
-            t["columns"].isNotNull() & t["data"].isNotNull(), table_value(t["columns"], plain(t["data"]))
-        ),
+        f"from_json({text}, {lit(SPLIT_JSON_DDL)})",
+        lambda t: f"if({t}.columns IS NOT NULL AND {t}.data IS NOT NULL, {table_value(f'{t}.columns', plain(f'{t}.data'))}, NULL)",
     )
 
 
-def dedup_names(columns: Column) -> Column:
+def dedup_names(columns: str) -> str:
     """Repeated column names become ``name -1``, ``name -2`` by position."""
-    renamed = F.transform(
+    count = lambda names, c: f"size(filter({names}, n -> n = {c}))"
+    renamed = transform(
         columns,
-        lambda c, i: F.when(
-            F.size(F.filter(columns, lambda x: x == c)) > 1,
-            F.concat(
-                c,
-                F.lit(" -"),
-                F.size(F.filter(F.slice(columns, F.lit(1), i + 1), lambda x: x == c)).cast("string"),
-            ),
-        ).otherwise(c),
+        lambda c, i: f"if({count(columns, c)} > 1, concat({c}, ' -', {count(f'slice({columns}, 1, {i} + 1)', c)}), {c})",
     )
-    return F.when(F.size(F.array_distinct(columns)) == F.size(columns), columns).otherwise(renamed)
+    return f"if(size(array_distinct({columns})) = size({columns}), {columns}, {renamed})"
 
 
-def _fill_literal(rows: Column) -> Column:
+def _fill_literal(rows: str) -> str:
     """NULL cells as text: ``nan`` in numeric columns, ``None`` elsewhere."""
 
-    def is_numeric(j: Column) -> Column:
-        return F.exists(rows, lambda r: F.get(r, j).isNotNull()) & F.forall(
-            rows, lambda r: F.get(r, j).isNull() | F.get(r, j).try_cast("double").isNotNull()
-        )
+    def is_numeric(j: str) -> str:
+        some = exists(rows, lambda r: f"get({r}, {j}) IS NOT NULL")
+        every = forall(rows, lambda r: f"get({r}, {j}) IS NULL OR try_cast(get({r}, {j}) AS double) IS NOT NULL")
+        return f"{some} AND {every}"
 
-    marks = F.transform(
-        F.get(rows, F.lit(0)), lambda _, j: F.when(is_numeric(j), F.lit("nan")).otherwise(F.lit("None"))
-    )
+    marks = transform(f"get({rows}, 0)", lambda _, j: f"if({is_numeric(j)}, 'nan', 'None')")
     return let(
         marks,
-        lambda m: F.transform(rows, lambda r: F.transform(r, lambda x, j: F.coalesce(x, F.get(m, j)))),
+        lambda m: transform(rows, lambda r: transform(r, lambda x, j: f"coalesce({x}, get({m}, {j}))")),
     )
 
 
-def clean_table(table: Column, null_mode: str = "empty") -> Column:
+def clean_table(table: str, null_mode: str = "empty") -> str:
     """Cleaned TABLE: unique column names and no NULL cell.
 
     A table without rows is left as it is.
     """
     if null_mode not in NULL_MODES:
         raise ValueError(f"null_mode must be one of {NULL_MODES}, not {null_mode!r}")
-    rows = table["rows"]
-    if null_mode == "empty":
-        filled = F.transform(rows, lambda r: F.transform(r, lambda x: F.coalesce(x, F.lit(""))))
-    else:
-        filled = _fill_literal(rows)
-    has_null = F.exists(rows, lambda r: F.exists(r, lambda x: x.isNull()))
-    return F.when(
-        F.size(rows) > 0,
-        table_value(dedup_names(table["columns"]), F.when(has_null, filled).otherwise(rows)),
-    ).otherwise(table)
+
+    def cleaned(t: str) -> str:
+        rows = f"{t}.rows"
+        if null_mode == "empty":
+            filled = transform(rows, lambda r: transform(r, lambda x: f"coalesce({x}, '')"))
+        else:
+            filled = _fill_literal(rows)
+        has_null = exists(rows, lambda r: exists(r, lambda x: f"{x} IS NULL"))
+        new = table_value(dedup_names(f"{t}.columns"), f"if({has_null}, {filled}, {rows})")
+        return f"if(size({rows}) > 0, {new}, {t})"
+
+    return let(table, cleaned)
 
 
-def clean_tables(tables: Column, null_mode: str = "empty") -> Column:
-    return F.transform(tables, lambda t: clean_table(t, null_mode))
+def clean_tables(tables: str, null_mode: str = "empty") -> str:
+    return transform(tables, lambda t: clean_table(t, null_mode))
 
 
-def latin1_text(binary: Column) -> Column:
+def latin1_text(binary: str) -> str:
     """Text of bytes stored as ISO-8859-1."""
-    return F.decode(binary, "ISO-8859-1")
+    return f"decode({binary}, 'ISO-8859-1')"

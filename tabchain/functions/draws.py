@@ -6,24 +6,23 @@ of partitions or another engine gives the same value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from tabchain.functions.sqltext import lit
 
 #: Draws are uniform over 48 bits.
 DRAW_BITS = 48
 
 
-def draw(*parts: Column | str | int) -> Column:
-    """Integer in ``[0, 2**48)`` from the hash of all parts."""
-    columns = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    digest = F.md5(F.concat_ws("/", *[c.cast("string") for c in columns]))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")
+def draw(*parts: str | int) -> str:
+    """Integer in ``[0, 2**48)`` from the hash of all parts (SQL expressions)."""
+    texts = ", ".join(f"CAST({p} AS string)" for p in parts)
+    return f"CAST(conv(substr(md5(concat_ws('/', {texts})), 1, 12), 16, 10) AS bigint)"
 
 
-def draw_below(limit: Column, *parts: Column | str | int) -> Column:
+def draw_below(limit: str | int, *parts: str | int) -> str:
     """Integer in ``[0, limit)``; NULL when the limit is zero."""
-    return F.try_mod(draw(*parts), F.nullif(limit.cast("bigint"), F.lit(0).cast("bigint"))).cast("int")
+    return f"CAST(try_mod({draw(*parts)}, nullif(CAST({limit} AS bigint), 0L)) AS int)"
 
 
-def draw_item(items: list[str], *parts: Column | str | int) -> Column:
+def draw_item(items: tuple[str, ...], *parts: str | int) -> str:
     """One of a fixed list of texts."""
-    return F.get(F.array(*[F.lit(i) for i in items]), draw_below(F.lit(len(items)), *parts))
+    return f"get(array({', '.join(lit(i) for i in items)}), {draw_below(len(items), *parts)})"

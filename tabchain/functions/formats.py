@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
-
-from tabchain.functions.cells import let, strip
+from tabchain.functions.cells import strip
 from tabchain.functions.linear import join_query, linear_name
+from tabchain.functions.sqltext import let, lit, struct, transform, zip_with
 
 FORMATS = ("latex", "html", "markdown")
 
@@ -20,154 +19,116 @@ HTML_ESCAPES = (
     ("\r", "\\r"),
     ("\n", "\\n"),
 )
+# The frame of an HTML table.
+HTML_START = (
+    '<table border="1" class="dataframe">\n  <thead>\n'
+    '    <tr style="text-align: right;">\n      <th></th>\n'
+)
+HTML_BODY = "    </tr>\n  </thead>\n  <tbody>\n"
+HTML_END = "  </tbody>\n</table>"
 
 
-def html_cell(value: Column) -> Column:
+def html_cell(value: str) -> str:
     escaped = reduce(
-        lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])),
+        lambda text, pair: f"replace({text}, {lit(pair[0])}, {lit(pair[1])})",
         HTML_ESCAPES,
-        F.coalesce(value, F.lit("")),
+        f"coalesce({value}, '')",
     )
     return strip(escaped)
 
 
-def html_table(table: Column) -> Column:
+def _html_cells(cells: str, tag: str) -> str:
+    return f"array_join({transform(cells, lambda x: f'''concat('      <{tag}>', {html_cell(x)}, {lit(f'</{tag}>' + chr(10))})''')}, '')"
+
+
+def html_table(table: str) -> str:
     """HTML table with a leading 0-based index column."""
-    head = F.array_join(
-        F.transform(
-            table["columns"], lambda c: F.concat(F.lit("      <th>"), html_cell(c), F.lit("</th>\n"))
-        ),
-        "",
+    row = lambda r, i: (
+        f"concat({lit('    <tr>' + chr(10) + '      <th>')}, CAST({i} AS string), {lit('</th>' + chr(10))}, "
+        f"{_html_cells(r, 'td')}, {lit('    </tr>' + chr(10))})"
     )
-    body = F.array_join(
-        F.transform(
-            table["rows"],
-            lambda r, i: F.concat(
-                F.lit("    <tr>\n      <th>"),
-                i.cast("string"),
-                F.lit("</th>\n"),
-                F.array_join(
-                    F.transform(
-                        r, lambda x: F.concat(F.lit("      <td>"), html_cell(x), F.lit("</td>\n"))
-                    ),
-                    "",
-                ),
-                F.lit("    </tr>\n"),
-            ),
-        ),
-        "",
-    )
-    return F.concat(
-        F.lit(
-            '<table border="1" class="dataframe">\n  <thead>\n'
-            '    <tr style="text-align: right;">\n      <th></th>\n'
+    return let(
+        table,
+        lambda t: (
+            f"concat({lit(HTML_START)}, {_html_cells(f'{t}.columns', 'th')}, {lit(HTML_BODY)}, "
+            f"array_join({transform(f'{t}.rows', row)}, ''), {lit(HTML_END)})"
         ),
-        head,
-        F.lit("    </tr>\n  </thead>\n  <tbody>\n"),
-        body,
-        F.lit("  </tbody>\n</table>"),
     )
 
 
-def latex_table(table: Column) -> Column:
+def latex_table(table: str) -> str:
     """LaTeX tabular with rules and a leading 0-based index column."""
-    line = lambda cells: F.concat(F.array_join(cells, " & ", ""), F.lit(" \\\\\n"))
-    return F.concat(
-        F.lit("\\begin{tabular}{l"),
-        F.repeat(F.lit("l"), F.size(table["columns"])),
-        F.lit("}\n\\toprule\n & "),
-        line(table["columns"]),
-        F.lit("\\midrule\n"),
-        F.array_join(
-            F.transform(
-                table["rows"], lambda r, i: F.concat(i.cast("string"), F.lit(" & "), line(r))
-            ),
-            "",
+    line = lambda cells: f"concat(array_join({cells}, ' & ', ''), {lit(' ' + chr(92) * 2 + chr(10))})"
+    row = lambda r, i: f"concat(CAST({i} AS string), ' & ', {line(r)})"
+    start, head = lit("\\begin{tabular}{l"), lit("}\n\\toprule\n & ")
+    rule, end = lit("\\midrule\n"), lit("\\bottomrule\n\\end{tabular}\n")
+    return let(
+        table,
+        lambda t: (
+            f"concat({start}, repeat('l', size({t}.columns)), {head}, {line(f'{t}.columns')}, {rule}, "
+            f"array_join({transform(f'{t}.rows', row)}, ''), {end})"
         ),
-        F.lit("\\bottomrule\n\\end{tabular}\n"),
     )
 
 
-def markdown_table(table: Column, padded: bool = False) -> Column:
+def markdown_table(table: str, padded: bool = False) -> str:
     """Pipe table with a leading 0-based index column.
 
     ``padded`` aligns the cells: texts to the left, the index to the right.
     """
-    columns, rows = table["columns"], table["rows"]
+    newline = lit("\n")
     if not padded:
-        line = lambda first, cells: F.concat(
-            F.lit("| "), first, F.lit(" | "), F.array_join(cells, " | ", ""), F.lit(" |")
-        )
-        return F.concat_ws(
-            "\n",
-            line(F.lit(""), columns),
-            F.concat(F.lit("|---:|"), F.repeat(F.lit(":---|"), F.size(columns))),
-            F.when(
-                F.size(rows) > 0,
-                F.array_join(F.transform(rows, lambda r, i: line(i.cast("string"), r)), "\n"),
-            ),
-        )
-    texts = F.transform(rows, lambda r: F.transform(r, lambda x: F.coalesce(x, F.lit(""))))
-    index_width = F.greatest(F.lit(2), F.length((F.size(rows) - 1).cast("string")))
-    shape = F.struct(
-        texts.alias("rows"),
-        index_width.alias("index"),
-        F.transform(
-            columns,
-            lambda c, j: F.greatest(
-                F.length(c) + 2,
-                F.coalesce(F.array_max(F.transform(texts, lambda r: F.length(F.get(r, j)))), F.lit(0)),
+        line = lambda first, cells: f"concat('| ', {first}, ' | ', array_join({cells}, ' | ', ''), ' |')"
+        rows = lambda t: transform(f"{t}.rows", lambda r, i: line(f"CAST({i} AS string)", r))
+        return let(
+            table,
+            lambda t: (
+                f"concat_ws({newline}, {line(lit(''), f'{t}.columns')}, "
+                f"concat('|---:|', repeat(':---|', size({t}.columns))), {rows(t)})"
             ),
-        ).alias("widths"),
-    )
-    pad = lambda text, width: F.rpad(text, F.greatest(width, F.length(text)), F.lit(" "))
-
-    def aligned(s: Column) -> Column:
-        line = lambda first, cells: F.concat(
-            F.lit("| "),
-            F.lpad(first, s["index"], F.lit(" ")),
-            F.lit(" | "),
-            F.array_join(F.zip_with(cells, s["widths"], pad), " | "),
-            F.lit(" |"),
         )
-        return F.concat_ws(
-            "\n",
-            line(F.lit(""), columns),
-            F.concat(
-                F.lit("|"),
-                F.repeat(F.lit("-"), s["index"] + 1),
-                F.lit(":|"),
-                F.array_join(
-                    F.transform(s["widths"], lambda w: F.concat(F.lit(":"), F.repeat(F.lit("-"), w + 1))),
-                    "|",
-                ),
-                F.lit("|"),
-            ),
-            F.when(
-                F.size(s["rows"]) > 0,
-                F.array_join(F.transform(s["rows"], lambda r, i: line(i.cast("string"), r)), "\n"),
-            ),
+    pad = lambda text, width: f"rpad({text}, greatest({width}, length({text})), ' ')"
+
+    def widths(t: str) -> str:
+        longest = lambda j: f"array_max({transform(f'{t}.rows', lambda r: f'''length(coalesce(get({r}, {j}), ''))''')})"
+        return transform(f"{t}.columns", lambda c, j: f"greatest(length({c}) + 2, coalesce({longest(j)}, 0))")
+
+    def aligned(s: str) -> str:
+        cells = lambda c: f"array_join({zip_with(c, f'{s}.widths', lambda x, w: pad(f'''coalesce({x}, '')''', w))}, ' | ')"
+        line = lambda first, c: f"concat('| ', lpad({first}, {s}.first, ' '), ' | ', {cells(c)}, ' |')"
+        rule = transform(f"{s}.widths", lambda w: f"concat(':', repeat('-', {w} + 1))")
+        return (
+            f"concat_ws({newline}, {line(lit(''), f'{s}.t.columns')}, "
+            f"concat('|', repeat('-', {s}.first + 1), ':|', array_join({rule}, '|'), '|'), "
+            + transform(f"{s}.t.rows", lambda r, i: line(f"CAST({i} AS string)", r))
+            + ")"
         )
 
-    return let(shape, aligned)
+    return let(
+        table,
+        lambda t: let(
+            struct(t=t, first=f"greatest(2, length(CAST(size({t}.rows) - 1 AS string)))", widths=widths(t)),
+            aligned,
+        ),
+    )
 
 
-def render_table(table: Column, table_type: str) -> Column:
+def render_table(table: str, table_type: str) -> str:
     if table_type not in FORMATS:
         raise ValueError(f"table type must be one of {FORMATS}, not {table_type!r}")
     return {"html": html_table, "latex": latex_table, "markdown": markdown_table}[table_type](table)
 
 
-def rendered_source(query: Column, rendered: Column, names: Column) -> Column:
+def rendered_source(query: str, rendered: str, names: str) -> str:
     """Query and ``<table_name> : n <rendered>`` parts; empty tables stay."""
-    parts = F.zip_with(rendered, names, lambda t, n: F.concat_ws(" ", linear_name(n), t))
-    return join_query(query, F.array_join(parts, " "))
+    parts = zip_with(rendered, names, lambda t, n: f"concat_ws(' ', {linear_name(n)}, {t})")
+    return join_query(query, f"array_join({parts}, ' ')")
 
 
-def format_column(side: str, table_type: str) -> Column:
-    """The source or target column of one table type."""
+def format_column(side: str, table_type: str) -> str:
+    """Name of the source or target column of one table type."""
     if side not in ("source", "target"):
         raise ValueError(f"side must be 'source' or 'target', not {side!r}")
     if table_type not in FORMATS:
         raise ValueError(f"table type must be one of {FORMATS}, not {table_type!r}")
-    return F.col(f"{side}_{table_type}")
+    return f"{side}_{table_type}"

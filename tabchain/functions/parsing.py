@@ -1,106 +1,97 @@
 """Parsing linear text back into TABLE values.
 
-Every parser is one column expression; text that does not fit the form gives
-a ``reason`` instead of an exception, so malformed samples become reject rows.
+Every parser is one expression; text that does not fit the form gives a
+``reason`` instead of an exception, so malformed samples become reject rows.
 Rows are cut at `` row <digits> : `` and only that prefix is removed, so a
 cell may hold ``": "`` or the word "row".
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
-from tabchain.functions.cells import let, strip, table_value
+from tabchain.functions.cells import empty_table, strip, table_value
+from tabchain.functions.sqltext import exists, forall, let, lit, struct, tail, transform
 
 # The marks that separate the parts of linear text.
-ROW_PATTERN = r" row \d+ : "
+ROW_PATTERN = " row [0-9]+ : "
+CELL_PATTERN = " [|] "
 HEADER_SPLIT = " col : "
 TABLE_SPLIT = " <table_name> "
 
 
-def _cells(text: Column) -> Column:
-    return F.transform(F.split(text, r" \| "), strip)
+def _cells(text: str) -> str:
+    return transform(f"split({text}, {lit(CELL_PATTERN)})", strip)
 
 
-def _table(body: Column) -> Column:
+def _table(body: str) -> str:
     """TABLE from the text after the header mark: header, then numbered rows."""
-    pieces = F.split(F.concat(body, F.lit(" ")), ROW_PATTERN)
-    return let(
-        pieces,
-        lambda p: table_value(
-            _cells(F.get(p, F.lit(0))), F.transform(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), _cells)
-        ),
-    )
+    pieces = f"split(concat({body}, ' '), {lit(ROW_PATTERN)})"
+    return let(pieces, lambda p: table_value(_cells(f"get({p}, 0)"), transform(tail(p), _cells)))
+
 
+def _header_parts(text: str) -> str:
+    """Text before and after the first header mark."""
+    return f"split({text}, {lit(HEADER_SPLIT)}, 2)"
 
-def _widths_fit(table: Column) -> Column:
-    return F.forall(table["rows"], lambda r: F.size(r) == F.size(table["columns"]))
 
+def _after_header(parts: str) -> str:
+    return f"if(size({parts}) = 2, {_table(f'get({parts}, 1)')}, NULL)"
 
-def parse_target(text: Column) -> Column:
+
+def _widths_fit(table: str) -> str:
+    return forall(f"{table}.rows", lambda r: f"size({r}) = size({table}.columns)")
+
+
+def parse_target(text: str) -> str:
     """``col : a | b row 1 : …`` to TABLE; NULL when there is no header.
 
     A header without rows gives a table without rows; empty text gives a table
     without columns and rows.
     """
-    padded = F.concat(F.lit(" "), text)
-    parts = F.split(padded, HEADER_SPLIT, 2)
-    table = let(parts, lambda p: F.when(F.size(p) == 2, _table(F.get(p, F.lit(1)))))
-    empty = table_value(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
-    return F.when(strip(text) == "", empty).otherwise(table)
+    table = let(_header_parts(f"concat(' ', {text})"), _after_header)
+    return f"if({strip(text)} = '', {empty_table()}, {table})"
 
 
-def parse_single_source(text: Column) -> Column:
+def parse_single_source(text: str) -> str:
     """Single-table source to ``struct(query, table, reason)``.
 
     ``reason`` is NULL when the text fits the form.
     """
-    parts = F.split(F.concat(F.lit(" "), text), HEADER_SPLIT, 2)
     parsed = let(
-        parts,
-        lambda p: F.struct(
-            strip(F.get(p, F.lit(0))).alias("query"),
-            F.when(F.size(p) == 2, _table(F.get(p, F.lit(1)))).alias("table"),
-        ),
+        _header_parts(f"concat(' ', {text})"),
+        lambda p: struct(query=strip(f"get({p}, 0)"), table=_after_header(p)),
     )
     return let(
         parsed,
-        lambda s: F.struct(
-            s["query"].alias("query"),
-            s["table"].alias("table"),
-            F.when(s["table"].isNull(), F.lit("no header"))
-            .when(~_widths_fit(s["table"]), F.lit("row width"))
-            .alias("reason"),
+        lambda s: struct(
+            query=f"{s}.query",
+            table=f"{s}.table",
+            reason=f"CASE WHEN {s}.table IS NULL THEN 'no header' WHEN NOT {_widths_fit(f'{s}.table')} THEN 'row width' END",
         ),
     )
 
 
-def parse_multi_source(text: Column) -> Column:
+def parse_multi_source(text: str) -> str:
     """Multi-table source to ``struct(query, table_names, tables, reason)``."""
-    pieces = F.split(F.concat(F.lit(" "), text), TABLE_SPLIT)
     one = lambda piece: let(
-        F.split(piece, HEADER_SPLIT, 2),
-        lambda p: F.struct(
-            strip(F.regexp_replace(F.get(p, F.lit(0)), "^: ", "")).alias("name"),
-            F.when(F.size(p) == 2, _table(F.get(p, F.lit(1)))).alias("table"),
+        _header_parts(piece),
+        lambda p: struct(
+            name=strip(f"regexp_replace(get({p}, 0), '^: ', '')"), table=_after_header(p)
         ),
     )
     parsed = let(
-        pieces,
-        lambda p: F.struct(
-            strip(F.get(p, F.lit(0))).alias("query"),
-            F.transform(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), one).alias("parts"),
-        ),
+        f"split(concat(' ', {text}), {lit(TABLE_SPLIT)})",
+        lambda p: struct(query=strip(f"get({p}, 0)"), parts=transform(tail(p), one)),
     )
     return let(
         parsed,
-        lambda s: F.struct(
-            s["query"].alias("query"),
-            F.transform(s["parts"], lambda t: t["name"]).alias("table_names"),
-            F.transform(s["parts"], lambda t: t["table"]).alias("tables"),
-            F.when(F.size(s["parts"]) == 0, F.lit("no table"))
-            .when(F.exists(s["parts"], lambda t: t["table"].isNull()), F.lit("no header"))
-            .when(F.exists(s["parts"], lambda t: ~_widths_fit(t["table"])), F.lit("row width"))
-            .alias("reason"),
+        lambda s: struct(
+            query=f"{s}.query",
+            table_names=f"{s}.parts.name",
+            tables=f"{s}.parts.table",
+            reason=(
+                f"CASE WHEN size({s}.parts) = 0 THEN 'no table' "
+                f"WHEN {exists(f'{s}.parts', lambda t: f'{t}.table IS NULL')} THEN 'no header' "
+                f"WHEN {exists(f'{s}.parts', lambda t: f'''NOT {_widths_fit(f'{t}.table')}''')} THEN 'row width' END"
+            ),
         ),
     )

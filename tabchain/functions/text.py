@@ -1,10 +1,9 @@
-"""Text functions on queries, chains and cells."""
+"""Expressions on queries, chains and cells."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
-from tabchain.functions.cells import let, strip
+from tabchain.functions.cells import strip
+from tabchain.functions.sqltext import fold, let, lit, struct, transform, where
 
 # Chain marks and the keyword patterns of the query profile.
 CHAIN_ARROW = "->"
@@ -20,88 +19,72 @@ BASELINE_TEMPLATE = (
 )
 
 
-def model_text(text: Column) -> Column:
+def model_text(text: str) -> str:
     """Stripped, lower-cased text without double quotes."""
-    return F.replace(F.lower(strip(text)), F.lit('"'), F.lit(""))
+    return f"replace(lower({strip(text)}), '\"', '')"
 
 
-def repair_query(query: Column) -> Column:
+def repair_query(query: str) -> str:
     """Collapse whitespace and close up ``! =``, ``> =`` and ``< =``."""
-    collapsed = strip(F.regexp_replace(query, r"\s+", " "))
-    return F.regexp_replace(collapsed, "(^| )([!<>]) =(?= |$)", "$1$2=")
+    collapsed = strip(f"regexp_replace({query}, {lit('\\s+')}, ' ')")
+    return f"regexp_replace({collapsed}, '(^| )([!<>]) =(?= |$)', '$1$2=')"
 
 
-def keyword_count(query: Column, pattern: str) -> Column:
-    return F.regexp_count(query, F.lit(pattern))
+def keyword_count(query: str, pattern: str) -> str:
+    return f"regexp_count({query}, {lit(pattern)})"
 
 
-def keyword_spans(query: Column, pattern: str, width: int) -> Column:
+def keyword_spans(query: str, pattern: str, width: int) -> str:
     """0-based ``(start, end)`` of each match of a fixed-width pattern."""
-    pieces = F.split(query, pattern)
-    starts = F.aggregate(
-        F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))),
-        F.array().cast("array<int>"),
-        lambda acc, piece: F.concat(
-            acc,
-            F.array(F.coalesce(F.element_at(F.when(F.size(acc) > 0, acc), -1) + width, F.lit(0)) + F.length(piece)),
-        ),
+    ends = lambda acc, piece: f"concat({acc}, array(coalesce(get({acc}, size({acc}) - 1) + {width}, 0) + length({piece})))"
+    starts = let(
+        f"split({query}, {lit(pattern)})",
+        lambda p: fold(f"slice({p}, 1, greatest(size({p}) - 1, 0))", "CAST(array() AS array<int>)", ends, lambda a: a),
     )
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), (s + width).alias("end")))
+    return transform(starts, lambda s: struct(start=s, end=f"{s} + {width}"))
 
 
-def select_spans(query: Column) -> Column:
+def select_spans(query: str) -> str:
     return keyword_spans(query, SELECT_PATTERN, 7)
 
 
-def from_spans(query: Column) -> Column:
+def from_spans(query: str) -> str:
     return keyword_spans(query, FROM_PATTERN, 4)
 
 
-def next_action(chain: Column) -> Column:
+def next_action(chain: str) -> str:
     """First open step of a chain text."""
-    return let(
-        F.split(chain, CHAIN_ARROW),
-        lambda p: strip(F.get(p, F.when(chain.contains(CHAIN_BEGIN), F.lit(1)).otherwise(F.lit(0)))),
-    )
+    return strip(f"get(split({chain}, {lit(CHAIN_ARROW)}), if(contains({chain}, {lit(CHAIN_BEGIN)}), 1, 0))")
 
 
-def chain_actions(chain: Column) -> Column:
+def chain_actions(chain: str) -> str:
     """All steps of a chain text without its begin and end marks."""
-    return F.filter(
-        F.transform(F.split(chain, CHAIN_ARROW), strip),
-        lambda s: ~s.isin(CHAIN_BEGIN, CHAIN_END, ""),
+    return where(
+        transform(f"split({chain}, {lit(CHAIN_ARROW)})", strip),
+        lambda s: f"{s} NOT IN ({lit(CHAIN_BEGIN)}, {lit(CHAIN_END)}, '')",
     )
 
 
-def chain_text(actions: Column) -> Column:
+def chain_text(actions: str) -> str:
     """Steps joined to a closed chain text."""
-    return F.concat(F.array_join(actions, f" {CHAIN_ARROW} "), F.lit(f" {CHAIN_ARROW} {CHAIN_END}"))
+    return f"concat(array_join({actions}, {lit(f' {CHAIN_ARROW} ')}), {lit(f' {CHAIN_ARROW} {CHAIN_END}')})"
 
 
-def table_descriptor(tables: Column) -> Column:
+def table_descriptor(tables: str) -> str:
     """One line per table: its name ``df<i>`` and its columns."""
-    return F.array_join(
-        F.transform(
-            tables,
-            lambda t, i: F.concat(
-                F.lit("df"),
-                (i + 1).cast("string"),
-                F.lit(": table with columns - "),
-                F.array_join(t["columns"], ","),
-                F.lit("\n"),
-            ),
-        ),
-        "",
+    line = lambda t, i: (
+        f"concat('df', CAST({i} + 1 AS string), ': table with columns - ', array_join({t}.columns, ','), {lit(chr(10))})"
     )
+    return f"array_join({transform(tables, line)}, '')"
 
 
-def baseline_prompt(table_text: Column, question: Column) -> Column:
+def baseline_prompt(table_text: str, question: str) -> str:
     """Serialised table and question in the baseline's template."""
     before, rest = BASELINE_TEMPLATE.split("{table}")
     between, after = rest.split("{question}")
-    return F.concat(F.lit(before), table_text, F.lit(between), question, F.lit(after))
+    return f"concat({lit(before)}, {table_text}, {lit(between)}, {question}, {lit(after)})"
 
 
-def split_cell(cell: Column, separator: str, part: int) -> Column:
+def split_cell(cell: str, separator: str, part: int) -> str:
     """One part (0-based) of a cell that holds several values."""
-    return strip(F.get(F.split(cell, separator), F.lit(part)))
+    return strip(f"get(split({cell}, {lit(separator)}), {part})")

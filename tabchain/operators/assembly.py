@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabchain.functions.cells import clean_table, table_from_split_json
+from tabchain.functions.cells import clean_tables, evaluate_once, table_from_split_json
 from tabchain.functions.parsing import parse_multi_source, parse_target
+from tabchain.functions.sqltext import let, struct, transform
 from tabchain.functions.text import repair_query
 
 # Columns of an earlier encoding that a new corpus drops.
@@ -23,11 +24,11 @@ def rename_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(names)
 
 
-def query_column(df: DataFrame) -> Column:
+def query_text(df: DataFrame) -> str:
     """The question where the set has one, else the query."""
     if "question" in df.columns and "query" in df.columns:
-        return F.coalesce("question", "query")
-    return F.col("question") if "question" in df.columns else F.col("query")
+        return "coalesce(question, query)"
+    return "question" if "question" in df.columns else "query"
 
 
 def align(df: DataFrame, drop: list[str] | None = None, rename: dict[str, str] | None = None) -> DataFrame:
@@ -46,25 +47,27 @@ def fill_from_text(df: DataFrame) -> DataFrame:
     """Structured fields from the linear text where they are NULL.
 
     Needs ``query, table_names, tables, answer`` (tables as TABLE values) and
-    ``source, target``. The text is parsed only in rows that miss a field.
+    ``source, target``. The text is parsed once, and only in rows that miss a
+    field.
     """
-    missing = F.col("query").isNull() | F.col("tables").isNull() | F.col("table_names").isNull()
-    parsed = df.withColumn("_parsed", F.when(missing, parse_multi_source(F.col("source"))))
-    field = lambda name: F.when(F.col("_parsed").isNull(), F.col(name)).otherwise(F.col(f"_parsed.{name}"))
-    return parsed.withColumns(
-        {
-            "answer": F.when(F.col("answer").isNull(), parse_target(F.col("target"))).otherwise(F.col("answer")),
-            **{name: field(name) for name in ("query", "table_names", "tables")},
-        }
-    ).drop("_parsed")
+    missing = "query IS NULL OR tables IS NULL OR table_names IS NULL"
+    field = lambda p, name: f"if({p} IS NULL, {name}, {p}.{name})"
+    record = let(
+        f"if({missing}, {parse_multi_source('source')}, NULL)",
+        lambda p: struct(
+            **{name: field(p, name) for name in ("query", "table_names", "tables")},
+            answer=f"if(answer IS NULL, {parse_target('target')}, answer)",
+        ),
+    )
+    return evaluate_once(df, record, ("query", "table_names", "tables", "answer"))
 
 
 def decode_tables(df: DataFrame, tables: str = "tables", answer: str = "answer") -> DataFrame:
     """Split-JSON text columns as TABLE values."""
     return df.withColumns(
         {
-            tables: F.transform(tables, table_from_split_json),
-            answer: table_from_split_json(F.col(answer)),
+            tables: F.expr(transform(tables, table_from_split_json)),
+            answer: F.expr(table_from_split_json(answer)),
         }
     )
 
@@ -87,8 +90,8 @@ def pretraining_sample(df: DataFrame) -> DataFrame:
     """First table only, blank table name, repaired question."""
     return df.withColumns(
         {
-            "tables": F.transform(F.slice("tables", 1, 1), lambda t: clean_table(t)),
+            "tables": F.expr(clean_tables("slice(tables, 1, 1)")),
             "table_names": F.array(F.lit("")),
-            "question": repair_query(query_column(df)),
+            "question": F.expr(repair_query(query_text(df))),
         }
     )

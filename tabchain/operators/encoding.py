@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tabchain.functions.sqltext import lit
 from tabchain.functions.text import model_text
 from tabchain.operators.assembly import union_sets
 
@@ -19,13 +20,13 @@ MAX_LENGTH = 1024
 VOCABULARY_SIZE = 32_000
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(model_text(text), F.lit(TOKEN_PATTERN), F.lit(0))
+def tokens(text: str) -> Column:
+    return F.expr(f"regexp_extract_all({model_text(text)}, {lit(TOKEN_PATTERN)}, 0)")
 
 
 def token_counts(df: DataFrame, text_columns: list[str]) -> DataFrame:
     """Occurrences of each token over whole texts; counted per task first."""
-    each = [df.select(F.explode(tokens(F.col(c))).alias("token")) for c in text_columns]
+    each = [df.select(F.explode(tokens(c)).alias("token")) for c in text_columns]
     return union_sets(each).groupBy("token").agg(F.count("*").alias("n"))
 
 
@@ -42,8 +43,9 @@ def vocabulary(df: DataFrame, text_columns: list[str], size: int = VOCABULARY_SI
 def fixed_length(ids: Column, max_length: int) -> Column:
     """Begin mark, ids, end mark, cut at and padded to ``max_length``."""
     kept = F.slice(ids, 1, max_length - 2)
-    marked = F.concat(F.array(F.lit(BOS_ID)), kept, F.array(F.lit(EOS_ID)))
-    return F.concat(marked, F.array_repeat(F.lit(PAD_ID), F.lit(max_length) - F.size(marked)))
+    padding = F.array_repeat(F.lit(PAD_ID), F.lit(max_length))
+    marked = F.concat(F.array(F.lit(BOS_ID)), kept, F.array(F.lit(EOS_ID)), padding)
+    return F.slice(marked, 1, max_length)
 
 
 def attention_mask(n_tokens: Column, max_length: int) -> Column:
@@ -66,19 +68,23 @@ def encode_samples(
     a group has at most ``2 * max_length`` rows. ``id_col`` must be unique.
     """
     cut = max_length - 2
-    tokenised = df.select(id_col, tokens(F.col(source)).alias("s"), tokens(F.col(target)).alias("t"))
+    tokenised = df.select(id_col, tokens(source).alias("s"), tokens(target).alias("t"))
     entry = lambda side: lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), x.alias("token"))
-    rows = tokenised.select(
-        id_col,
-        F.size("s").alias("n_source"),
-        F.size("t").alias("n_target"),
-        F.explode_outer(
+    # The counts are taken before the tokens become rows, so that no row
+    # carries the whole token list of its sample.
+    rows = (
+        tokenised.select(
+            id_col,
+            F.size("s").alias("n_source"),
+            F.size("t").alias("n_target"),
             F.concat(
                 F.transform(F.slice("s", 1, cut), entry(0)),
                 F.transform(F.slice("t", 1, cut), entry(1)),
-            )
-        ).alias("e"),
-    ).select(id_col, "n_source", "n_target", "e.side", "e.pos", "e.token")
+            ).alias("entries"),
+        )
+        .select(id_col, "n_source", "n_target", F.explode_outer("entries").alias("e"))
+        .select(id_col, "n_source", "n_target", "e.side", "e.pos", "e.token")
+    )
     known = rows.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
     grouped = known.groupBy(id_col, "n_source", "n_target").agg(
         F.sort_array(
@@ -104,7 +110,7 @@ def encode_samples(
 def truncation_report(df: DataFrame, texts: list[str], max_length: int = MAX_LENGTH) -> DataFrame:
     """Samples, tokens and tokens lost to the cut, per text column."""
     per_text = union_sets(
-        [df.select(F.lit(c).alias("side"), F.size(tokens(F.col(c))).alias("n")) for c in texts]
+        [df.select(F.lit(c).alias("side"), F.size(tokens(c)).alias("n")) for c in texts]
     )
     lost = F.greatest(F.col("n") - (max_length - 2), F.lit(0))
     return per_text.groupBy("side").agg(

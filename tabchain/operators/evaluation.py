@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabchain.functions.linear import has_cells
+from tabchain.functions.sqltext import exists
 
 
 def pair_predictions(references: DataFrame, predictions: DataFrame, id_col: str = "sample_id") -> DataFrame:
@@ -49,14 +50,13 @@ def table_match_report(pairs: DataFrame, by: list[str] | None = None) -> DataFra
 
 def quality_report(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts of samples that would draw a warning, in one pass."""
-    tables, names = F.col("tables"), F.col("table_names")
     return df.groupBy(*(by or [])).agg(
         F.count("*").alias("samples"),
         F.count_if(F.coalesce("query", F.lit("")) == "").alias("empty_query"),
-        F.count_if(F.exists(tables, lambda t: ~has_cells(t))).alias("empty_table"),
+        F.count_if(F.expr(exists("tables", lambda t: f"NOT {has_cells(t)}"))).alias("empty_table"),
         F.count_if(F.col("answer").isNull()).alias("null_answer"),
-        F.count_if(F.col("answer").isNotNull() & ~has_cells(F.col("answer"))).alias("empty_answer"),
-        F.count_if(F.size(tables) != F.size(names)).alias("length_mismatch"),
+        F.count_if(F.expr(f"answer IS NOT NULL AND NOT {has_cells('answer')}")).alias("empty_answer"),
+        F.count_if(F.size("tables") != F.size("table_names")).alias("length_mismatch"),
     )
 
 

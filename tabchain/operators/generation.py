@@ -11,8 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabchain.functions.cells import let
 from tabchain.functions.draws import draw, draw_below, draw_item
+from tabchain.functions.sqltext import exists, fold, let, lit, struct, transform, where
 from tabchain.operators.joins import spread_join
 from tabchain.operators.steps import AGGREGATES, CONNECTORS, NUMERIC_OPS, STRING_OPS
 
@@ -20,13 +20,13 @@ CONDITION_DDL = (
     "array<struct<col:string,owner:int,pos:int,agg:string,op:string,"
     "val:string,is_num:boolean,connector:string>>"
 )
-NUMBER_PATTERN = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER_PATTERN = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 #: Exact type of generated aggregates: sums do not depend on the row order.
 RESULT_TYPE = "decimal(28,4)"
 
 
-def is_number(text: Column) -> Column:
-    return F.coalesce(text.rlike(NUMBER_PATTERN), F.lit(False))
+def is_number(text: str) -> str:
+    return f"coalesce({text} RLIKE {lit(NUMBER_PATTERN)}, false)"
 
 
 def with_query_numbers(df: DataFrame, per_table: int, name: str = "query_no") -> DataFrame:
@@ -34,57 +34,52 @@ def with_query_numbers(df: DataFrame, per_table: int, name: str = "query_no") ->
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(per_table - 1))))
 
 
-def owned_columns(tables: list[Column]) -> Column:
+def owned_columns(tables: list[str]) -> str:
     """Columns of one or two tables; the first table owns a shared name."""
-    first = F.transform(
-        tables[0]["columns"], lambda c, i: F.struct(c.alias("col"), F.lit(0).alias("owner"), i.alias("pos"))
-    )
+    first = transform(f"{tables[0]}.columns", lambda c, i: struct(col=c, owner="0", pos=i))
     if len(tables) == 1:
         return first
-    names = tables[0]["columns"]
-    second = F.transform(
-        tables[1]["columns"],
-        lambda c, i: F.when(
-            F.array_contains(names, c),
-            F.struct(
-                c.alias("col"),
-                F.lit(0).alias("owner"),
-                (F.array_position(names, c) - 1).cast("int").alias("pos"),
-            ),
-        ).otherwise(F.struct(c.alias("col"), F.lit(1).alias("owner"), i.alias("pos"))),
+    names = f"{tables[0]}.columns"
+    second = transform(
+        f"{tables[1]}.columns",
+        lambda c, i: struct(
+            col=c,
+            owner=f"if(array_contains({names}, {c}), 0, 1)",
+            pos=f"if(array_contains({names}, {c}), CAST(array_position({names}, {c}) - 1 AS int), {i})",
+        ),
     )
-    return F.concat(first, second)
+    return f"concat({first}, {second})"
 
 
-def _drawn_order(entries: Column, keep: Column, *key) -> Column:
+def _drawn_order(entries: str, keep: str, *key: str | int) -> str:
     """``keep`` entries in drawn order, without replacement."""
-    keyed = F.transform(
-        entries, lambda e, i: F.struct(draw(*key, "col", i).alias("k"), i.alias("i"), e.alias("e"))
-    )
-    return F.transform(F.slice(F.array_sort(keyed), F.lit(1), keep), lambda s: s["e"])
+    keyed = transform(entries, lambda e, i: struct(k=draw(*key, "'col'", i), i=i, e=e))
+    return f"slice(array_sort({keyed}), 1, {keep}).e"
 
 
 def sample_values(df: DataFrame, key: str, table: str, columns: int, seed: int) -> DataFrame:
     """Drawn columns without replacement, and one drawn cell of each."""
-    t, k = F.col(table), (seed, F.col(key))
-    chosen = _drawn_order(owned_columns([t]), F.least(F.lit(columns), F.size(t["columns"])), *k)
-    drawn = df.withColumn("_drawn", chosen)
-    value = lambda e, j: F.get(F.get(t["rows"], draw_below(F.size(t["rows"]), *k, "row", j)), e["pos"])
-    return drawn.withColumns(
-        {
-            "drawn_columns": F.transform("_drawn", lambda e: e["col"]),
-            "drawn_values": F.transform("_drawn", value),
-        }
-    ).drop("_drawn")
+    chosen = _drawn_order(owned_columns([table]), f"least({columns}, size({table}.columns))", seed, key)
+    row = lambda j: f"get({table}.rows, {draw_below(f'size({table}.rows)', seed, key, lit('row'), j)})"
+    return (
+        df.withColumn("_drawn", F.expr(chosen))
+        .withColumns(
+            {
+                "drawn_columns": F.col("_drawn.col"),
+                "drawn_values": F.expr(transform("_drawn", lambda e, j: f"get({row(j)}, {e}.pos)")),
+            }
+        )
+        .drop("_drawn")
+    )
 
 
 def generate_conditions(
-    tables: list[Column],
+    tables: list[str],
     seed: int,
     key: list[str],
     with_aggs: bool = False,
     count_range: bool = True,
-) -> Column:
+) -> str:
     """Conditions over distinct columns with values drawn from the tables.
 
     A number may be compared in six ways, a text for equality only. With
@@ -93,238 +88,205 @@ def generate_conditions(
     ``count_range`` is on. ``connector`` links a condition to the next one.
     """
     columns = owned_columns(tables)
-    k = (seed, *[F.col(c) for c in key])
-    keep = draw_below(F.size(columns), *k, "n") + 1
+    k = (seed, *key)
+    keep = f"{draw_below(f'size({columns})', *k, lit('n'))} + 1"
     rows_of = lambda owner: (
-        tables[0]["rows"]
+        f"{tables[0]}.rows"
         if len(tables) == 1
-        else F.when(owner == 0, tables[0]["rows"]).otherwise(tables[1]["rows"])
+        else f"if({owner} = 0, {tables[0]}.rows, {tables[1]}.rows)"
     )
 
-    def condition(entry: Column, j: Column, last: Column) -> Column:
-        n_rows = F.size(rows_of(entry["owner"]))
-        row = F.get(rows_of(entry["owner"]), draw_below(n_rows, *k, "row", j))
-        cell = F.coalesce(F.get(row, entry["pos"]), F.lit(""))
-
-        def build(value: Column) -> Column:
-            numeric = is_number(value)
-            agg = F.lit("")
-            constant = value
-            if with_aggs:
-                agg = F.when(
-                    numeric & (draw_below(F.lit(2), *k, "half", j) == 1),
-                    draw_item(AGGREGATES, *k, "agg", j),
-                ).otherwise("")
-                if count_range:
-                    constant = F.when(
-                        agg == "COUNT", (draw_below(n_rows, *k, "count", j) + 1).cast("string")
-                    ).otherwise(value)
-            op = F.when(numeric, draw_item(NUMERIC_OPS, *k, "op", j)).otherwise(
-                draw_item(STRING_OPS, *k, "op", j)
-            )
-            link = F.when(j < last, draw_item(CONNECTORS, *k, "link", j)).otherwise("")
-            return F.struct(
-                entry["col"].alias("col"),
-                entry["owner"].alias("owner"),
-                entry["pos"].alias("pos"),
-                agg.alias("agg"),
-                op.alias("op"),
-                constant.alias("val"),
-                numeric.alias("is_num"),
-                link.alias("connector"),
+    def condition(e: str, j: str, last: str) -> str:
+        rows = rows_of(f"{e}.owner")
+        cell = f"coalesce(get(get({rows}, {draw_below(f'size({rows})', *k, lit('row'), j)}), {e}.pos), '')"
+        op = lambda numeric: (
+            f"if({numeric}, {draw_item(NUMERIC_OPS, *k, lit('op'), j)}, {draw_item(STRING_OPS, *k, lit('op'), j)})"
+        )
+        link = f"if({j} < {last}, {draw_item(CONNECTORS, *k, lit('link'), j)}, '')"
+        drawn_agg = lambda numeric: (
+            f"if({numeric} AND {draw_below(2, *k, lit('half'), j)} = 1, {draw_item(AGGREGATES, *k, lit('agg'), j)}, '')"
+        )
+        count_to = f"CAST({draw_below(f'size({rows})', *k, lit('count'), j)} + 1 AS string)"
+
+        def finish(s: str) -> str:
+            val = f"if({s}.agg = 'COUNT', {count_to}, {s}.val)" if with_aggs and count_range else f"{s}.val"
+            return struct(
+                col=f"{e}.col",
+                owner=f"{e}.owner",
+                pos=f"{e}.pos",
+                agg=f"{s}.agg",
+                op=op(f"{s}.is_num"),
+                val=val,
+                is_num=f"{s}.is_num",
+                connector=link,
             )
 
-        return let(cell, build)
+        typed = let(cell, lambda v: struct(val=v, is_num=is_number(v)))
+        return let(
+            typed,
+            lambda t: let(
+                struct(val=f"{t}.val", is_num=f"{t}.is_num", agg=drawn_agg(f"{t}.is_num") if with_aggs else "''"),
+                finish,
+            ),
+        )
 
-    chosen = _drawn_order(columns, keep, *k)
-    return let(chosen, lambda c: F.transform(c, lambda e, j: condition(e, j, F.size(c) - 1))).cast(
-        CONDITION_DDL
+    chosen = let(
+        _drawn_order(columns, keep, *k),
+        lambda c: transform(c, lambda e, j: condition(e, j, f"size({c}) - 1")),
     )
+    return f"CAST({chosen} AS {CONDITION_DDL})"
+
+
+def _quoted_column(name: str) -> str:
+    return f"concat('`', replace({name}, '`', '``'), '`')"
+
 
+def item_text(item: str) -> str:
+    """A column or an aggregate of it."""
+    column = _quoted_column(f"{item}.col")
+    return f"if({item}.agg = '', {column}, concat({item}.agg, '(', {column}, ')'))"
 
-def condition_text(condition: Column) -> Column:
+
+def condition_text(c: str) -> str:
     """One condition in Spark SQL: quoted column, escaped text constant."""
-    column = F.concat(F.lit("`"), F.replace(condition["col"], F.lit("`"), F.lit("``")), F.lit("`"))
-    left = F.when(condition["agg"] == "", column).otherwise(
-        F.concat(condition["agg"], F.lit("("), column, F.lit(")"))
-    )
-    text = F.replace(
-        F.replace(condition["val"], F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")
+    backslash, quote = chr(92), "'"
+    text = (
+        f"replace(replace({c}.val, {lit(backslash)}, {lit(backslash * 2)}), {lit(quote)}, {lit(backslash + quote)})"
     )
-    right = F.when(condition["is_num"], condition["val"]).otherwise(
-        F.concat(F.lit("'"), text, F.lit("'"))
-    )
-    return F.concat_ws(" ", left, condition["op"], right)
+    right = f"if({c}.is_num, {c}.val, concat({lit(quote)}, {text}, {lit(quote)}))"
+    return f"concat_ws(' ', {item_text(c)}, {c}.op, {right}, nullif({c}.connector, ''))"
 
 
-def conditions_text(conditions: Column) -> Column:
+def conditions_text(conditions: str) -> str:
     """All conditions with their connectors."""
-    return F.array_join(
-        F.transform(
-            conditions,
-            lambda c: F.when(c["connector"] == "", condition_text(c)).otherwise(
-                F.concat_ws(" ", condition_text(c), c["connector"])
-            ),
-        ),
-        " ",
-    )
+    return f"array_join({transform(conditions, condition_text)}, ' ')"
 
 
-def _compare(left: Column, op: Column, right: Column) -> Column:
-    return (
-        F.when(op == "=", left == right)
-        .when(op == "!=", left != right)
-        .when(op == "<", left < right)
-        .when(op == ">", left > right)
-        .when(op == "<=", left <= right)
-        .when(op == ">=", left >= right)
-    )
+def _compare(left: str, op: str, right: str) -> str:
+    cases = " ".join(f"WHEN '{o}' THEN {left} {o} {right}" for o in NUMERIC_OPS)
+    return f"CASE {op} {cases} END"
 
 
-def holds_all(conditions: Column, holds) -> Column:
+def holds_all(conditions: str, holds) -> str:
     """Mixed AND and OR over a condition array; AND binds tighter.
 
     ``holds`` maps a condition to its truth; an unknown truth counts as false.
     """
-    start = F.struct(F.lit(False).alias("done"), F.lit(True).alias("open"))
 
-    def fold(state: Column, condition: Column) -> Column:
-        open_ = state["open"] & F.coalesce(holds(condition), F.lit(False))
-        closes = condition["connector"] != "AND"
-        return F.struct(
-            (state["done"] | (closes & open_)).alias("done"), (closes | open_).alias("open")
+    def merge(state: str, c: str) -> str:
+        open_ = f"({state}.open AND coalesce({holds(c)}, false))"
+        closes = f"{c}.connector != 'AND'"
+        return let(
+            open_,
+            lambda o: struct(done=f"{state}.done OR ({closes} AND {o})", open=f"{closes} OR {o}"),
         )
 
-    return F.aggregate(conditions, start, fold, lambda s: s["done"])
+    return fold(conditions, struct(done="false", open="true"), merge, lambda s: f"{s}.done")
 
 
-def matching_rows(table: Column, conditions: Column) -> Column:
+def matching_rows(table: str, conditions: str) -> str:
     """Rows of a nested table that meet plain conditions on that table."""
 
-    def holds(row: Column):
-        def one(c: Column) -> Column:
-            cell = F.get(row, c["pos"])
-            number = _compare(cell.try_cast("double"), c["op"], c["val"].try_cast("double"))
-            return F.when(c["is_num"], number).otherwise(_compare(cell, c["op"], c["val"]))
+    def holds(row: str):
+        return lambda c: (
+            f"if({c}.is_num, "
+            + _compare(f"try_cast(get({row}, {c}.pos) AS double)", f"{c}.op", f"try_cast({c}.val AS double)")
+            + f", {_compare(f'get({row}, {c}.pos)', f'{c}.op', f'{c}.val')})"
+        )
+
+    return where(f"{table}.rows", lambda r: holds_all(conditions, holds(r)))
 
-        return one
 
-    return F.filter(table["rows"], lambda r: holds_all(conditions, holds(r)))
+def _with_conditions(
+    df: DataFrame, key: str, tables: list[str], per_table: int, seed: int, with_aggs: bool, count_range: bool = True
+) -> DataFrame:
+    usable = reduce(
+        lambda d, t: d.where(f"size({t}.rows) > 0 AND size({t}.columns) > 0"), tables, df.select(key, *tables)
+    )
+    conditions = generate_conditions(tables, seed, [key, "query_no"], with_aggs, count_range)
+    return (
+        with_query_numbers(usable, per_table)
+        .withColumn("conditions", F.expr(conditions))
+        .withColumn("text", F.expr(conditions_text("conditions")))
+    )
 
 
 def generate_where(
     df: DataFrame, key: str, table: str, per_table: int, seed: int, with_aggs: bool = False
 ) -> DataFrame:
-    """WHERE conditions from one table: ``(key, query_no, table, conditions, text)``.
+    """WHERE conditions from one table: ``(key, table, query_no, conditions, text)``.
 
     Conditions with aggregates are HAVING conditions; they are not valid in
     WHERE. Tables without rows or columns give no query.
     """
-    usable = df.where((F.size(F.col(table)["rows"]) > 0) & (F.size(F.col(table)["columns"]) > 0))
-    queries = with_query_numbers(usable.select(key, F.col(table).alias("table")), per_table)
-    conditions = generate_conditions([F.col("table")], seed, [key, "query_no"], with_aggs)
-    return queries.withColumn("conditions", conditions).withColumn(
-        "text", conditions_text(F.col("conditions"))
-    )
+    return _with_conditions(df, key, [table], per_table, seed, with_aggs)
 
 
 def generate_where_two(
     df: DataFrame, key: str, first: str, second: str, per_table: int, seed: int, with_aggs: bool = False
 ) -> DataFrame:
     """Conditions over the columns of two tables; for use behind their join."""
-    has_rows = lambda t: F.size(F.col(t)["rows"]) > 0
-    queries = with_query_numbers(df.where(has_rows(first) & has_rows(second)).select(key, first, second), per_table)
-    conditions = generate_conditions(
-        [F.col(first), F.col(second)], seed, [key, "query_no"], with_aggs
-    )
-    return queries.withColumn("conditions", conditions).withColumn(
-        "text", conditions_text(F.col("conditions"))
-    )
+    return _with_conditions(df, key, [first, second], per_table, seed, with_aggs)
 
 
 def generate_having(
     df: DataFrame, key: str, tables: list[str], per_table: int, seed: int, with_aggs: bool = False
 ) -> DataFrame:
     """HAVING conditions from one or two tables; constants are always cells."""
-    usable = reduce(lambda d, t: d.where(F.size(F.col(t)["rows"]) > 0), tables, df)
-    queries = with_query_numbers(usable.select(key, *tables), per_table)
-    conditions = generate_conditions(
-        [F.col(t) for t in tables], seed, [key, "query_no"], with_aggs, count_range=False
-    )
-    return queries.withColumn("conditions", conditions).withColumn(
-        "text", conditions_text(F.col("conditions"))
-    )
+    return _with_conditions(df, key, tables, per_table, seed, with_aggs, count_range=False)
 
 
-def group_by_items(columns: Column, first_row: Column, seed: int, key: list[str]) -> Column:
+def group_by_items(columns: str, first_row: str, seed: int, key: list[str]) -> str:
     """SELECT list of a GROUP BY: the drawn group column plain, others aggregated.
 
     Numeric columns (by their first value) get a drawn aggregate, others COUNT.
     """
-    k = (seed, *[F.col(c) for c in key])
-    return let(
-        draw_below(F.size(columns), *k, "group"),
-        lambda g: F.transform(
-            columns,
-            lambda c, i: F.struct(
-                c.alias("col"),
-                i.alias("pos"),
-                F.when(i == g, "")
-                .when(is_number(F.get(first_row, i)), draw_item(AGGREGATES, *k, "agg", i))
-                .otherwise("COUNT")
-                .alias("agg"),
-            ),
-        ),
+    k = (seed, *key)
+    agg = lambda g, i: (
+        f"CASE WHEN {i} = {g} THEN '' WHEN {is_number(f'get({first_row}, {i})')} "
+        f"THEN {draw_item(AGGREGATES, *k, lit('agg'), i)} ELSE 'COUNT' END"
     )
-
-
-def item_text(item: Column) -> Column:
-    column = F.concat(F.lit("`"), F.replace(item["col"], F.lit("`"), F.lit("``")), F.lit("`"))
-    return F.when(item["agg"] == "", column).otherwise(
-        F.concat(item["agg"], F.lit("("), column, F.lit(")"))
+    return let(
+        draw_below(f"size({columns})", *k, lit("group")),
+        lambda g: transform(columns, lambda c, i: struct(col=c, pos=i, agg=agg(g, i))),
     )
 
 
 def generate_group_by(
-    df: DataFrame, key: str, columns: Column, first_row: Column, name: Column, per_table: int, seed: int
+    df: DataFrame, key: str, columns: str, first_row: str, name: str, per_table: int, seed: int
 ) -> DataFrame:
-    """GROUP BY queries: ``(key, query_no, items, group_pos, text)``."""
-    tables = df.select(key, columns.alias("columns"), first_row.alias("first_row"), name.alias("table_name"))
-    queries = with_query_numbers(tables.where(F.size("columns") > 0), per_table).withColumn(
-        "items", group_by_items(F.col("columns"), F.col("first_row"), seed, [key, "query_no"])
+    """GROUP BY queries: ``(key, query_no, items, group_pos, text)``.
+
+    ``columns``, ``first_row`` and ``name`` are expressions on the table rows.
+    """
+    tables = df.selectExpr(key, f"{columns} AS columns", f"{first_row} AS first_row", f"{name} AS table_name")
+    queries = with_query_numbers(tables.where("size(columns) > 0"), per_table).withColumn(
+        "items", F.expr(group_by_items("columns", "first_row", seed, [key, "query_no"]))
     )
-    group = F.get(F.filter("items", lambda x: x["agg"] == ""), F.lit(0))
-    return queries.select(
-        key,
-        "query_no",
-        "items",
-        group["pos"].alias("group_pos"),
-        F.concat(
-            F.lit("SELECT "),
-            F.array_join(F.transform("items", item_text), ", "),
-            F.lit(" FROM "),
-            "table_name",
-            F.lit(" GROUP BY "),
-            item_text(group),
-        ).alias("text"),
+    plain = where("items", lambda x: f"{x}.agg = ''")
+    group = f"get({plain}, 0)"
+    text = (
+        f"concat('SELECT ', array_join({transform('items', item_text)}, ', '), ' FROM ', table_name, "
+        f"' GROUP BY ', {let(group, item_text)})"
     )
+    return queries.selectExpr(key, "query_no", "items", f"{group}.pos AS group_pos", f"{text} AS text")
 
 
 def _aggregate_result(agg: Column, cell: Column) -> Column:
+    """The one aggregate that the group's item names."""
     number = cell.try_cast(RESULT_TYPE)
     return (
         F.when(F.first(agg) == "COUNT", F.count(cell).cast(RESULT_TYPE))
         .when(F.first(agg) == "SUM", F.sum(number).cast(RESULT_TYPE))
         .when(F.first(agg) == "AVG", F.round(F.avg(number), 4).cast(RESULT_TYPE))
-        .when(F.first(agg) == "MIN", F.min(number))
         .when(F.first(agg) == "MAX", F.max(number))
         .otherwise(F.min(number))
     )
 
 
-def decimal_text(value: Column) -> Column:
+def decimal_text(value: str) -> str:
     """Decimal without trailing zeros."""
-    return F.regexp_replace(value.cast("string"), r"[.]?0+$", "")
+    return f"regexp_replace(CAST({value} AS string), '[.]?0+$', '')"
 
 
 def having_from_groups(
@@ -338,112 +300,81 @@ def having_from_groups(
     query is checked by filtering the groups. A query without a usable
     condition has empty text and is not valid.
 
-    The joins on the table key are salted and the groups are aggregated per
-    task first, so a table that holds most of the rows is not one task's work.
+    The joins on the table key spread hot tables and the groups are aggregated
+    per task first, so a table that holds most of the rows is not one task's
+    work.
     """
-    wanted = queries.select(
-        key,
-        "query_no",
-        "group_pos",
-        F.filter("items", lambda x: (x["agg"] != "") | (F.size("items") == 1)).alias("items"),
-    )
+    used = where("items", lambda x: f"{x}.agg != '' OR size(items) = 1")
+    wanted = queries.select(key, "query_no", "group_pos", F.expr(used).alias("items"))
     cells = (
         spread_join(rows, wanted, [key], ["cells"], salts=salts)
-        .select(
-            key,
-            "query_no",
-            F.get("cells", F.col("group_pos")).alias("group_value"),
-            "cells",
-            F.posexplode("items").alias("item_no", "item"),
+        .selectExpr(
+            key, "query_no", "get(cells, group_pos) AS group_value", "cells", "posexplode(items) AS (item_no, item)"
         )
-        .select(
+        .selectExpr(
             key,
             "query_no",
             "group_value",
             "item_no",
-            F.col("item.col").alias("col"),
-            F.col("item.agg").alias("agg"),
-            F.get("cells", F.col("item.pos")).alias("cell"),
+            "item.col AS col",
+            "item.agg AS agg",
+            "get(cells, item.pos) AS cell",
         )
     )
     results = cells.groupBy(key, "query_no", "group_value", "item_no", "col", "agg").agg(
         _aggregate_result(F.col("agg"), F.col("cell")).alias("result")
     )
-    order = F.struct(
-        draw(seed, F.col(key), F.col("query_no"), F.col("item_no"), "value", F.coalesce("group_value", F.lit(""))),
-        F.coalesce("group_value", F.lit("")),
-    )
+    place = draw(seed, key, "query_no", "item_no", lit("value"), "coalesce(group_value, '')")
     constants = (
         results.groupBy(key, "query_no", "item_no", "col", "agg")
-        .agg(F.min_by(F.struct("result"), order).alias("picked"))
+        .agg(F.expr(f"min_by(result, struct({place}, coalesce(group_value, '')))").alias("result"))
         .groupBy(key, "query_no")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct("item_no", "col", "agg", F.col("picked.result").alias("result"))
-                )
-            ).alias("items")
-        )
+        .agg(F.sort_array(F.collect_list(F.struct("item_no", "col", "agg", "result"))).alias("items"))
     )
-    k = (seed, F.col(key), F.col("query_no"))
-    keep = draw_below(F.size("items"), *k, "n") + 1
-    usable = F.filter(_drawn_order(F.col("items"), keep, *k), lambda x: x["result"].isNotNull())
-    conditions = let(
-        usable,
-        lambda items: F.transform(
-            items,
-            lambda x, j: F.struct(
-                x["item_no"].alias("item_no"),
-                x["col"].alias("col"),
-                x["agg"].alias("agg"),
-                draw_item(NUMERIC_OPS, *k, "op", j).alias("op"),
-                decimal_text(x["result"]).alias("val"),
-                x["result"].alias("result"),
-                F.lit(True).alias("is_num"),
-                F.when(j < F.size(items) - 1, draw_item(CONNECTORS, *k, "link", j))
-                .otherwise("")
-                .alias("connector"),
-            ),
-        ),
+    k = (seed, key, "query_no")
+    keep = f"{draw_below('size(items)', *k, lit('n'))} + 1"
+    usable = where(_drawn_order("items", keep, *k), lambda x: f"{x}.result IS NOT NULL")
+    condition = lambda items: lambda x, j: struct(
+        item_no=f"{x}.item_no",
+        col=f"{x}.col",
+        agg=f"{x}.agg",
+        op=draw_item(NUMERIC_OPS, *k, lit("op"), j),
+        val=decimal_text(f"{x}.result"),
+        result=f"{x}.result",
+        is_num="true",
+        connector=f"if({j} < size({items}) - 1, {draw_item(CONNECTORS, *k, lit('link'), j)}, '')",
+    )
+    having = constants.select(
+        key, "query_no", F.expr(let(usable, lambda items: transform(items, condition(items)))).alias("conditions")
     )
-    having = constants.select(key, "query_no", conditions.alias("conditions"))
     groups = results.groupBy(key, "query_no", "group_value").agg(
         F.map_from_entries(F.collect_list(F.struct("item_no", "result"))).alias("results")
     )
-    holds = lambda c: _compare(F.try_element_at(F.col("results"), c["item_no"]), c["op"], c["result"])
+    holds = lambda c: _compare(f"try_element_at(results, {c}.item_no)", f"{c}.op", f"{c}.result")
     survivors = (
         spread_join(groups, having, [key, "query_no"], ["group_value"], salts=salts)
+        .withColumn("kept", F.expr(f"size(conditions) > 0 AND {holds_all('conditions', holds)}"))
         .groupBy(key, "query_no")
-        .agg(
-            F.count("*").alias("n_groups"),
-            F.count_if((F.size("conditions") > 0) & holds_all(F.col("conditions"), holds)).alias("n_kept"),
-        )
+        .agg(F.count("*").alias("n_groups"), F.count_if("kept").alias("n_kept"))
     )
-    valid = F.size("conditions") > 0
+    full = f"if(size(conditions) > 0, concat(text, ' HAVING ', {conditions_text('conditions')}), '')"
     return (
         queries.select(key, "query_no", "text")
         .join(having, [key, "query_no"])
         .join(survivors, [key, "query_no"])
-        .select(
-            key,
-            "query_no",
-            F.when(valid, F.concat("text", F.lit(" HAVING "), conditions_text(F.col("conditions"))))
-            .otherwise("")
-            .alias("text"),
-            valid.alias("valid"),
-            "n_groups",
-            "n_kept",
+        .selectExpr(
+            key, "query_no", f"{full} AS text", "size(conditions) > 0 AS valid", "n_groups", "n_kept"
         )
     )
 
 
-def run_generated(queries: DataFrame, key: str) -> DataFrame:
+def run_generated(queries: DataFrame, key: str, table: str = "table") -> DataFrame:
     """Answers of generated WHERE queries; HAVING-only ones are not valid."""
-    valid = ~F.exists("conditions", lambda c: c["agg"] != "") & (F.size("conditions") > 0)
-    return queries.select(
+    has_agg = exists("conditions", lambda c: f"{c}.agg != ''")
+    return queries.withColumn("valid", F.expr(f"NOT {has_agg} AND size(conditions) > 0")).selectExpr(
         key,
         "query_no",
-        F.when(valid, F.col("text")).otherwise("").alias("text"),
-        valid.alias("valid"),
-        F.when(valid, matching_rows(F.col("table"), F.col("conditions"))).alias("answer_rows"),
+        "if(valid, text, '') AS text",
+        "valid",
+        f"if(valid, {matching_rows(table, 'conditions')}, NULL) AS answer_rows",
     )

@@ -80,7 +80,7 @@ def encode_with(
 
     id_type = df.schema[id_col].dataType.simpleString()
     texts = df.select(
-        id_col, model_text(F.col(source)).alias("source"), model_text(F.col(target)).alias("target")
+        id_col, F.expr(model_text(source)).alias("source"), F.expr(model_text(target)).alias("target")
     )
     return texts.mapInPandas(
         run, f"{id_col} {id_type}, input_ids array<int>, attention_mask array<int>, labels array<int>"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabchain.functions.cells import table_value, text_cells
+from tabchain.functions.cells import table_value, text_array, text_cells
 
 
 def nest_rows(
@@ -24,7 +24,7 @@ def nest_rows(
         raise ValueError("rows_per_table must be at least 1")
     part = F.expr(f"`{position}` div {rows_per_table}")
     cells = df.select(
-        *keys, part.alias("part_no"), F.col(position).alias("_pos"), text_cells(df, columns).alias("_cells")
+        *keys, part.alias("part_no"), F.col(position).alias("_pos"), F.expr(text_cells(df.schema, columns)).alias("_cells")
     )
     return (
         cells.groupBy(*keys, "part_no")
@@ -32,9 +32,7 @@ def nest_rows(
         .select(
             *keys,
             "part_no",
-            table_value(
-                F.array(*[F.lit(c) for c in columns]), F.transform("_rows", lambda r: r["_cells"])
-            ).alias("table"),
+            F.expr(table_value(text_array(columns), "_rows._cells")).alias("table"),
         )
     )
 

@@ -23,7 +23,7 @@ def _running_offsets(counts: DataFrame, bucket: str) -> DataFrame:
 
 def hash_shuffle(df: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
     """Rows in a seeded order that no partitioning can change."""
-    return df.orderBy(draw(seed, F.col(id_col)), F.col(id_col))
+    return df.orderBy(F.expr(draw(seed, id_col)), id_col)
 
 
 def with_shuffled_position(df: DataFrame, id_col: str, seed: int = 0, name: str = "pos") -> DataFrame:
@@ -33,7 +33,7 @@ def with_shuffled_position(df: DataFrame, id_col: str, seed: int = 0, name: str
     and are equally full. One pass over the ids counts the buckets, and one
     shuffle of the rows numbers them within their bucket.
     """
-    key = draw(seed, F.col(id_col))
+    key = F.expr(draw(seed, id_col))
     bucket = F.shiftright(key, DRAW_BITS - BUCKET_BITS)
     counts = df.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("_n"))
     offsets = _running_offsets(counts, "_bucket")

@@ -7,236 +7,179 @@ leaves the sample's result as it is and is counted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tabchain.functions.cells import TABLE_DDL, clean_table, clean_tables, let, table_value
+from tabchain.functions.cells import TABLE_DDL, clean_table, clean_tables, evaluate_once, table_value
+from tabchain.functions.sqltext import fold, forall, let, sort_with, struct, transform, where
 
 #: One step: ``columns`` for select, sort keys or the join key; ``op`` and
 #: ``value`` for filter; ``n`` for limit; ``table`` (from 1) to start from or join.
 STEP_DDL = "struct<step:string,columns:array<string>,op:string,value:string,n:int,table:int>"
-CORPUS_STEPS = ("use", "select", "filter", "sort", "sort_desc", "limit", "group_count", "join")
 
 
-def _position(table: Column, name: Column) -> Column:
+def _position(table: str, name: str) -> str:
     """0-based position of a column; NULL when it is unknown."""
-    return F.nullif(F.array_position(table["columns"], name), F.lit(0).cast("bigint")).cast("int") - 1
+    return f"CAST(nullif(array_position({table}.columns, {name}), 0L) - 1 AS int)"
 
 
-def _select(table: Column, step: Column) -> Column:
+def _with_column(table: str, step: str, body) -> str:
+    """``body(position)`` of the step's first column, or NULL when it is unknown."""
     return let(
-        F.transform(step["columns"], lambda c: _position(table, c)),
-        lambda at: F.when(
-            F.forall(at, lambda p: p.isNotNull()),
-            table_value(
-                step["columns"],
-                F.transform(table["rows"], lambda r: F.transform(at, lambda p: F.get(r, p))),
-            ),
-        ),
+        _position(table, f"get({step}.columns, 0)"), lambda at: f"if({at} IS NULL, NULL, {body(at)})"
     )
 
 
-def _filter(table: Column, step: Column) -> Column:
-    def keep(row: Column, at: Column) -> Column:
-        cell = F.get(row, at)
-        a, b = cell.try_cast("double"), step["value"].try_cast("double")
-        both = a.isNotNull() & b.isNotNull()
-        op = step["op"]
-        test = lambda numbers, texts: F.when(both, numbers).otherwise(texts)
-        value = step["value"]
-        return F.coalesce(
-            F.when(op == "=", test(a == b, cell == value))
-            .when(op == "!=", test(a != b, cell != value))
-            .when(op == "<", test(a < b, cell < value))
-            .when(op == ">", test(a > b, cell > value))
-            .when(op == "<=", test(a <= b, cell <= value))
-            .when(op == ">=", test(a >= b, cell >= value)),
-            F.lit(False),
-        )
+def _select(table: str, step: str) -> str:
+    def chosen(at: str) -> str:
+        known = forall(at, lambda p: f"{p} IS NOT NULL")
+        rows = transform(f"{table}.rows", lambda r: transform(at, lambda p: f"get({r}, {p})"))
+        return f"if({known}, {table_value(f'{step}.columns', rows)}, NULL)"
 
-    return let(
-        _position(table, F.get(step["columns"], F.lit(0))),
-        lambda at: F.when(
-            at.isNotNull(),
-            table_value(table["columns"], F.filter(table["rows"], lambda r: keep(r, at))),
+    return let(transform(f"{step}.columns", lambda c: _position(table, c)), chosen)
+
+
+def _filter(table: str, step: str) -> str:
+    """Rows that compare with the value, as numbers where both are numbers."""
+
+    def keep(cell: str) -> str:
+        both = f"(try_cast({cell} AS double) IS NOT NULL AND try_cast({step}.value AS double) IS NOT NULL)"
+        test = lambda op: (
+            f"if({both}, try_cast({cell} AS double) {op} try_cast({step}.value AS double), {cell} {op} {step}.value)"
+        )
+        cases = " ".join(f"WHEN '{op}' THEN {test(op)}" for op in ("=", "!=", "<", ">", "<=", ">="))
+        return f"coalesce(CASE {step}.op {cases} END, false)"
+
+    return _with_column(
+        table,
+        step,
+        lambda at: table_value(
+            f"{table}.columns", where(f"{table}.rows", lambda r: keep(f"get({r}, {at})"))
         ),
     )
 
 
-def _sort(table: Column, step: Column, descending: bool) -> Column:
+def _sort(table: str, step: str, descending: bool) -> str:
     """Stable sort on one column: numbers before texts, empty cells last."""
+    before, after = (1, -1) if descending else (-1, 1)
 
-    def keyed(row: Column, i: Column, at: Column) -> Column:
-        cell = F.get(row, at)
-        number = cell.try_cast("double")
-        return F.struct(
-            F.when(F.coalesce(cell, F.lit("")) == "", 2).when(number.isNull(), 1).otherwise(0).alias("kind"),
-            (-number if descending else number).alias("number"),
-            cell.alias("text"),
-            i.alias("i"),
-            row.alias("row"),
-        )
-
-    def order(x: Column, y: Column) -> Column:
-        text = F.when(x["text"] < y["text"], -1).when(x["text"] > y["text"], 1).otherwise(0)
-        return (
-            F.when(x["kind"] != y["kind"], x["kind"] - y["kind"])
-            .when(x["number"] < y["number"], -1)
-            .when(x["number"] > y["number"], 1)
-            .when((x["kind"] == 1) & (text != 0), -text if descending else text)
-            .otherwise(x["i"] - y["i"])
+    def keyed(r: str, i: str, at: str) -> str:
+        return let(
+            f"get({r}, {at})",
+            lambda cell: struct(
+                kind=f"CASE WHEN coalesce({cell}, '') = '' THEN 2 WHEN try_cast({cell} AS double) IS NULL THEN 1 ELSE 0 END",
+                number=f"try_cast({cell} AS double)",
+                text=cell,
+                i=i,
+                r=r,
+            ),
         )
 
-    return let(
-        _position(table, F.get(step["columns"], F.lit(0))),
-        lambda at: F.when(
-            at.isNotNull(),
-            table_value(
-                table["columns"],
-                F.transform(
-                    F.array_sort(F.transform(table["rows"], lambda r, i: keyed(r, i, at)), order),
-                    lambda s: s["row"],
-                ),
-            ),
-        ),
+    order = lambda x, y: (
+        f"CASE WHEN {x}.kind != {y}.kind THEN {x}.kind - {y}.kind "
+        f"WHEN {x}.number < {y}.number THEN {before} WHEN {x}.number > {y}.number THEN {after} "
+        f"WHEN {x}.kind = 1 AND {x}.text < {y}.text THEN {before} WHEN {x}.kind = 1 AND {x}.text > {y}.text THEN {after} "
+        f"ELSE {x}.i - {y}.i END"
     )
 
+    def ordered(at: str) -> str:
+        pairs = transform(f"{table}.rows", lambda r, i: keyed(r, i, at))
+        return table_value(f"{table}.columns", f"{sort_with(pairs, order)}.r")
 
-def _limit(table: Column, step: Column) -> Column:
-    return table_value(table["columns"], F.slice(table["rows"], F.lit(1), F.greatest(step["n"], F.lit(0))))
+    return _with_column(table, step, ordered)
 
 
-def _group_count(table: Column, step: Column) -> Column:
-    """Rows per value, by value: sort once, then take the length of each run."""
+def _limit(table: str, step: str) -> str:
+    return table_value(f"{table}.columns", f"slice({table}.rows, 1, greatest({step}.n, 0))")
 
-    def runs(values: Column) -> Column:
-        starts = F.filter(
-            F.transform(
-                values,
-                lambda v, i: F.when((i == 0) | (v != F.get(values, i - 1)), F.struct(v.alias("v"), i.alias("i"))),
-            ),
-            lambda s: s.isNotNull(),
-        )
-        return let(
-            starts,
-            lambda s: F.transform(
-                s,
-                lambda x, j: F.array(
-                    x["v"],
-                    (F.coalesce(F.get(s, j + 1)["i"], F.size(values)) - x["i"]).cast("string"),
-                ),
-            ),
+
+def _runs(values: str, key, body) -> str:
+    """``body(first index, length)`` of each run of equal keys in a sorted array."""
+
+    def with_values(v: str) -> str:
+        starts = where(
+            f"sequence(0, size({v}) - 1)",
+            lambda i: f"{i} = 0 OR NOT {key(f'get({v}, {i})')} <=> {key(f'get({v}, {i} - 1)')}",
         )
+        ends = lambda s, j: f"coalesce(get({s}, {j} + 1), size({v}))"
+        runs = let(starts, lambda s: transform(s, lambda x, j: body(v, x, f"{ends(s, j)} - {x}")))
+        return f"if(size({v}) = 0, array(), {runs})"
 
-    return let(
-        _position(table, F.get(step["columns"], F.lit(0))),
-        lambda at: F.when(
-            at.isNotNull(),
-            table_value(
-                F.array(F.get(step["columns"], F.lit(0)), F.lit("count")),
-                let(
-                    F.array_sort(
-                        F.filter(F.transform(table["rows"], lambda r: F.get(r, at)), lambda v: v.isNotNull())
-                    ),
-                    runs,
-                ),
-            ),
-        ),
-    )
+    return let(values, with_values)
+
+
+def _group_count(table: str, step: str) -> str:
+    """Rows per value, by value: sort once, then take the length of each run."""
+
+    def counted(at: str) -> str:
+        values = f"array_sort(filter(transform({table}.rows, r -> get(r, {at})), x -> x IS NOT NULL))"
+        rows = _runs(values, lambda x: x, lambda v, first, n: f"array(get({v}, {first}), CAST({n} AS string))")
+        return table_value(f"array(get({step}.columns, 0), 'count')", rows)
+
+    return _with_column(table, step, counted)
 
 
-def _join(table: Column, step: Column, tables: Column) -> Column:
+def _join(table: str, step: str, tables: str) -> str:
     """Inner join with another table of the sample on one shared column.
 
     Clashing other names get ``_x`` and ``_y``. The right rows are looked up
     in a map by key, so the work follows the sizes of both sides and of the
     result, not their product.
     """
-    name = F.get(step["columns"], F.lit(0))
-
-    def joined(ctx: Column) -> Column:
-        right, a, b = ctx["right"], ctx["a"], ctx["b"]
-        others = lambda row, at: F.filter(row, lambda _, i: i != at)
-        # Rows by key: sort by key, then cut the sorted rows into runs.
-        sorted_rows = F.array_sort(
-            F.transform(
-                right["rows"], lambda r, i: F.struct(F.get(r, b).alias("k"), i.alias("i"), others(r, b).alias("rest"))
-            )
-        )
-
-        def lookup(s: Column) -> Column:
-            starts = F.filter(
-                F.transform(
-                    s,
-                    lambda x, i: F.when(
-                        (i == 0) | ~x["k"].eqNullSafe(F.get(s, i - 1)["k"]),
-                        F.struct(F.coalesce(x["k"], F.lit("")).alias("k"), i.alias("i")),
-                    ),
-                ),
-                lambda x: x.isNotNull(),
-            )
-            return let(
-                starts,
-                lambda st: F.map_from_entries(
-                    F.transform(
-                        st,
-                        lambda x, j: F.struct(
-                            x["k"],
-                            F.transform(
-                                F.slice(s, x["i"] + 1, F.coalesce(F.get(st, j + 1)["i"], F.size(s)) - x["i"]),
-                                lambda y: y["rest"],
-                            ),
-                        ),
-                    )
-                ),
-            )
+    name = f"get({step}.columns, 0)"
 
+    def joined(ctx: str) -> str:
+        right, a, b = f"{ctx}.other", f"{ctx}.a", f"{ctx}.b"
+        others = lambda row: f"filter({row}, (x, i) -> i != {b})"
+        keyed = transform(
+            f"{right}.rows", lambda r, i: struct(k=f"coalesce(get({r}, {b}), '')", i=i, rest=others(r))
+        )
+        by_key = _runs(
+            f"array_sort({keyed})",
+            lambda x: f"{x}.k",
+            lambda v, first, n: struct(k=f"get({v}, {first}).k", rows=f"slice({v}, {first} + 1, {n}).rest"),
+        )
+        found = lambda m, r: f"coalesce(try_element_at({m}, coalesce(get({r}, {a}), '')), array())"
         rows = let(
-            let(sorted_rows, lookup),
-            lambda m: F.flatten(
-                F.transform(
-                    table["rows"],
-                    lambda r: F.transform(
-                        F.coalesce(
-                            F.try_element_at(m, F.coalesce(F.get(r, a), F.lit(""))),
-                            F.array().cast("array<array<string>>"),
-                        ),
-                        lambda rest: F.concat(r, rest),
-                    ),
-                )
-            ),
+            f"map_from_entries({by_key})",
+            lambda m: "flatten("
+            + transform(f"{table}.rows", lambda r: transform(found(m, r), lambda rest: f"concat({r}, {rest})"))
+            + ")",
+        )
+        left_names = transform(
+            f"{table}.columns",
+            lambda c: f"if({c} != {name} AND array_contains({right}.columns, {c}), concat({c}, '_x'), {c})",
         )
-        left_names = F.transform(
-            table["columns"],
-            lambda c: F.when((c != name) & F.array_contains(right["columns"], c), F.concat(c, F.lit("_x"))).otherwise(c),
+        right_names = transform(
+            others(f"{right}.columns"),
+            lambda c: f"if(array_contains({table}.columns, {c}), concat({c}, '_y'), {c})",
         )
-        right_names = F.transform(
-            others(right["columns"], b),
-            lambda c: F.when(F.array_contains(table["columns"], c), F.concat(c, F.lit("_y"))).otherwise(c),
+        result = table_value(f"concat({left_names}, {right_names})", rows)
+        return (
+            f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN size({right}.rows) = 0 "
+            f"THEN {table_value(f'concat({left_names}, {right_names})', 'array()')} ELSE {result} END"
         )
-        return F.when(a.isNotNull() & b.isNotNull(), table_value(F.concat(left_names, right_names), rows))
 
     context = let(
-        F.get(tables, step["table"] - 1),
-        lambda right: F.struct(
-            right.alias("right"), _position(table, name).alias("a"), _position(right, name).alias("b")
-        ),
+        f"get({tables}, {step}.table - 1)",
+        lambda other: struct(other=other, a=_position(table, name), b=_position(other, name)),
     )
     return let(context, joined)
 
 
-def run_corpus_step(table: Column, step: Column, tables: Column) -> Column:
+def run_corpus_step(table: str, step: str, tables: str) -> str:
     """Result of one step, or NULL when it cannot be applied."""
-    kind = step["step"]
-    return (
-        F.when(kind == "use", F.get(tables, step["table"] - 1))
-        .when(kind == "select", _select(table, step))
-        .when(kind == "filter", _filter(table, step))
-        .when(kind == "sort", _sort(table, step, False))
-        .when(kind == "sort_desc", _sort(table, step, True))
-        .when(kind == "limit", _limit(table, step))
-        .when(kind == "group_count", _group_count(table, step))
-        .when(kind == "join", _join(table, step, tables))
-    )
+    results = {
+        "use": f"get({tables}, {step}.table - 1)",
+        "select": _select(table, step),
+        "filter": _filter(table, step),
+        "sort": _sort(table, step, False),
+        "sort_desc": _sort(table, step, True),
+        "limit": _limit(table, step),
+        "group_count": _group_count(table, step),
+        "join": _join(table, step, tables),
+    }
+    cases = " ".join(f"WHEN '{name}' THEN {result}" for name, result in results.items())
+    return f"CASE {step}.step {cases} END"
 
 
 def run_corpus_chains(df: DataFrame, id_col: str = "sample_id", null_mode: str = "empty") -> DataFrame:
@@ -244,24 +187,24 @@ def run_corpus_chains(df: DataFrame, id_col: str = "sample_id", null_mode: str =
 
     A chain starts on the sample's first table.
     """
-    start = lambda tables: F.struct(F.get(tables, F.lit(0)).alias("inter"), F.lit(0).alias("failed"))
 
-    def fold(tables: Column):
-        def one(state: Column, step: Column) -> Column:
-            return let(
-                run_corpus_step(state["inter"], step, tables),
-                lambda result: F.struct(
-                    F.coalesce(result, state["inter"]).alias("inter"),
-                    (state["failed"] + result.isNull().cast("int")).alias("failed"),
-                ),
-            )
-
-        return one
+    def one(tables: str):
+        return lambda state, step: let(
+            run_corpus_step(f"{state}.inter", step, tables),
+            lambda result: struct(
+                inter=f"CAST(coalesce({result}, {state}.inter) AS {TABLE_DDL})",
+                failed=f"{state}.failed + CAST({result} IS NULL AS int)",
+            ),
+        )
 
     result = let(
-        clean_tables(F.col("tables"), null_mode),
-        lambda tables: F.aggregate(F.col("steps"), start(tables), fold(tables)),
-    )
-    return df.select(id_col, clean_table(F.col("answer"), null_mode).alias("truth"), result.alias("_r")).select(
-        id_col, "truth", F.col("_r.inter").cast(TABLE_DDL).alias("pred"), F.col("_r.failed").alias("failed_steps")
+        clean_tables("tables", null_mode),
+        lambda tables: fold(
+            "steps",
+            struct(inter=f"CAST(get({tables}, 0) AS {TABLE_DDL})", failed="0"),
+            one(tables),
+            lambda s: struct(pred=f"{s}.inter", failed_steps=f"{s}.failed"),
+        ),
     )
+    samples = df.select(id_col, "tables", "steps", F.expr(clean_table("answer", null_mode)).alias("truth"))
+    return evaluate_once(samples, result, ("tables", "steps"))

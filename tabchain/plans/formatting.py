@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabchain.functions.cells import clean_table, clean_tables
+from tabchain.functions.cells import clean_table, clean_tables, evaluate_once
 from tabchain.functions.formats import FORMATS, render_table, rendered_source
 from tabchain.functions.linear import linear_source, linear_target
-from tabchain.functions.parsing import parse_single_source, parse_target
+from tabchain.functions.parsing import parse_multi_source, parse_single_source, parse_target
+from tabchain.functions.sqltext import let, lit, struct, transform
 from tabchain.functions.text import model_text
-from tabchain.operators.assembly import alignment_reason, fill_from_text, query_column, split_rejects
+from tabchain.operators.assembly import alignment_reason, fill_from_text, query_text, split_rejects
 
 #: Table name of single-table samples.
 SINGLE_NAME = "table"
@@ -21,12 +22,17 @@ SINGLE_NAME = "table"
 def linear_samples(df: DataFrame, null_mode: str = "empty", lower_case: bool = False) -> DataFrame:
     """Samples with ``source`` and ``target`` in linear form."""
     source = linear_source(
-        F.coalesce(query_column(df), F.lit("")), clean_tables(F.col("tables"), null_mode), F.col("table_names")
+        f"coalesce({query_text(df)}, '')", clean_tables("tables", null_mode), "table_names"
     )
-    target = F.coalesce(linear_target(clean_table(F.col("answer"), null_mode)), F.lit(""))
+    target = f"coalesce({linear_target(clean_table('answer', null_mode))}, '')"
     if lower_case:
-        source, target = F.lower(source), F.lower(target)
-    return df.withColumns({"source": source, "target": target})
+        source, target = f"lower({source})", f"lower({target})"
+    return df.withColumns({"source": F.expr(source), "target": F.expr(target)})
+
+
+def _filled(df: DataFrame) -> DataFrame:
+    filled = fill_from_text(df) if {"source", "target"} <= set(df.columns) else df
+    return filled.withColumn("reason", alignment_reason())
 
 
 def format_multi_table(
@@ -38,34 +44,39 @@ def format_multi_table(
     has it. Samples whose tables and names do not pair are left out; see
     :func:`format_rejects`.
     """
-    filled = fill_from_text(df) if {"source", "target"} <= set(df.columns) else df
-    good, _ = split_rejects(filled.withColumn("reason", alignment_reason()))
-    tables = F.transform("tables", lambda t: render_table(clean_table(t, null_mode), table_type))
+    good, _ = split_rejects(_filled(df))
+    render = lambda t: render_table(clean_table(t, null_mode), table_type)
     return good.select(
         *keep,
-        rendered_source(F.coalesce("query", F.lit("")), tables, F.col("table_names")).alias("source"),
-        render_table(clean_table(F.col("answer"), null_mode), table_type).alias("target"),
+        F.expr(
+            rendered_source("coalesce(query, '')", transform("tables", render), "table_names")
+        ).alias("source"),
+        F.expr(render("answer")).alias("target"),
     )
 
 
 def format_rejects(df: DataFrame) -> DataFrame:
     """Samples that cannot be formatted, with the reason."""
-    filled = fill_from_text(df) if {"source", "target"} <= set(df.columns) else df
-    return split_rejects(filled.withColumn("reason", alignment_reason()))[1]
+    return split_rejects(_filled(df))[1]
 
 
 def parse_single_samples(df: DataFrame) -> DataFrame:
     """Linear single-table samples with ``query, table, answer, reason``."""
-    parsed = df.withColumns(
-        {"_source": parse_single_source(F.col("source")), "answer": parse_target(F.col("target"))}
+    record = let(
+        struct(s=parse_single_source("source"), answer=parse_target("target")),
+        lambda p: struct(
+            query=f"{p}.s.query",
+            table=f"{p}.s.table",
+            answer=f"{p}.answer",
+            reason=f"coalesce({p}.s.reason, if({p}.answer IS NULL, 'no answer header', NULL))",
+        ),
     )
-    return parsed.withColumns(
-        {
-            "query": F.col("_source.query"),
-            "table": F.col("_source.table"),
-            "reason": F.coalesce("_source.reason", F.when(F.col("answer").isNull(), "no answer header")),
-        }
-    ).drop("_source")
+    return evaluate_once(df, record)
+
+
+def parse_multi_samples(df: DataFrame) -> DataFrame:
+    """Linear multi-table samples with ``query, table_names, tables, reason``."""
+    return evaluate_once(df, parse_multi_source("source"))
 
 
 def format_single_table(df: DataFrame, keep: tuple[str, ...] = ("sample_id",)) -> DataFrame:
@@ -75,15 +86,15 @@ def format_single_table(df: DataFrame, keep: tuple[str, ...] = ("sample_id",)) -
     """
     good, _ = split_rejects(parse_single_samples(df))
     source = lambda t: rendered_source(
-        F.col("query"), F.array(render_table(F.col("table"), t)), F.array(F.lit(SINGLE_NAME))
+        "query", f"array({render_table('table', t)})", f"array({lit(SINGLE_NAME)})"
     )
     columns = []
     for table_type in FORMATS:
-        columns.append(source(table_type).alias(f"source_{table_type}"))
-        columns.append(render_table(F.col("answer"), table_type).alias(f"target_{table_type}"))
+        columns.append(F.expr(source(table_type)).alias(f"source_{table_type}"))
+        columns.append(F.expr(render_table("answer", table_type)).alias(f"target_{table_type}"))
     return good.select(*keep, *columns)
 
 
 def model_pairs(df: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """Source and target in model form."""
-    return df.withColumns({source: model_text(F.col(source)), target: model_text(F.col(target))})
+    return df.withColumns({source: F.expr(model_text(source)), target: F.expr(model_text(target))})

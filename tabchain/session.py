@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Settings every job of this package is written for. All are runtime SQL
 #: settings, so a cluster can override each of them.
 DEFAULT_CONF = {
+    # Call sites of every column operation are not worth their round trips.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -51,7 +51,7 @@ def load_parquet(spark: SparkSession, folder: str, names: list[str]) -> dict[str
 def decode_latin1(df: DataFrame) -> DataFrame:
     """Every binary column as ISO-8859-1 text."""
     binary = [f.name for f in df.schema if isinstance(f.dataType, T.BinaryType)]
-    return df.withColumns({c: latin1_text(F.col(c)) for c in binary})
+    return df.withColumns({c: F.expr(latin1_text(f"`{c}`")) for c in binary})
 
 
 def run_sql(spark: SparkSession, query: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -63,10 +63,10 @@ def run_sql(spark: SparkSession, query: str, tables: dict[str, DataFrame] | None
 
 def preview_text(df: DataFrame, rows: int) -> str:
     """First rows of a table as Markdown. Collects ``rows`` rows."""
-    taken = df.limit(rows).select(text_cells(df, df.columns).alias("cells"))
+    taken = df.limit(rows).select(F.expr(text_cells(df.schema, df.columns)).alias("cells"))
     cells = [list(r.cells) for r in taken.collect()]
     one = df.sparkSession.createDataFrame([(df.columns, cells)], "columns array<string>, rows array<array<string>>")
-    return one.select(markdown_table(table_value(F.col("columns"), F.col("rows"))).alias("text")).first().text
+    return one.select(F.expr(markdown_table(table_value("columns", "rows"))).alias("text")).first().text
 
 
 def view_tables(tables: dict[str, DataFrame], names: list[str], rows: int = VIEW_ROWS) -> str:

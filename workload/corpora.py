@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabchain.functions.cells import table_value
+from tabchain.functions.cells import table_value, text_array
 from tabchain.functions.linear import linear_source, linear_target
+from tabchain.functions.sqltext import lit
 from tabchain.operators.nesting import nest_rows
 
 SINGLE_ROWS = 8  # orders per single-table sample
@@ -18,10 +19,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def rows(*cells: str) -> Column:
-    return F.array(*[F.lit(c) for c in cells])
-
-
 def split_name() -> Column:
     """Split of a sample: one in ten for test, one in ten for validation."""
     rest = F.col("sample_id") % 10
@@ -39,31 +36,26 @@ def order_tables(spark: SparkSession, d: str, rows_per_table: int = SINGLE_ROWS)
     ).withColumnRenamed("part_no", "sample_id")
 
 
-def _finished(orders: str = "table") -> Column:
-    """Key and date of the finished orders of a block."""
-    return table_value(
-        rows("o_orderkey", "o_orderdate"),
-        F.transform(
-            F.filter(F.col(orders)["rows"], lambda r: F.get(r, F.lit(2)) == "F"),
-            lambda r: F.array(F.get(r, F.lit(0)), F.get(r, F.lit(3))),
-        ),
-    )
+#: Key and date of the finished orders of a block.
+FINISHED = table_value(
+    text_array(["o_orderkey", "o_orderdate"]),
+    "transform(filter(table.rows, r -> get(r, 2) = 'F'), r -> array(get(r, 0), get(r, 3)))",
+)
 
 
 def single_samples(spark: SparkSession, d: str) -> DataFrame:
     """``(sample_id, query, table, answer)``"""
     return order_tables(spark, d).select(
-        "sample_id", F.lit(SINGLE_QUERY).alias("query"), "table", _finished().alias("answer")
+        "sample_id", F.lit(SINGLE_QUERY).alias("query"), "table", F.expr(FINISHED).alias("answer")
     )
 
 
 def single_texts(spark: SparkSession, d: str) -> DataFrame:
     """``(sample_id, source, target)`` in linear single-table form."""
-    samples = single_samples(spark, d)
-    return samples.select(
+    return single_samples(spark, d).selectExpr(
         "sample_id",
-        linear_source(F.col("query"), F.array("table"), F.array(F.lit(""))).alias("source"),
-        linear_target(F.col("answer")).alias("target"),
+        f"{linear_source('query', 'array(table)', 'array(' + lit('') + ')')} AS source",
+        f"{linear_target('answer')} AS target",
     )
 
 
@@ -83,7 +75,7 @@ def multi_samples(spark: SparkSession, d: str) -> DataFrame:
         F.lit(MULTI_QUERY).alias("query"),
         F.array(F.lit("orders"), F.lit("customer")).alias("table_names"),
         F.array("table", "customers").alias("tables"),
-        _finished().alias("answer"),
+        F.expr(FINISHED).alias("answer"),
     )
 
 

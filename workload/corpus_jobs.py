@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabchain.functions.cells import table_value
+from tabchain.functions.cells import table_value, text_array
 from tabchain.functions.linear import linear_table
+from tabchain.functions.sqltext import lit, struct
 from tabchain.operators import evaluation as ev
 from tabchain.operators import positions as pos
 from tabchain.operators.assembly import align, union_sets
@@ -19,7 +20,6 @@ from workload.corpora import (
     multi_samples,
     order_tables,
     predictions,
-    rows,
     single_samples,
     single_texts,
     split_name,
@@ -136,7 +136,7 @@ def split_files(spark, d):
     root = scratch_path(spark, "splits")
     corpus.write_splits(multi_samples(spark, d), root)
     return corpus.read_split(spark, root, "validation").select(
-        "sample_id", "split", linear_table(F.get("tables", F.lit(1)), F.get("table_names", F.lit(1))).alias("text")
+        "sample_id", "split", F.expr(linear_table("get(tables, 1)", "get(table_names, 1)")).alias("text")
     )
 
 
@@ -188,13 +188,10 @@ _MATCH_COLUMNS = f"count(*) AS samples, count(*) FILTER ({_MATCH}) AS matches, r
 def table_match(spark, d):
     """Answer tables against predictions: same, other row order, changed, missing."""
     truth = single_samples(spark, d).select("sample_id", split_name().alias("split"), F.col("answer").alias("truth"))
-    t = F.col("truth")
-    pred = (
-        F.when(F.col("sample_id") % 5 == 0, table_value(t["columns"], F.reverse(t["rows"])))
-        .when(F.col("sample_id") % 7 == 0, table_value(t["columns"], F.slice(t["rows"], 1, 1)))
-        .when(F.col("sample_id") % 9 != 0, t)
-    )
-    return ev.table_match_report(truth.withColumn("pred", pred), ["split"])
+    pred = f"""CASE WHEN sample_id % 5 = 0 THEN {table_value('truth.columns', 'reverse(truth.rows)')}
+        WHEN sample_id % 7 = 0 THEN {table_value('truth.columns', 'slice(truth.rows, 1, 1)')}
+        WHEN sample_id % 9 != 0 THEN truth END"""
+    return ev.table_match_report(truth.withColumn("pred", F.expr(pred)), ["split"])
 
 
 TABLE_MATCH_SQL = f"""
@@ -205,32 +202,34 @@ SELECT {q.SPLIT} AS split, count(*) AS samples,
 FROM n GROUP BY 1"""
 
 
-def _step(step: str, *columns: str, op: str = "", value: str = "", n: int = 0, table_no: int = 0):
-    return F.struct(
-        F.lit(step).alias("step"), rows(*columns).cast("array<string>").alias("columns"), F.lit(op).alias("op"),
-        F.lit(value).alias("value"), F.lit(n).alias("n"), F.lit(table_no).alias("table"),
-    ).cast(STEP_DDL)
+def _step(step: str, *columns: str, op: str = "", value: str = "", n: int = 0, table_no: int = 0) -> str:
+    fields = struct(step=lit(step), columns=text_array(columns), op=lit(op), value=lit(value), n=str(n), table=str(table_no))
+    return f"CAST({fields} AS {STEP_DDL})"
 
 
 def chain_samples(spark, d) -> DataFrame:
     """Order blocks as two tables that share the key, with a chain per sample."""
-    t = F.col("table")
-    first = table_value(rows("o_orderkey", "o_custkey", "o_orderstatus"), F.transform(t["rows"], lambda r: F.slice(r, 1, 3)))
-    second = table_value(rows("o_orderkey", "o_orderstatus", "o_orderdate"), F.transform(t["rows"], lambda r: F.array(F.get(r, F.lit(0)), F.get(r, F.lit(2)), F.get(r, F.lit(3)))))
-    steps = (
-        F.when(F.col("sample_id") % 4 == 0, F.array(_step("filter", "o_orderstatus", op="=", value="F"), _step("select", "no_such_column"), _step("select", "o_orderkey")))
-        .when(F.col("sample_id") % 4 == 1, F.array(_step("group_count", "o_orderstatus")))
-        .when(F.col("sample_id") % 4 == 2, F.array(_step("sort_desc", "o_custkey"), _step("limit", n=3), _step("select", "o_custkey", "o_orderkey")))
-        .otherwise(F.array(_step("filter", "o_orderkey", op=">=", value="40"), _step("join", "o_orderkey", table_no=2), _step("select", "o_orderkey", "o_orderstatus_x", "o_orderdate")))
+    cells = lambda *at: f"transform(table.rows, r -> array({', '.join(f'get(r, {i})' for i in at)}))"
+    first = table_value(text_array(["o_orderkey", "o_custkey", "o_orderstatus"]), cells(0, 1, 2))
+    second = table_value(text_array(["o_orderkey", "o_orderstatus", "o_orderdate"]), cells(0, 2, 3))
+    filtered = (_step("filter", "o_orderstatus", op="=", value="F"), _step("select", "no_such_column"), _step("select", "o_orderkey"))
+    top = (_step("sort_desc", "o_custkey"), _step("limit", n=3), _step("select", "o_custkey", "o_orderkey"))
+    joined = (
+        _step("filter", "o_orderkey", op=">=", value="40"),
+        _step("join", "o_orderkey", table_no=2),
+        _step("select", "o_orderkey", "o_orderstatus_x", "o_orderdate"),
+    )
+    steps = f"""CASE sample_id % 4 WHEN 0 THEN array({', '.join(filtered)}) WHEN 1 THEN array({_step("group_count", "o_orderstatus")})
+        WHEN 2 THEN array({', '.join(top)}) ELSE array({', '.join(joined)}) END"""
+    finished = table_value(text_array(["o_orderkey"]), "transform(filter(table.rows, r -> get(r, 2) = 'F'), r -> slice(r, 1, 1))")
+    return order_tables(spark, d).selectExpr(
+        "sample_id", f"array({first}, {second}) AS tables", f"{steps} AS steps", f"if(sample_id % 4 = 0, {finished}, {first}) AS answer"
     )
-    finished = F.filter(t["rows"], lambda r: F.get(r, F.lit(2)) == "F")
-    answer = F.when(F.col("sample_id") % 4 == 0, table_value(rows("o_orderkey"), F.transform(finished, lambda r: F.slice(r, 1, 1)))).otherwise(first)
-    return order_tables(spark, d).select("sample_id", F.array(first, second).alias("tables"), steps.alias("steps"), answer.alias("answer"))
 
 
 def corpus_chain(spark, d):
     done = run_corpus_chains(chain_samples(spark, d))
-    return done.select("sample_id", linear_table(F.col("pred")).alias("pred"), "failed_steps")
+    return done.selectExpr("sample_id", f"{linear_table('pred')} AS pred", "failed_steps")
 
 
 CORPUS_CHAIN_SQL = f"""

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabchain.functions.cells import text_array
+from tabchain.functions.sqltext import lit
 from tabchain.operators import generation as g
 from tabchain.operators.steps import AGGREGATES, CONNECTORS, NUMERIC_OPS, STRING_OPS
 from workload import sql_parts as q
-from workload.corpora import multi_samples, order_tables, rows, table
+from workload.corpora import multi_samples, order_tables, table
 from workload.sql_parts import quoted
 
 SEED = 7
@@ -27,7 +29,7 @@ def where_aggs(spark, d):
 
 
 def _two_tables(spark, d) -> DataFrame:
-    return multi_samples(spark, d).select("sample_id", F.get("tables", F.lit(0)).alias("a"), F.get("tables", F.lit(1)).alias("b"))
+    return multi_samples(spark, d).select("sample_id", F.expr("get(tables, 0) AS a"), F.expr("get(tables, 1) AS b"))
 
 
 def where_two(spark, d):
@@ -53,13 +55,13 @@ def execute(spark, d):
         "query_no",
         "text",
         "valid",
-        F.coalesce(F.array_join(F.transform("answer_rows", lambda r: F.get(r, F.lit(0))), ","), F.lit("-")).alias("keys"),
+        F.expr("coalesce(array_join(transform(answer_rows, r -> get(r, 0)), ','), '-') AS keys"),
     )
 
 
 def group_by(spark, d):
     t = order_tables(spark, d)
-    made = g.generate_group_by(t, "sample_id", F.col("table.columns"), F.get("table.rows", F.lit(0)), F.lit("orders"), PER_TABLE, SEED)
+    made = g.generate_group_by(t, "sample_id", "table.columns", "get(table.rows, 0)", lit("orders"), PER_TABLE, SEED)
     return made.select("sample_id", "query_no", "group_pos", "text")
 
 
@@ -85,7 +87,7 @@ def having_groups(spark, d):
     """GROUP BY … HAVING over flat tables of any size; constants come from the grouped results."""
     flat = _flat_rows(spark, d)
     firsts = flat.groupBy("o_orderpriority").agg(F.min_by("cells", "o_orderkey").alias("first_row"))
-    made = g.generate_group_by(firsts, "o_orderpriority", rows(*_FLAT_COLUMNS), F.col("first_row"), F.lit("orders"), 3, SEED)
+    made = g.generate_group_by(firsts, "o_orderpriority", text_array(_FLAT_COLUMNS), "first_row", lit("orders"), 3, SEED)
     return g.having_from_groups(flat.select("o_orderpriority", "cells"), made, "o_orderpriority", SEED)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabchain.functions import formats, linear
-from tabchain.functions.cells import clean_table, table_from_split_json, table_value
+from tabchain.functions.cells import clean_table, table_from_split_json, table_value, text_array
+from tabchain.functions.sqltext import lit
 from tabchain.functions.text import baseline_prompt, table_descriptor
 from tabchain.operators.assembly import fill_from_text, pretraining_sample
 from tabchain.operators.evaluation import quality_report
@@ -15,23 +16,23 @@ from tabchain.plans.formatting import (
     format_single_table,
     linear_samples,
     model_pairs,
+    parse_multi_samples,
     parse_single_samples,
 )
-from tabchain.functions.parsing import parse_multi_source, parse_target
 from workload import sql_parts as q
-from workload.corpora import MULTI_QUERY, multi_samples, order_tables, rows, single_samples, single_texts, table
+from workload.corpora import MULTI_QUERY, multi_samples, order_tables, single_samples, single_texts, table
 
 
 def linear_header(spark: SparkSession, d: str) -> DataFrame:
-    return order_tables(spark, d).select("sample_id", linear.linear_header(F.col("table.columns")).alias("header"))
+    return order_tables(spark, d).selectExpr("sample_id", f"{linear.linear_header('table.columns')} AS header")
 
 
 def linear_rows(spark, d):
-    return order_tables(spark, d).select("sample_id", linear.linear_rows(F.col("table.rows")).alias("rows"))
+    return order_tables(spark, d).selectExpr("sample_id", f"{linear.linear_rows('table.rows')} AS rows")
 
 
 def linear_table(spark, d):
-    return order_tables(spark, d).select("sample_id", linear.linear_table(F.col("table"), F.lit("orders")).alias("text"))
+    return order_tables(spark, d).selectExpr("sample_id", f"{linear.linear_table('table', lit('orders'))} AS text")
 
 
 def linear_source(spark, d):
@@ -39,12 +40,12 @@ def linear_source(spark, d):
 
 
 def linear_target(spark, d):
-    return single_samples(spark, d).select("sample_id", linear.linear_target(F.col("answer")).alias("target"))
+    return single_samples(spark, d).selectExpr("sample_id", f"{linear.linear_target('answer')} AS target")
 
 
 def _render(form: str):
     def run(spark, d):
-        return order_tables(spark, d).select("sample_id", formats.render_table(F.col("table"), form).alias("text"))
+        return order_tables(spark, d).selectExpr("sample_id", f"{formats.render_table('table', form)} AS text")
 
     return run
 
@@ -59,8 +60,8 @@ def _render_sql(form: str) -> str:
 def escaped_html(spark, d):
     """Rendering of whole raw page sources as cells."""
     p = table(spark, d, "pages")
-    one = table_value(rows("url", "<html>"), F.array(F.array("url", "html")))
-    return p.select("page_id", formats.html_table(one).alias("text"))
+    one = table_value(text_array(["url", "<html>"]), "array(array(url, html))")
+    return p.selectExpr("page_id", f"{formats.html_table(one)} AS text")
 
 
 # Characters that the text stripping removes, as a SQL text.
@@ -138,8 +139,8 @@ FROM o JOIN k USING (sample_id) LEFT JOIN a USING (sample_id)"""
 def parse_single(spark, d):
     """Rendered single-table samples parsed back to cells."""
     parsed = parse_single_samples(single_texts(spark, d))
-    both = parsed.where("reason is null").select(
-        "sample_id", F.array("table", "answer").alias("tables"), rows("source", "target").alias("names")
+    both = parsed.where("reason is null").selectExpr(
+        "sample_id", "array(table, answer) AS tables", "array('source', 'target') AS names"
     )
     return long_cells(both, "sample_id", "tables", "names")
 
@@ -163,14 +164,9 @@ PARSE_SINGLE_SQL = (
 
 def parse_multi(spark, d):
     """Rendered multi-table samples parsed back to cells."""
-    texts = linear_samples(multi_samples(spark, d)).select("sample_id", parse_multi_source(F.col("source")).alias("p"))
-    good = texts.where("p.reason is null and p.query = '" + MULTI_QUERY + "'")
-    return long_cells(
-        good.select("sample_id", F.col("p.tables").alias("tables"), F.col("p.table_names").alias("names")),
-        "sample_id",
-        "tables",
-        "names",
-    )
+    texts = linear_samples(multi_samples(spark, d)).select("sample_id", "source")
+    good = parse_multi_samples(texts).where((F.col("reason").isNull()) & (F.col("query") == MULTI_QUERY))
+    return long_cells(good, "sample_id", "tables", "table_names")
 
 
 PARSE_MULTI_SQL = (
@@ -192,8 +188,7 @@ def parse_rejects(spark, d):
             "p_brand",
         ).alias("source"),
     )
-    parsed = p.select(parse_multi_source(F.col("source"))["reason"].alias("reason"))
-    return parsed.groupBy(F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("samples"))
+    return parse_multi_samples(p).groupBy(F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("samples"))
 
 
 REJECTS_SQL = """
@@ -207,12 +202,12 @@ def fill_missing(spark, d):
     lost = F.col("sample_id") % 3 == 0
     holes = full.withColumns({c: F.when(~lost, F.col(c)) for c in ("query", "tables", "table_names", "answer")})
     filled = fill_from_text(holes)
-    return filled.select(
+    return filled.selectExpr(
         "sample_id",
         "query",
-        F.array_join("table_names", ",").alias("names"),
-        linear.linear_source(F.col("query"), F.col("tables"), F.col("table_names")).alias("source"),
-        linear.linear_target(F.col("answer")).alias("target"),
+        "array_join(table_names, ',') AS names",
+        f"{linear.linear_source('query', 'tables', 'table_names')} AS source",
+        f"{linear.linear_target('answer')} AS target",
     )
 
 
@@ -233,7 +228,7 @@ def split_json(spark, d):
         quote("p_name"), F.lit(","), quote("p_brand"), F.lit(","), F.col("p_size").cast("string"), F.lit(",true,null],["),
         quote("p_type"), F.lit(",{\"x\":1},12500000.0,false,"), F.col("p_partkey").cast("string"), F.lit("]]}"),
     )
-    tables = p.select("p_partkey", F.array(table_from_split_json(json)).alias("t"), rows("part").alias("n"))
+    tables = p.withColumn("json", json).selectExpr("p_partkey", f"array({table_from_split_json('json')}) AS t", "array('part') AS n")
     cells = long_cells(tables, "p_partkey", "t", "n")
     return cells.select("p_partkey", "row_no", "col_no", "col_name", F.coalesce("value", F.lit("<null>")).alias("value"))
 
@@ -248,22 +243,18 @@ SELECT p_partkey, 2, unnest(range(1, 6))::INTEGER, unnest(['p_name', '7', 'p_siz
 
 def _dirty(spark, d) -> DataFrame:
     """Order blocks with repeated names and NULL cells."""
-    return order_tables(spark, d).select(
-        "sample_id",
-        table_value(
-            rows("key", "who", "key", "date"),
-            F.transform("table.rows", lambda r: F.transform(r, lambda x, i: F.when((i != 2) | (x != "O"), x))),
-        ).alias("table"),
-    )
+    holes = "transform(table.rows, r -> transform(r, (x, i) -> if(i != 2 OR x != 'O', x, NULL)))"
+    dirty = table_value(text_array(["key", "who", "key", "date"]), holes)
+    return order_tables(spark, d).selectExpr("sample_id", f"{dirty} AS table")
 
 
 def clean_cells(spark, d):
     """Cleaned blocks in both null modes."""
     t = _dirty(spark, d)
-    return t.select(
+    return t.selectExpr(
         "sample_id",
-        linear.linear_table(clean_table(F.col("table"))).alias("empty_mode"),
-        linear.linear_table(clean_table(F.col("table"), "literal")).alias("literal_mode"),
+        f"{linear.linear_table(clean_table('table'))} AS empty_mode",
+        f"{linear.linear_table(clean_table('table', 'literal'))} AS literal_mode",
     )
 
 
@@ -276,26 +267,26 @@ def _clean_sql() -> str:
 
 
 def dedup_columns(spark, d):
-    return _dirty(spark, d).select("sample_id", F.array_join(clean_table(F.col("table"))["columns"], ",").alias("columns"))
+    return _dirty(spark, d).selectExpr("sample_id", f"array_join({clean_table('table')}.columns, ',') AS columns")
 
 
 def descriptor(spark, d):
-    return multi_samples(spark, d).select("sample_id", table_descriptor(F.col("tables")).alias("text"))
+    return multi_samples(spark, d).selectExpr("sample_id", f"{table_descriptor('tables')} AS text")
 
 
 def prompt(spark, d):
     s = single_samples(spark, d)
-    return s.select("sample_id", baseline_prompt(linear.linear_table(F.col("table")), F.lit("Who ordered last?")).alias("prompt"))
+    return s.selectExpr("sample_id", f"{baseline_prompt(linear.linear_table('table'), lit('Who ordered last?'))} AS prompt")
 
 
 def pretraining(spark, d):
     s = multi_samples(spark, d).withColumn("query", F.concat(F.lit("who  is ! = "), F.col("sample_id").cast("string"), F.lit(" <  = ")))
     p = pretraining_sample(s)
-    return p.select(
+    return p.selectExpr(
         "sample_id",
         "question",
-        F.size("tables").alias("n_tables"),
-        linear.linear_source(F.col("question"), F.col("tables"), F.col("table_names")).alias("source"),
+        "size(tables) AS n_tables",
+        f"{linear.linear_source('question', 'tables', 'table_names')} AS source",
     )
 
 
@@ -314,10 +305,7 @@ def quality(spark, d):
             "query": F.when(F.col("sample_id") % 7 == 0, "").otherwise(F.col("query")),
             "answer": F.when(F.col("sample_id") % 11 != 0, F.col("answer")),
             "table_names": F.when(F.col("sample_id") % 13 == 0, F.slice("table_names", 1, 1)).otherwise(F.col("table_names")),
-            "tables": F.transform(
-                "tables",
-                lambda t, i: F.when((i == 1) & (F.col("sample_id") % 5 == 0), table_value(t["columns"], F.slice(t["rows"], 1, 0))).otherwise(t),
-            ),
+            "tables": F.expr(f"transform(tables, (t, i) -> if(i = 1 AND sample_id % 5 = 0, {table_value('t.columns', 'array()')}, t))"),
         }
     )
     return quality_report(holes, ["split"])

@@ -24,7 +24,7 @@ def _model(column: str) -> str:
 def normalize(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("turn"), "text")
     talks = table(spark, d, "conversations").select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), "turn", "text")
-    return docs.unionByName(talks).withColumn("text", text.model_text(F.col("text")))
+    return docs.unionByName(talks).withColumn("text", F.expr(text.model_text("text")))
 
 
 NORMALIZE_SQL = f"""
@@ -41,7 +41,7 @@ q AS (SELECT c_custkey, CASE c_custkey % 4
 
 
 def repair(spark, d):
-    return query_texts(spark, d).select("c_custkey", text.repair_query(F.col("query")).alias("query"))
+    return query_texts(spark, d).selectExpr("c_custkey", f"{text.repair_query('query')} AS query")
 
 
 REPAIR_SQL = """
@@ -54,14 +54,13 @@ SELECT c_custkey, CASE c_custkey % 4
 
 def keyword_profile(spark, d):
     """Keyword counts and spans of each query."""
-    spans = lambda s: F.array_join(F.transform(s, lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
-    query = F.col("query")
-    return query_texts(spark, d).select(
+    spans = lambda s: f"array_join(transform({s}, x -> concat(x.start, '-', x.end)), ',')"
+    return query_texts(spark, d).selectExpr(
         "c_custkey",
-        text.keyword_count(query, text.SELECT_PATTERN).alias("n_select"),
-        text.keyword_count(query, text.FROM_PATTERN).alias("n_from"),
-        spans(text.select_spans(query)).alias("select_spans"),
-        spans(text.from_spans(query)).alias("from_spans"),
+        f"{text.keyword_count('query', text.SELECT_PATTERN)} AS n_select",
+        f"{text.keyword_count('query', text.FROM_PATTERN)} AS n_from",
+        f"{spans(text.select_spans('query'))} AS select_spans",
+        f"{spans(text.from_spans('query'))} AS from_spans",
     )
 
 
@@ -81,9 +80,9 @@ SELECT c_custkey, len(regexp_extract_all(query, '(?i)select '))::INTEGER AS n_se
 
 def profile_levels(spark, d):
     """Nesting levels of the query corpus."""
-    levels = query_texts(spark, d).select(
-        text.keyword_count(F.col("query"), text.SELECT_PATTERN).alias("level"),
-        text.keyword_count(F.col("query"), text.FROM_PATTERN).alias("n_from"),
+    levels = query_texts(spark, d).selectExpr(
+        f"{text.keyword_count('query', text.SELECT_PATTERN)} AS level",
+        f"{text.keyword_count('query', text.FROM_PATTERN)} AS n_from",
     )
     return levels.groupBy("level").agg(F.count("*").alias("queries"), F.sum("n_from").alias("n_from"))
 
@@ -101,7 +100,7 @@ log AS (SELECT c_custkey AS seq, 'Which customers are like ' || c_name || '?' AS
 
 
 def next_action(spark, d):
-    return chain_log(spark, d).select("seq", text.next_action(F.col("chain")).alias("action"))
+    return chain_log(spark, d).selectExpr("seq", f"{text.next_action('chain')} AS action")
 
 
 NEXT_SQL = """
@@ -111,7 +110,7 @@ SELECT c_custkey AS seq, CASE c_custkey % 3 WHEN 0 THEN 'filter(' || c_nationkey
 
 def chain_steps(spark, d):
     """How often each step stands at each place of a logged chain."""
-    steps = chain_log(spark, d).select(F.posexplode(text.chain_actions(F.col("chain"))).alias("p", "action"))
+    steps = chain_log(spark, d).selectExpr(f"posexplode({text.chain_actions('chain')}) AS (p, action)")
     return steps.groupBy((F.col("p") + 1).alias("step_no"), "action").agg(F.count("*").alias("n"))
 
 
@@ -124,7 +123,7 @@ SELECT step_no, action, count(*) AS n FROM (
 
 
 def chain_texts(spark, d):
-    return chain_log(spark, d).select("seq", text.chain_text(text.chain_actions(F.col("chain"))).alias("chain"))
+    return chain_log(spark, d).selectExpr("seq", f"{text.chain_text(text.chain_actions('chain'))} AS chain")
 
 
 CHAIN_TEXT_SQL = f"""
@@ -262,11 +261,10 @@ def map_batch_function(spark, d):
 
 def split_cell(spark, d):
     """Parts of cells that hold several values."""
-    e = table(spark, d, "part")
-    return e.select(
+    return table(spark, d, "part").selectExpr(
         "p_partkey",
-        text.split_cell(F.col("p_name"), " ", 0).alias("first"),
-        F.coalesce(text.split_cell(F.col("p_name"), " ", 1), F.lit("")).alias("second"),
+        f"{text.split_cell('p_name', ' ', 0)} AS first",
+        f"coalesce({text.split_cell('p_name', ' ', 1)}, '') AS second",
     )
 
 
