@@ -15,6 +15,7 @@ from tabchain.functions.draws import draw, draw_below, draw_item
 from tabchain.functions.sqltext import exists, fold, let, lit, struct, transform, where
 from tabchain.operators.joins import spread_join
 from tabchain.operators.steps import AGGREGATES, CONNECTORS, NUMERIC_OPS, STRING_OPS
+from tabchain.session import cut_lineage
 
 CONDITION_DDL = (
     "array<struct<col:string,owner:int,pos:int,agg:string,op:string,"
@@ -272,15 +273,18 @@ def generate_group_by(
     return queries.selectExpr(key, "query_no", "items", f"{group}.pos AS group_pos", f"{text} AS text")
 
 
-def _aggregate_result(agg: Column, cell: Column) -> Column:
-    """The one aggregate that the group's item names."""
-    number = cell.try_cast(RESULT_TYPE)
+def _aggregate_result() -> Column:
+    """The one aggregate that the group's item names.
+
+    Each aggregate is fed only with the rows of its own items.
+    """
+    only = lambda *names: F.when(F.col("agg").isin(*names), F.col("number"))
     return (
-        F.when(F.first(agg) == "COUNT", F.count(cell).cast(RESULT_TYPE))
-        .when(F.first(agg) == "SUM", F.sum(number).cast(RESULT_TYPE))
-        .when(F.first(agg) == "AVG", F.round(F.avg(number), 4).cast(RESULT_TYPE))
-        .when(F.first(agg) == "MAX", F.max(number))
-        .otherwise(F.min(number))
+        F.when(F.col("agg") == "COUNT", F.count("cell").cast(RESULT_TYPE))
+        .when(F.col("agg") == "SUM", F.sum(only("SUM")).cast(RESULT_TYPE))
+        .when(F.col("agg") == "AVG", F.round(F.avg(only("AVG")), 4).cast(RESULT_TYPE))
+        .when(F.col("agg") == "MAX", F.max(only("MAX")))
+        .otherwise(F.min(only("MIN", "")))
     )
 
 
@@ -290,24 +294,24 @@ def decimal_text(value: str) -> str:
 
 
 def having_from_groups(
-    rows: DataFrame, queries: DataFrame, key: str, seed: int, salts: int = 32
+    rows: DataFrame, queries: DataFrame, key: str, row_id: str, seed: int, salts: int = 32
 ) -> DataFrame:
     """Full ``SELECT … GROUP BY … HAVING …`` queries with their answer size.
 
-    ``rows`` holds the tables as flat rows ``(key, cells)`` of any number per
-    key, ``queries`` comes from :func:`generate_group_by`. Every GROUP BY runs
+    ``rows`` holds the tables as flat rows ``(key, row_id, cells)`` of any
+    number per key, ``queries`` comes from :func:`generate_group_by`. Every GROUP BY runs
     once for all tables; the HAVING constants are drawn from its results, the
     query is checked by filtering the groups. A query without a usable
     condition has empty text and is not valid.
 
     The joins on the table key spread hot tables and the groups are aggregated
     per task first, so a table that holds most of the rows is not one task's
-    work.
+    work. The grouped results are read several times, so they are written once.
     """
     used = where("items", lambda x: f"{x}.agg != '' OR size(items) = 1")
     wanted = queries.select(key, "query_no", "group_pos", F.expr(used).alias("items"))
     cells = (
-        spread_join(rows, wanted, [key], ["cells"], salts=salts)
+        spread_join(rows, wanted, [key], [row_id], salts=salts)
         .selectExpr(
             key, "query_no", "get(cells, group_pos) AS group_value", "cells", "posexplode(items) AS (item_no, item)"
         )
@@ -320,9 +324,12 @@ def having_from_groups(
             "item.agg AS agg",
             "get(cells, item.pos) AS cell",
         )
+        .withColumn("number", F.expr(f"if(agg = 'COUNT', NULL, try_cast(cell AS {RESULT_TYPE}))"))
     )
-    results = cells.groupBy(key, "query_no", "group_value", "item_no", "col", "agg").agg(
-        _aggregate_result(F.col("agg"), F.col("cell")).alias("result")
+    results = cut_lineage(
+        cells.groupBy(key, "query_no", "group_value", "item_no", "col", "agg").agg(
+            _aggregate_result().alias("result")
+        )
     )
     place = draw(seed, key, "query_no", "item_no", lit("value"), "coalesce(group_value, '')")
     constants = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 JOIN_TYPES = ("inner", "left", "right", "outer")
 #: A key is hot when it holds more than one part in HOT_SHARE of the rows.
@@ -50,17 +50,19 @@ def table_join(
     return joined.select(*key_columns, *rest)
 
 
-def hot_keys(df: DataFrame, on: list[str], by: list[str]) -> DataFrame:
-    """Keys that hold more than ``1 / HOT_SHARE`` of the rows: fewer than ``HOT_SHARE``.
+def hot_keys(df: DataFrame, on: list[str], by: list[str]) -> list[Row]:
+    """Keys that hold more than ``1 / HOT_SHARE`` of the rows.
 
-    The share is read from one row in a hundred, picked by hash. It only says
-    which keys are spread, never which rows are joined.
+    There are fewer than ``HOT_SHARE`` of them by construction, so collecting
+    them is bounded. The share is read from one row
+    in a hundred, picked by hash: it only says which keys are spread, never
+    which rows are joined.
     """
     counts = (
         df.where(F.pmod(F.xxhash64(*on, *by), F.lit(100)) == 0).groupBy(*on).agg(F.count("*").alias("_n"))
     )
     total = counts.agg(F.sum("_n").alias("_total"))
-    return counts.where(F.col("_n") * HOT_SHARE > total.scalar()).select(*on)
+    return counts.where(F.col("_n") * HOT_SHARE > total.scalar()).select(*on).collect()
 
 
 def spread_join(
@@ -77,12 +79,17 @@ def spread_join(
     side are repeated, once per salt. Use it where one key may hold a large
     share of the big side and a grouping on the same key follows: without the
     salt Spark would run both in the one task that holds the key. ``by`` names
-    columns of the big side that differ within a key.
+    columns of the big side that differ within a key. Without a hot key this
+    is a plain join, whose partitioning the grouping can use.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"a spread join is inner or left, not {how!r}")
-    # Fewer than HOT_SHARE rows by construction, so the broadcast is bounded.
-    hot = F.broadcast(hot_keys(big, on, by).withColumn("_hot", F.lit(True)))
+    found = hot_keys(big, on, by)
+    if not found:
+        return big.join(small, on, how)
+    # Fewer than HOT_SHARE rows, so the broadcast is bounded.
+    keys = big.sparkSession.createDataFrame(found, big.select(*on).schema)
+    hot = F.broadcast(keys.withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
     salted = big.join(hot, on, "left").withColumn(
         "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))

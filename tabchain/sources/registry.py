@@ -48,6 +48,16 @@ def load_parquet(spark: SparkSession, folder: str, names: list[str]) -> dict[str
     return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """A scan with fewer tasks than cores, spread over all cores.
+
+    For costly work per row on a few files. A scan that fills the cores, as any
+    large one does, stays as it is and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def decode_latin1(df: DataFrame) -> DataFrame:
     """Every binary column as ISO-8859-1 text."""
     binary = [f.name for f in df.schema if isinstance(f.dataType, T.BinaryType)]

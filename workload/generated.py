@@ -8,6 +8,7 @@ from tabchain.functions.cells import text_array
 from tabchain.functions.sqltext import lit
 from tabchain.operators import generation as g
 from tabchain.operators.steps import AGGREGATES, CONNECTORS, NUMERIC_OPS, STRING_OPS
+from tabchain.sources.registry import spread_scan
 from workload import sql_parts as q
 from workload.corpora import multi_samples, order_tables, table
 from workload.sql_parts import quoted
@@ -71,7 +72,7 @@ _FLAT_COLUMNS = ("o_orderstatus", "o_year", "o_month", "o_custkey")
 def _flat_rows(spark, d) -> DataFrame:
     """Orders as flat tables, one per priority: ``(o_orderpriority, o_orderkey, cells)``."""
     text = F.col("o_orderdate").cast("string")
-    return table(spark, d, "orders").select(
+    return spread_scan(table(spark, d, "orders")).select(
         "o_orderpriority",
         "o_orderkey",
         F.array(
@@ -88,7 +89,7 @@ def having_groups(spark, d):
     flat = _flat_rows(spark, d)
     firsts = flat.groupBy("o_orderpriority").agg(F.min_by("cells", "o_orderkey").alias("first_row"))
     made = g.generate_group_by(firsts, "o_orderpriority", text_array(_FLAT_COLUMNS), "first_row", lit("orders"), 3, SEED)
-    return g.having_from_groups(flat.select("o_orderpriority", "cells"), made, "o_orderpriority", SEED)
+    return g.having_from_groups(flat, made, "o_orderpriority", "o_orderkey", SEED)
 
 
 # --- SQL --------------------------------------------------------------------

@@ -8,6 +8,7 @@ from tabchain.functions import text
 from tabchain.operators import encoding
 from tabchain.operators.mapping import encode_with, map_batches, map_rows
 from tabchain.sources.corpus import few_shot_text, last_chains
+from tabchain.sources.registry import spread_scan
 from workload import sql_parts as q
 from workload.corpora import chain_log, query_texts, single_texts, table
 
@@ -146,8 +147,12 @@ SELECT string_agg('Question: ' || query || '\nChain: ' || chain || '\n\n', '' OR
 # --- encoding ---------------------------------------------------------------
 
 
+def _documents(spark, d) -> DataFrame:
+    return spread_scan(table(spark, d, "documents"))
+
+
 def vocabulary(spark, d):
-    return encoding.vocabulary(table(spark, d, "documents"), ["text"], VOCABULARY)
+    return encoding.vocabulary(_documents(spark, d), ["text"], VOCABULARY)
 
 
 _TOKENS = r"'[\p{L}\p{N}]+|[^\s\p{L}\p{N}]'"
@@ -165,7 +170,7 @@ VOCABULARY_SQL = f"WITH {_vocabulary_sql('documents')} SELECT token, n, token_id
 
 def _pairs(spark, d) -> DataFrame:
     """Document text as source, its language and source name as target."""
-    return table(spark, d, "documents").select("doc_id", F.col("text").alias("source"), F.concat_ws(" ", "lang", F.lit('"from"'), "source").alias("target"))
+    return _documents(spark, d).select("doc_id", F.col("text").alias("source"), F.concat_ws(" ", "lang", F.lit('"from"'), "source").alias("target"))
 
 
 def encode_fixed(spark, d):
