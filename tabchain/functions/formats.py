@@ -10,11 +10,10 @@ from tabchain.functions.sqltext import let, lit, struct, transform, zip_with
 
 FORMATS = ("latex", "html", "markdown")
 
-# Characters escaped in HTML cells, in this order.
-HTML_ESCAPES = (
-    ("&", "&amp;"),
-    ("<", "&lt;"),
-    (">", "&gt;"),
+# Characters escaped in HTML headers and cells, in this order.
+HTML_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
+# Characters written by their names, in cells only.
+HTML_CONTROLS = (
     ("\t", "\\t"),
     ("\r", "\\r"),
     ("\n", "\\n"),
@@ -28,17 +27,20 @@ HTML_BODY = "    </tr>\n  </thead>\n  <tbody>\n"
 HTML_END = "  </tbody>\n</table>"
 
 
-def html_cell(value: str) -> str:
-    escaped = reduce(
+def _escaped(value: str, escapes: tuple[tuple[str, str], ...]) -> str:
+    text = reduce(
         lambda text, pair: f"replace({text}, {lit(pair[0])}, {lit(pair[1])})",
-        HTML_ESCAPES,
+        escapes,
         f"coalesce({value}, '')",
     )
-    return strip(escaped)
+    return strip(text)
 
 
 def _html_cells(cells: str, tag: str) -> str:
-    return f"array_join({transform(cells, lambda x: f'''concat('      <{tag}>', {html_cell(x)}, {lit(f'</{tag}>' + chr(10))})''')}, '')"
+    escapes = HTML_ESCAPES if tag == "th" else HTML_ESCAPES + HTML_CONTROLS
+    end = lit(f"</{tag}>\n")
+    one = lambda x: f"concat('      <{tag}>', {_escaped(x, escapes)}, {end})"
+    return f"array_join({transform(cells, one)}, '')"
 
 
 def html_table(table: str) -> str:

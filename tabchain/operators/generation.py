@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabchain.functions.draws import draw, draw_below, draw_item
 from tabchain.functions.sqltext import exists, fold, let, lit, struct, transform, where
+from tabchain.functions.tables import column_position, join_tables
 from tabchain.operators.joins import spread_join
 from tabchain.operators.steps import AGGREGATES, CONNECTORS, NUMERIC_OPS, STRING_OPS
 from tabchain.session import cut_lineage
@@ -375,6 +376,28 @@ def having_from_groups(
     )
 
 
+def run_generated_two(queries: DataFrame, key: str, first: str, second: str, on: str) -> DataFrame:
+    """Answers of plain conditions over two tables, on their join by ``on``.
+
+    A column of both tables is meant as the first table's, which owns it.
+    """
+
+    def answer(joined: str) -> str:
+        position = lambda c: (
+            f"coalesce({column_position(joined, f'{c}.col')}, "
+            f"{column_position(joined, f'concat({c}.col, ' + lit('_x') + ')')})"
+        )
+        fields = ("col", "owner", "agg", "op", "val", "is_num", "connector")
+        moved = transform(
+            "conditions", lambda c: struct(pos=position(c), **{name: f"{c}.{name}" for name in fields})
+        )
+        return let(moved, lambda conditions: matching_rows(joined, conditions))
+
+    return queries.select(
+        key, "query_no", "text", F.expr(let(join_tables(first, second, lit(on)), answer)).alias("answer_rows")
+    )
+
+
 def run_generated(queries: DataFrame, key: str, table: str = "table") -> DataFrame:
     """Answers of generated WHERE queries; HAVING-only ones are not valid."""
     has_agg = exists("conditions", lambda c: f"{c}.agg != ''")

@@ -83,7 +83,7 @@ def run_chain(steps: Iterable[Step], tables: Tables, inter: DataFrame | None = N
             actions.append(step.text())
             log.append((number, step.op, json.dumps(step.args), "ok", None))
         except (AnalysisException, ParseException, ValueError, TypeError, KeyError) as error:
-            log.append((number, step.op, json.dumps(step.args), "error", str(error).splitlines()[0]))
+            log.append((number, step.op, json.dumps(step.args), "error", str(error).strip().split("\n")[0]))
     return ChainResult(inter, log, actions)
 
 

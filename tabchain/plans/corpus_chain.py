@@ -11,21 +11,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabchain.functions.cells import TABLE_DDL, clean_table, clean_tables, evaluate_once, table_value
 from tabchain.functions.sqltext import fold, forall, let, sort_with, struct, transform, where
+from tabchain.functions.tables import column_position, join_tables, runs
 
 #: One step: ``columns`` for select, sort keys or the join key; ``op`` and
 #: ``value`` for filter; ``n`` for limit; ``table`` (from 1) to start from or join.
 STEP_DDL = "struct<step:string,columns:array<string>,op:string,value:string,n:int,table:int>"
 
 
-def _position(table: str, name: str) -> str:
-    """0-based position of a column; NULL when it is unknown."""
-    return f"CAST(nullif(array_position({table}.columns, {name}), 0L) - 1 AS int)"
-
-
 def _with_column(table: str, step: str, body) -> str:
     """``body(position)`` of the step's first column, or NULL when it is unknown."""
     return let(
-        _position(table, f"get({step}.columns, 0)"), lambda at: f"if({at} IS NULL, NULL, {body(at)})"
+        column_position(table, f"get({step}.columns, 0)"), lambda at: f"if({at} IS NULL, NULL, {body(at)})"
     )
 
 
@@ -35,7 +31,7 @@ def _select(table: str, step: str) -> str:
         rows = transform(f"{table}.rows", lambda r: transform(at, lambda p: f"get({r}, {p})"))
         return f"if({known}, {table_value(f'{step}.columns', rows)}, NULL)"
 
-    return let(transform(f"{step}.columns", lambda c: _position(table, c)), chosen)
+    return let(transform(f"{step}.columns", lambda c: column_position(table, c)), chosen)
 
 
 def _filter(table: str, step: str) -> str:
@@ -92,78 +88,23 @@ def _limit(table: str, step: str) -> str:
     return table_value(f"{table}.columns", f"slice({table}.rows, 1, greatest({step}.n, 0))")
 
 
-def _runs(values: str, key, body) -> str:
-    """``body(first index, length)`` of each run of equal keys in a sorted array."""
-
-    def with_values(v: str) -> str:
-        starts = where(
-            f"sequence(0, size({v}) - 1)",
-            lambda i: f"{i} = 0 OR NOT {key(f'get({v}, {i})')} <=> {key(f'get({v}, {i} - 1)')}",
-        )
-        ends = lambda s, j: f"coalesce(get({s}, {j} + 1), size({v}))"
-        runs = let(starts, lambda s: transform(s, lambda x, j: body(v, x, f"{ends(s, j)} - {x}")))
-        return f"if(size({v}) = 0, array(), {runs})"
-
-    return let(values, with_values)
-
-
 def _group_count(table: str, step: str) -> str:
     """Rows per value, by value: sort once, then take the length of each run."""
 
     def counted(at: str) -> str:
         values = f"array_sort(filter(transform({table}.rows, r -> get(r, {at})), x -> x IS NOT NULL))"
-        rows = _runs(values, lambda x: x, lambda v, first, n: f"array(get({v}, {first}), CAST({n} AS string))")
+        rows = runs(values, lambda x: x, lambda v, first, n: f"array(get({v}, {first}), CAST({n} AS string))")
         return table_value(f"array(get({step}.columns, 0), 'count')", rows)
 
     return _with_column(table, step, counted)
 
 
 def _join(table: str, step: str, tables: str) -> str:
-    """Inner join with another table of the sample on one shared column.
-
-    Clashing other names get ``_x`` and ``_y``. The right rows are looked up
-    in a map by key, so the work follows the sizes of both sides and of the
-    result, not their product.
-    """
-    name = f"get({step}.columns, 0)"
-
-    def joined(ctx: str) -> str:
-        right, a, b = f"{ctx}.other", f"{ctx}.a", f"{ctx}.b"
-        others = lambda row: f"filter({row}, (x, i) -> i != {b})"
-        keyed = transform(
-            f"{right}.rows", lambda r, i: struct(k=f"coalesce(get({r}, {b}), '')", i=i, rest=others(r))
-        )
-        by_key = _runs(
-            f"array_sort({keyed})",
-            lambda x: f"{x}.k",
-            lambda v, first, n: struct(k=f"get({v}, {first}).k", rows=f"slice({v}, {first} + 1, {n}).rest"),
-        )
-        found = lambda m, r: f"coalesce(try_element_at({m}, coalesce(get({r}, {a}), '')), array())"
-        rows = let(
-            f"map_from_entries({by_key})",
-            lambda m: "flatten("
-            + transform(f"{table}.rows", lambda r: transform(found(m, r), lambda rest: f"concat({r}, {rest})"))
-            + ")",
-        )
-        left_names = transform(
-            f"{table}.columns",
-            lambda c: f"if({c} != {name} AND array_contains({right}.columns, {c}), concat({c}, '_x'), {c})",
-        )
-        right_names = transform(
-            others(f"{right}.columns"),
-            lambda c: f"if(array_contains({table}.columns, {c}), concat({c}, '_y'), {c})",
-        )
-        result = table_value(f"concat({left_names}, {right_names})", rows)
-        return (
-            f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN size({right}.rows) = 0 "
-            f"THEN {table_value(f'concat({left_names}, {right_names})', 'array()')} ELSE {result} END"
-        )
-
-    context = let(
+    """Inner join with another table of the sample on one shared column."""
+    return let(
         f"get({tables}, {step}.table - 1)",
-        lambda other: struct(other=other, a=_position(table, name), b=_position(other, name)),
+        lambda other: join_tables(table, other, f"get({step}.columns, 0)"),
     )
-    return let(context, joined)
 
 
 def run_corpus_step(table: str, step: str, tables: str) -> str:

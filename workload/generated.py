@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabchain.functions.cells import text_array
+from tabchain.functions.cells import table_value, text_array
 from tabchain.functions.sqltext import lit
 from tabchain.operators import generation as g
 from tabchain.operators.steps import AGGREGATES, CONNECTORS, NUMERIC_OPS, STRING_OPS
@@ -37,6 +37,21 @@ def where_two(spark, d):
     return g.generate_where_two(_two_tables(spark, d), "sample_id", "a", "b", PER_TABLE, SEED).select("sample_id", "query_no", "text")
 
 
+def execute_two(spark, d):
+    """Conditions over two tables that share the order key, run on their join."""
+    cells = lambda *at: f"transform(table.rows, r -> array({', '.join(f'get(r, {i})' for i in at)}))"
+    pairs = order_tables(spark, d).selectExpr(
+        "sample_id",
+        f"{table_value(text_array(q.ORDER_COLUMNS[:3]), cells(0, 1, 2))} AS a",
+        f"{table_value(text_array(['o_orderkey', 'o_orderdate']), cells(0, 3))} AS b",
+    )
+    made = g.generate_where_two(pairs, "sample_id", "a", "b", PER_TABLE, SEED)
+    answered = g.run_generated_two(made, "sample_id", "a", "b", "o_orderkey")
+    return answered.select(
+        "sample_id", "query_no", "text", F.expr("array_join(transform(answer_rows, r -> array_join(r, '|')), ',') AS found")
+    )
+
+
 def having_one(spark, d):
     made = g.generate_having(order_tables(spark, d), "sample_id", ["table"], PER_TABLE, SEED, with_aggs=True)
     return made.select("sample_id", "query_no", "text")
@@ -94,12 +109,14 @@ def having_groups(spark, d):
 
 # --- SQL --------------------------------------------------------------------
 
+# Order key and the three other columns; the key stands in both tables.
+_SHARED_ENTRIES = [("o_orderkey", 0, 0), ("o_custkey", 0, 1), ("o_orderstatus", 0, 2), ("o_orderkey", 0, 0), ("o_orderdate", 0, 3)]
 _ORDER_ENTRIES = [(c, 0, i) for i, c in enumerate(q.ORDER_COLUMNS)]
 _TWO_ENTRIES = _ORDER_ENTRIES + [(c, 1, i) for i, c in enumerate(q.CUSTOMER_COLUMNS)]
 
 
-def _condition_ctes(two: bool, aggs: bool, count_range: bool) -> str:
-    entries = _TWO_ENTRIES if two else _ORDER_ENTRIES
+def _condition_ctes(two: bool, aggs: bool, count_range: bool, shared: bool = False) -> str:
+    entries = _SHARED_ENTRIES if shared else _TWO_ENTRIES if two else _ORDER_ENTRIES
     key = (SEED, "sample_id", "query_no")
     values = ", ".join(f"({i}, '{c}', {o}, {p})" for i, (c, o, p) in enumerate(entries))
     blocks = f"s AS ({q.order_block(q.MULTI_ORDERS if two else q.SINGLE_ROWS)})"
@@ -139,21 +156,22 @@ def _conditions_sql(two: bool = False, aggs: bool = False, count_range: bool = T
     return f"WITH {_condition_ctes(two, aggs, count_range)} SELECT sample_id, query_no, text FROM texts"
 
 
-def _execute_sql() -> str:
+def _execute_sql(shared: bool = False) -> str:
     compare = lambda a, b: (
         f"CASE op WHEN '=' THEN {a} = {b} WHEN '!=' THEN {a} <> {b} WHEN '<' THEN {a} < {b} WHEN '>' THEN {a} > {b} "
         f"WHEN '<=' THEN {a} <= {b} WHEN '>=' THEN {a} >= {b} END"
     )
     return f"""
-WITH {_condition_ctes(False, True, True)},
+WITH {_condition_ctes(False, not shared, True, shared)},
 linked AS (SELECT *, coalesce(sum((link = 'OR')::INTEGER) OVER (PARTITION BY sample_id, query_no ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM conds),
 truth AS (SELECT a.sample_id, query_no, b.r AS row_no, grp,
   CASE WHEN is_num THEN {compare('try_cast(b.val AS DOUBLE)', 'try_cast(const AS DOUBLE)')} ELSE {compare('b.val', 'const')} END AS ok
   FROM linked a JOIN cells b ON a.sample_id = b.sample_id AND a.pos = b.pos),
 groups AS (SELECT sample_id, query_no, row_no, grp, bool_and(coalesce(ok, false)) AS ok FROM truth GROUP BY 1, 2, 3, 4),
 hits AS (SELECT sample_id, query_no, row_no FROM groups GROUP BY 1, 2, 3 HAVING bool_or(ok)),
-keys AS (SELECT hits.sample_id, query_no, string_agg(c1, ',' ORDER BY row_no) AS keys FROM hits JOIN s ON s.sample_id = hits.sample_id AND s.rn = row_no + 1 GROUP BY ALL)
-SELECT t.sample_id, t.query_no, CASE WHEN valid THEN text ELSE '' END AS text, valid, CASE WHEN valid THEN coalesce(keys, '') ELSE '-' END AS keys
+keys AS (SELECT hits.sample_id, query_no, string_agg({'concat_ws(\'|\', c1, c2, c3, c4)' if shared else 'c1'}, ',' ORDER BY row_no) AS keys FROM hits JOIN s ON s.sample_id = hits.sample_id AND s.rn = row_no + 1 GROUP BY ALL)
+SELECT t.sample_id, t.query_no, {"text, coalesce(keys, '') AS found" if shared else
+    "CASE WHEN valid THEN text ELSE '' END AS text, valid, CASE WHEN valid THEN coalesce(keys, '') ELSE '-' END AS keys"}
 FROM texts t LEFT JOIN keys k ON t.sample_id = k.sample_id AND t.query_no = k.query_no"""
 
 
@@ -218,4 +236,5 @@ QUERIES = {
     "gen_group_by": (group_by, GROUP_BY_SQL),
     "gen_having_groups": (having_groups, _having_groups_sql()),
     "gen_execute": (execute, _execute_sql()),
+    "gen_execute_two": (execute_two, _execute_sql(shared=True)),
 }
