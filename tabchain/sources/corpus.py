@@ -69,7 +69,8 @@ class DatasetConfig:
     shuffle_seed: int | None = None
 
 
-#: Which columns each named set drops and renames; folders hang under a root.
+# Names of the sets, and the columns each drops and renames.
+# Their folders hang under a root.
 DATASETS: dict[str, Callable[[str], DatasetConfig]] = {
     "tapex_pretraining": lambda root: DatasetConfig(
         train=(SetSource(f"{root}/tapex_pretraining/preprocessed_train_*"),),

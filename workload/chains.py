@@ -132,17 +132,13 @@ def _lines_and_orders(spark, d):
     }
 
 
-_BY_PRIORITY = (
-    "aggregate",
-    {"by": "o_orderpriority", "aggs": {"n_lines": "count(*)", "quantity": "cast(sum(l_quantity) as bigint)"}},
-)
-
-
 def inner_join(spark, d):
+    """Line items grouped per order, then joined: an order with very many lines is one row."""
     return chain(
         _lines_and_orders(spark, d),
-        ("join", {"table": "orders", "on": "o_orderkey", "match_null_keys": False}, "lines"),
-        _BY_PRIORITY,
+        ("aggregate", {"by": "o_orderkey", "aggs": {"n": "count(*)", "q": "cast(sum(l_quantity) as bigint)"}}, "lines"),
+        ("join", {"table": "orders", "on": "o_orderkey", "match_null_keys": False}),
+        ("aggregate", {"by": "o_orderpriority", "aggs": {"n_lines": "sum(n)", "quantity": "sum(q)"}}),
     )
 
 
@@ -194,11 +190,11 @@ def argmax(spark, d):
 
 
 def sort_nulls_last(spark, d):
-    """First 300 rows of a sort in which the NULLs come last."""
-    o = table(spark, d, "orders").withColumn("late", F.expr("nullif(o_orderpriority, '5-LOW')"))
+    """Head of an ascending sort: Spark's own order would put the NULLs first."""
+    o = table(spark, d, "orders").withColumn("late", F.expr("nullif(o_orderpriority, '1-URGENT')"))
     return chain(
         {"orders": o},
-        ("sort", {"by": ["late", "o_orderkey"], "descending": [True, False]}, "orders"),
+        ("sort", {"by": ["late", "o_orderkey"]}, "orders"),
         ("limit", {"n": 300}),
         ("select", {"columns": ["o_orderkey", "late"]}),
     )
@@ -293,7 +289,7 @@ QUERIES = {
     ),
     "chain_sort_nulls_last": (
         sort_nulls_last,
-        "SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS late FROM orders ORDER BY late DESC NULLS LAST, o_orderkey LIMIT 300",
+        "SELECT o_orderkey, nullif(o_orderpriority, '1-URGENT') AS late FROM orders ORDER BY late NULLS LAST, o_orderkey LIMIT 300",
     ),
     "chain_tail": (tail, "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 25"),
     "having_filter": (

@@ -98,7 +98,7 @@ def shuffle_slice(spark, d):
 
 
 def hash_shuffle(spark, d):
-    """First 200 orders of the seeded shuffle."""
+    """Seeded sample: the first 200 orders of the shuffle."""
     return pos.hash_shuffle(table(spark, d, "orders"), "o_orderkey", SEED).limit(200).select("o_orderkey", "o_custkey")
 
 
