@@ -28,8 +28,8 @@ def table_join(
         raise ValueError(f"join type must be one of {JOIN_TYPES}, not {how!r}")
     keys = [on] if isinstance(on, str) else list(on)
     a, b = left.alias("a"), right.alias("b")
-    # Looked up on the inputs, so that an unknown key fails when the plan is built.
-    left.select(*keys), right.select(*keys)
+    for frame in (left, right):
+        frame.select(*keys)  # an unknown key fails here, when the plan is built
     same: list[Column] = [
         F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) if match_null_keys else F.col(f"a.`{k}`") == F.col(f"b.`{k}`")
         for k in keys

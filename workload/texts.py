@@ -13,7 +13,7 @@ from workload import sql_parts as q
 from workload.corpora import chain_log, query_texts, single_texts, table
 
 VOCABULARY = 4_000
-LENGTH = 64
+LENGTH = encoding.MAX_LENGTH
 # The stripped characters that the oracle names; the given texts hold no others at their ends.
 _STRIP = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||chr(32)||chr(133)||chr(160)||chr(8239)||chr(12288)"
 
