@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabchain.functions.sqltext import lit
 from tabchain.functions.text import model_text
@@ -18,6 +22,8 @@ MASKED_LABEL = -100
 
 MAX_LENGTH = 1024
 VOCABULARY_SIZE = 32_000
+#: Largest vocabulary that is sent to the tasks.
+MAX_VOCABULARY = 1_000_000
 
 
 def tokens(text: str) -> Column:
@@ -53,6 +59,39 @@ def attention_mask(n_tokens: Column, max_length: int) -> Column:
     return F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), F.lit(max_length) - used))
 
 
+def _vocabulary_lists(vocab: DataFrame) -> tuple[list[str], list[int]]:
+    """Tokens and ids on the driver; a table beyond the bound is an error."""
+    rows = vocab.select("token", "token_id").limit(MAX_VOCABULARY + 1).collect()
+    if len(rows) > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary has at most {MAX_VOCABULARY} tokens")
+    return [r.token for r in rows], [r.token_id for r in rows]
+
+
+def _look_up(df: DataFrame, columns: list[str], keys: pa.Array, values: pa.Array, default: int | str) -> DataFrame:
+    """Replace each element of the list columns by the value of its key.
+
+    A narrow step on Arrow batches: the lists are looked up as one flat column
+    per batch, so nothing is exploded, shuffled or grouped again.
+    """
+    places = [df.columns.index(c) for c in columns]
+    element = T.StringType() if pa.types.is_string(values.type) else T.IntegerType()
+    schema = T.StructType(
+        [T.StructField(f.name, T.ArrayType(element)) if f.name in columns else f for f in df.schema]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = list(batch.columns)
+            for i in places:
+                lists = arrays[i]
+                known = keys.cast(lists.values.type)
+                found = values.take(pc.index_in(lists.values, value_set=known))
+                arrays[i] = type(lists).from_arrays(lists.offsets, pc.fill_null(found, default))
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def encode_samples(
     df: DataFrame,
     id_col: str,
@@ -63,47 +102,30 @@ def encode_samples(
 ) -> DataFrame:
     """``input_ids, attention_mask, labels`` of a fixed length per sample.
 
-    Source and target tokens travel as rows through one broadcast join with
-    the bounded vocabulary. Tokens behind the cut are counted, not joined, so
-    a group has at most ``2 * max_length`` rows. ``id_col`` must be unique.
+    Texts become tokens, and ids become fixed-length arrays, in Spark
+    expressions; only the token lists up to the cut leave the JVM, to be looked
+    up in the bounded vocabulary. There is no shuffle. A NULL text is empty.
     """
-    cut = max_length - 2
-    tokenised = df.select(id_col, tokens(source).alias("s"), tokens(target).alias("t"))
-    entry = lambda side: lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), x.alias("token"))
-    # The counts are taken before the tokens become rows, so that no row
-    # carries the whole token list of its sample.
-    rows = (
-        tokenised.select(
+    text = lambda c: tokens(f"coalesce({c}, '')")
+    kept = (
+        df.select(id_col, text(source).alias("s"), text(target).alias("t"))
+        .select(
             id_col,
             F.size("s").alias("n_source"),
             F.size("t").alias("n_target"),
-            F.concat(
-                F.transform(F.slice("s", 1, cut), entry(0)),
-                F.transform(F.slice("t", 1, cut), entry(1)),
-            ).alias("entries"),
+            F.slice("s", 1, max_length - 2).alias("s"),
+            F.slice("t", 1, max_length - 2).alias("t"),
         )
-        .select(id_col, "n_source", "n_target", F.explode_outer("entries").alias("e"))
-        .select(id_col, "n_source", "n_target", "e.side", "e.pos", "e.token")
-    )
-    known = rows.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
-    grouped = known.groupBy(id_col, "n_source", "n_target").agg(
-        F.sort_array(
-            F.collect_list(
-                F.when(
-                    F.col("pos").isNotNull(),
-                    F.struct("side", "pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("tid")),
-                )
-            )
-        ).alias("e")
     )
-    ids = lambda side: F.transform(F.filter("e", lambda x: x["side"] == side), lambda x: x["tid"])
-    return grouped.select(
+    words, ids = _vocabulary_lists(vocab)
+    found = _look_up(kept, ["s", "t"], pa.array(words, pa.string()), pa.array(ids, pa.int32()), UNK_ID)
+    return found.select(
         id_col,
         "n_source",
         "n_target",
-        fixed_length(ids(0), max_length).alias("input_ids"),
+        fixed_length(F.col("s"), max_length).alias("input_ids"),
         attention_mask(F.col("n_source"), max_length).alias("attention_mask"),
-        fixed_length(ids(1), max_length).alias("labels"),
+        fixed_length(F.col("t"), max_length).alias("labels"),
     )
 
 
@@ -128,10 +150,10 @@ def unmask_labels(labels: Column) -> Column:
 
 def decode_labels(df: DataFrame, id_col: str, labels: str, vocab: DataFrame) -> DataFrame:
     """Text of each label sequence: unmasked, without special tokens."""
-    specials = list(SPECIAL_TOKENS.values())
-    rows = df.select(id_col, F.posexplode_outer(unmask_labels(F.col(labels))).alias("pos", "token_id"))
-    known = rows.join(F.broadcast(vocab.select("token_id", "token")), "token_id", "left")
-    word = F.when(~F.col("token_id").isin(specials) & F.col("token").isNotNull(), F.struct("pos", "token"))
-    return known.groupBy(id_col).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(word)), lambda x: x["token"]), " ").alias("text")
+    specials = F.array(*[F.lit(i) for i in SPECIAL_TOKENS.values()])
+    plain = F.filter(unmask_labels(F.col(labels)), lambda x: ~F.array_contains(specials, x))
+    words, ids = _vocabulary_lists(vocab)
+    found = _look_up(
+        df.select(id_col, plain.alias("text")), ["text"], pa.array(ids, pa.int32()), pa.array(words, pa.string()), ""
     )
+    return found.select(id_col, F.array_join(F.filter("text", lambda w: w != ""), " ").alias("text"))

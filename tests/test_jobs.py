@@ -237,6 +237,29 @@ def test_fixed_length_encoding(encoded):
     assert (report["s"].tokens, report["s"].cut_samples, report["s"].lost_tokens) == (14, 1, 3)
 
 
+def test_encoding_is_narrow_and_takes_null_texts(spark, encoded):
+    texts = spark.createDataFrame([(1, None, "cat"), (2, "the", None)], "id bigint, s string, t string")
+    made = encoding.encode_samples(texts, "id", "s", "t", encoded[1], 4)
+    assert "Exchange" not in plan(made) and "MapInArrow" in plan(made)
+    assert rows(made.select("id", "n_source", "input_ids", "labels")) == [(1, 0, [1, 2, 0, 0], [1, 5, 2, 0]), (2, 1, [1, 4, 2, 0], [1, 2, 0, 0])]
+
+
+def test_encoding_over_batches(spark):
+    """Lists that cross Arrow batches and an empty vocabulary."""
+    df = spark.range(500).selectExpr("id", "repeat(concat('w', id % 7, ' '), CAST(id % 5 AS int)) AS s")
+    vocab = encoding.vocabulary(df, ["s"], 4)
+    ids = {r.token: r.token_id for r in vocab.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        made = encoding.encode_samples(df, "id", "s", "s", vocab, 6).collect()
+        none = encoding.encode_samples(df, "id", "s", "s", vocab.where("false"), 6).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = lambda i, known: ([1] + [known.get(f"w{i % 7}", 3)] * (i % 5) + [2, 0, 0, 0, 0, 0])[:6]
+    assert all(r.input_ids == expected(r.id, ids) for r in made) and len(made) == 500
+    assert all(r.input_ids == expected(r.id, {}) for r in none)
+
+
 def test_decoding_unmasks_and_skips_specials(spark, encoded):
     df = spark.createDataFrame([(1, [1, 4, -100, 5, 2, 0, 3]), (2, [-100, -100]), (3, [])], "id bigint, labels array<int>")
     assert rows(encoding.decode_labels(df, "id", "labels", encoded[1])) == [(1, "the cat"), (2, ""), (3, "")]
