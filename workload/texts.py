@@ -229,13 +229,11 @@ SELECT doc_id, coalesce(string_agg(token, ' ' ORDER BY p) FILTER (token IN (SELE
 FROM lab_tok LEFT JOIN lab_long USING (doc_id) WHERE p <= {LENGTH - 2} GROUP BY doc_id"""
 
 
-def _byte_tokenizer():
-    return lambda s: [b + 1 for b in s.encode("utf-8")]
-
-
 def encode_batch(spark, d):
     """Fixed-length encoding by a user tokenizer: bytes, moved up by one for the pad id."""
-    encoded = encode_with(_pairs(spark, d), "doc_id", "source", "target", _byte_tokenizer, LENGTH)
+    # Made here, so that it travels with the job and tasks need not import this module.
+    byte_tokenizer = lambda: lambda text: [b + 1 for b in text.encode("utf-8")]
+    encoded = encode_with(_pairs(spark, d), "doc_id", "source", "target", byte_tokenizer, LENGTH)
     line = lambda c: F.array_join(F.col(c), " ")
     return encoded.select("doc_id", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"), line("labels").alias("labels"))
 
