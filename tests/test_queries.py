@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from compare import connect, difference
+from workload import all_queries
 
-QUERIES, SQL = queries(), oracle_sql()
+QUERIES = {name: run for name, (run, _) in all_queries().items()}
+SQL = {name: sql for name, (_, sql) in all_queries().items() if sql is not None}
 
 
 @pytest.fixture(scope="module")
