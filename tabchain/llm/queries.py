@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from tabchain.llm import oracles
 from tabchain.llm.common import documents
 from tabchain.llm.exact_dedup import exact_dedup
+from tabchain.llm.packing import pack
+from tabchain.llm.records import read_records, with_start, write_records
 from tabchain.llm.secrets import KINDS, scan_secrets
 from tabchain.llm.url_filter import filter_urls
+from tabchain.session import scratch_path
 
 
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,6 +39,20 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def token_records(spark: SparkSession, folder: str) -> DataFrame:
+    place = scratch_path(spark, "token-records")
+    write_records(documents(spark, folder), place)
+    records = with_start(read_records(spark, place), spark, place)
+    return records.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "file_no")
+
+
+def packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = pack(documents(spark, folder))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def exact_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(documents(spark, folder))
 
@@ -46,6 +63,8 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": (secret_scan, oracles.SECRET_SCAN),
+    "op4_token_records": (token_records, None),
     "op6_exact_dedup": (exact_dedup_query, oracles.EXACT_DEDUP),
+    "op8_packing": (packing, None),
     "op10_url_filter": (url_filter, None),
 }
