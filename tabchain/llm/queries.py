@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tabchain.llm import oracles
 from tabchain.llm.common import documents
 from tabchain.llm.exact_dedup import exact_dedup
+from tabchain.llm.minhash import near_duplicates
 from tabchain.llm.packing import pack
 from tabchain.llm.records import read_records, with_start, write_records
 from tabchain.llm.secrets import KINDS, scan_secrets
@@ -46,6 +47,10 @@ def token_records(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "file_no")
 
 
+def minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(documents(spark, folder), words=2)
+
+
 def packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack(documents(spark, folder))
     return pieces.select(
@@ -64,6 +69,7 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": (secret_scan, oracles.SECRET_SCAN),
     "op4_token_records": (token_records, None),
+    "op5_minhash_dedup": (minhash_dedup, None),
     "op6_exact_dedup": (exact_dedup_query, oracles.EXACT_DEDUP),
     "op8_packing": (packing, None),
     "op10_url_filter": (url_filter, None),
