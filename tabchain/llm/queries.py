@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabchain.llm import oracles
-from tabchain.llm.common import documents
+from tabchain.llm.common import documents, id_bucket
 from tabchain.llm.exact_dedup import exact_dedup
+from tabchain.llm.langid import identify
 from tabchain.llm.minhash import near_duplicates
 from tabchain.llm.packing import pack
+from tabchain.llm.quality import THRESHOLD, classify
 from tabchain.llm.records import read_records, with_start, write_records
 from tabchain.llm.secrets import KINDS, scan_secrets
 from tabchain.llm.url_filter import filter_urls
@@ -58,6 +60,19 @@ def packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = id_bucket(F.col("doc_id"), 5) == 0
+    scored = classify(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"), held_out)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = id_bucket(F.col("doc_id"), 3) == 1
+    return identify(documents(spark, folder), held_out).withColumn("held_out", held_out)
+
+
 def exact_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(documents(spark, folder))
 
@@ -71,6 +86,8 @@ QUERIES = {
     "op4_token_records": (token_records, None),
     "op5_minhash_dedup": (minhash_dedup, None),
     "op6_exact_dedup": (exact_dedup_query, oracles.EXACT_DEDUP),
+    "op7_quality_neighbours": (quality, None),
     "op8_packing": (packing, None),
+    "op9_language_id": (language, None),
     "op10_url_filter": (url_filter, None),
 }
