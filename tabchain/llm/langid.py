@@ -25,6 +25,8 @@ DOCS_PER_LANGUAGE, SEGMENTS_PER_DOC = 300, 6
 STEPS, BATCH, RATE = 220, 192, 0.02
 #: Segments that are read side by side.
 READ_BATCH = 2048
+#: Characters of documents whose sums are kept at a time.
+GROUP_CHARS = 1 << 22
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -234,6 +236,27 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     return sums / np.maximum([len(t) for t in texts], 1)[:, None]
 
 
+def predicted(net: Network | None, texts: pa.Array) -> tuple[list[str], list[float]]:
+    """Language and score of each text, read in groups of bounded size."""
+    names: list[str] = []
+    scores: list[float] = []
+    while len(names) < len(texts):
+        group, size = [], 0
+        while len(names) + len(group) < len(texts) and (not group or size < GROUP_CHARS):
+            text = texts[len(names) + len(group)].as_py()
+            group.append(text if text and net is not None and _LETTER.search(text) else "")
+            size += len(group[-1])
+        if net is None:
+            names += [UNKNOWN] * len(group)
+            scores += [0.0] * len(group)
+            continue
+        p = document_probabilities(net, [t.encode() for t in group])
+        for text, row, best in zip(group, p, p.argmax(axis=1), strict=True):
+            names.append(net.languages[best] if text else UNKNOWN)
+            scores.append(min(1.0, float(row[best])) if text else 0.0)
+    return names, scores
+
+
 def predict_languages(
     docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -248,31 +271,27 @@ def predict_languages(
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            at = 0
-            while at < batch.num_rows:
-                group, size, first = [], 0, at
-                while at < batch.num_rows and (not group or size < 1 << 22):
-                    text = texts[at].as_py()
-                    group.append(text if text and net is not None and _LETTER.search(text) else "")
-                    size += len(group[-1])
-                    at += 1
-                encoded = [t.encode() for t in group]
-                if net is None:
-                    names, scores = [UNKNOWN] * len(group), [0.0] * len(group)
-                else:
-                    p = document_probabilities(net, encoded)
-                    best = p.argmax(axis=1)
-                    names = [net.languages[b] if t else UNKNOWN for b, t in zip(best, group, strict=True)]
-                    scores = [min(1.0, float(p[k, b])) if group[k] else 0.0 for k, b in enumerate(best)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(group)), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                    schema=_ARROW,
-                )
+            names, scores = predicted(net, batch.column(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=_ARROW
+            )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(predict, SCHEMA)
 
 
+def accepted(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in a known language with a score of ``least``."""
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = predicted(net, batch.column(at))
+            good = [n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify(docs: DataFrame, held_out, per_language: int = DOCS_PER_LANGUAGE, steps: int = STEPS) -> DataFrame:
     """Train on the rows for which ``held_out`` is false, predict all rows.
 

@@ -166,7 +166,7 @@ def near_duplicates(
     rows: int = ROWS,
     pairs_per_document: float = PAIRS_PER_DOCUMENT,
 ) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row.
+    """``(doc_id, n_shingles, component_id, kept, text_hash)`` for every row.
 
     Sets of ``words``-word shingles are linked if their intersection holds at least
     ``percent`` per cent of their union; ``component_id`` is the least id that links
@@ -209,11 +209,31 @@ def near_duplicates(
     )
     full = signatures.filter("node is not null").join(own, "node")
     empty = signatures.filter("node is null").withColumn("component_id", F.col("doc_id"))
-    return full.select("doc_id", "n", "component_id").union(empty.select("doc_id", "n", "component_id")).select(
+    columns = ["doc_id", "text_hash", "n", "component_id"]
+    return full.select(*columns).union(empty.select(*columns)).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+        "text_hash",
+    )
+
+
+def one_per_group(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one of each component.
+
+    Rows that repeat an id within a component leave one of them; of rows without an
+    id each distinct text leaves one.
+    """
+    no_id = F.when(F.col("doc_id").isNull(), F.col("text_hash"))
+    found = near_duplicates(docs.select("doc_id", "text"), words=words, percent=percent).filter("kept")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("row_key")
+    stay = found.groupBy(key, "component_id", no_id.alias("no_id")).agg(F.min("text_hash").alias("text_hash"))
+    rows = docs.select(F.struct("*").alias("row"), key, F.xxhash64("text").alias("text_hash"))
+    return (
+        rows.join(stay.select("row_key", "text_hash"), ["row_key", "text_hash"], "left_semi")
+        .dropDuplicates(["row_key", "text_hash"])
+        .select("row.*")
     )
 
 

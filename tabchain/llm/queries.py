@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tabchain.llm import oracles
 from tabchain.llm.common import documents, id_bucket
+from tabchain.llm.decontaminate import find_leaks
 from tabchain.llm.exact_dedup import exact_dedup
 from tabchain.llm.langid import identify
+from tabchain.llm.line_dedup import line_dedup
 from tabchain.llm.minhash import near_duplicates
 from tabchain.llm.packing import pack
 from tabchain.llm.quality import THRESHOLD, classify
@@ -42,6 +44,24 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def line_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: lines, removed lines, removed spans, digest of what stays."""
+    cleaned = line_dedup(documents(spark, folder).select("doc_id", "text"))
+    removed = F.aggregate("removed_chunks", F.lit(0), lambda n, c: n + c["lines"])
+    spans = F.transform("removed_chunks", lambda c: F.concat_ws(":", c["first"], c["first"] + c["lines"]))
+    return cleaned.select(
+        "doc_id",
+        F.col("total_lines").alias("n_lines"),
+        removed.alias("n_removed"),
+        F.array_join(spans, ",").alias("removed_lines"),
+        F.sha2(F.col("text"), 256).alias("text_sha256"),
+    )
+
+
 def token_records(spark: SparkSession, folder: str) -> DataFrame:
     place = scratch_path(spark, "token-records")
     write_records(documents(spark, folder), place)
@@ -83,6 +103,8 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": (secret_scan, oracles.SECRET_SCAN),
+    "op2_decontamination": (decontamination, None),
+    "op3_line_dedup": (line_dedup_query, None),
     "op4_token_records": (token_records, None),
     "op5_minhash_dedup": (minhash_dedup, None),
     "op6_exact_dedup": (exact_dedup_query, oracles.EXACT_DEDUP),
