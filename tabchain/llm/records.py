@@ -172,7 +172,8 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
                     schema=arrow,
                 )
 
-    return listed.repartitionByRange("file_no").mapInArrow(entries, INDEX_SCHEMA)
+    # A task per file: the list itself is too small to be spread by its size.
+    return listed.repartitionByRange(max(1, listed.count()), "file_no").mapInArrow(entries, INDEX_SCHEMA)
 
 
 def read_records(spark: SparkSession, folder: str, seed: int | None = None) -> DataFrame:
