@@ -3,17 +3,18 @@
 Signatures take two permutations of the 32-bit numbers in all: the first scatters
 the hashes of a set, the second, shifted circularly by k, gives coordinate k.
 Documents with equal sets of shingles are one class. Classes that share a band
-form a bucket; its members are compared with one leader each, never all with all.
-A bucket is settled once its members are known to be one component. What is not
-settled goes on: to all remaining pairs across components where those are few in
-proportion to the documents, and to a round with another leader otherwise. So
-work stays in proportion to bucket memberships, and no link between components is
-lost that a shared band could show.
+form a bucket; its members are compared with one leader first, never all with all.
+A bucket whose members are one component then is settled. In the others, members
+outside the bucket's largest component are held against the rest by a sketch of
+their whole sets that bounds the difference from below; what the bound cannot
+rule out is verified on the full sets. No link between components is lost that a
+shared band could show.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from tabchain.llm.graph import components
 BANDS, ROWS = 40, 5
 #: Similarity as a percentage.
 PERCENT = 80
-#: Remaining pairs are listed at once if they are at most so many per document.
-PAIRS_PER_DOCUMENT = 4
+#: 64-bit words of the parity sketch.
+SKETCH = 32
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -94,12 +95,22 @@ def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.string()), ("keys", pa.list_(pa.int64()))])
+def parity_sketch(shingles: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """Bit b is the parity of the shingles that fall on b.
+
+    The sketches of two sets differ in at most as many bits as the sets differ in
+    shingles.
+    """
+    counts = np.bincount((shingles & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.string()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 _SETS = pa.schema([("node", pa.string()), ("shingles", pa.list_(pa.int64()))])
 
 
 def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``(doc_id, text_hash, n, node, keys)`` per row; no node and keys for an empty set.
+    """``(doc_id, text_hash, n, node, keys, sketch)`` per row; an empty set has no node.
 
     ``node`` is a 128-bit digest of the whole set.
     """
@@ -110,18 +121,19 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                n, nodes, keys = [], [], []
+                n, nodes, keys, sketches = [], [], [], []
                 for text in part.column(2):
                     shingles = shingle_set(text.as_py(), words)
                     n.append(len(shingles))
                     nodes.append(xxh3_128_hexdigest(shingles.tobytes()) if len(shingles) else None)
                     keys.append(band_keys(shingles, bands, rows) if len(shingles) else None)
+                    sketches.append(parity_sketch(shingles) if len(shingles) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *(pa.array(v, t.type) for v, t in zip((n, nodes, keys), list(_SIGNED)[2:], strict=True))],
+                    [part.column(0), part.column(1), *(pa.array(v, t.type) for v, t in zip((n, nodes, keys, sketches), list(_SIGNED)[2:], strict=True))],
                     schema=_SIGNED,
                 )
 
-    return docs.mapInArrow(sign, "doc_id long, text_hash long, n long, node string, keys array<long>")
+    return docs.mapInArrow(sign, "doc_id long, text_hash long, n long, node string, keys array<long>, sketch array<long>")
 
 
 def shingle_sets(chosen: DataFrame, words: int) -> DataFrame:
@@ -138,7 +150,7 @@ def shingle_sets(chosen: DataFrame, words: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(a, b, distance, linked?)`` of pairs ``(a, b)``, from their whole sets.
+    """``(a, b, shared, joint)`` of pairs ``(a, b)``: sizes of intersection and union.
 
     ``b`` is the side that may repeat often: its set is looked up first, while rows
     are small.
@@ -148,8 +160,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     met = pairs.join(of_b, "b").join(of_a, "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     counted = met.select("a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b")).alias("both"))
-    union = F.col("both") - F.col("shared")
-    return counted.select("a", "b", (1 - F.col("shared") / union).alias("distance"), "shared", union.alias("joint"))
+    return counted.select("a", "b", "shared", (F.col("both") - F.col("shared")).alias("joint"))
 
 
 def _sizes_fit(m: str, n: str, percent: int):
@@ -164,7 +175,6 @@ def near_duplicates(
     percent: int = PERCENT,
     bands: int = BANDS,
     rows: int = ROWS,
-    pairs_per_document: float = PAIRS_PER_DOCUMENT,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept, text_hash)`` for every row.
 
@@ -192,10 +202,11 @@ def near_duplicates(
             F.min("doc_id").alias("least_id"),
             F.first("n").alias("n"),
             F.first("keys").alias("keys"),
+            F.first("sketch").alias("sketch"),
         ),
         "classes",
     )
-    edges = links(texts, classes, words, percent, pairs_per_document)
+    edges = links(texts, classes, words, percent)
     labels = components(edges)
     least = (
         classes.select("node", "least_id")
@@ -237,11 +248,8 @@ def one_per_group(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> Da
     )
 
 
-def links(
-    texts: DataFrame, classes: DataFrame, words: int, percent: int, pairs_per_document: float
-) -> DataFrame:
+def links(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """``(a, b)``: links that join each component of classes."""
-    limit = 1 - percent / 100 + 1e-9
     memberships = classes.select("node", "n", F.explode("keys").alias("key"))
     buckets = (
         memberships.groupBy("key")
@@ -267,63 +275,62 @@ def links(
         return checked.filter(F.col("shared") * 100 >= F.col("joint") * percent).select("a", "b")
 
     pairs = starred.filter((F.col("node") != F.col("leader")) & _sizes_fit("n", "leader_n", percent))
-    checked = stored(
-        verified(pairs.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), sets), "checked"
-    )
-    edges = stored(is_link(checked), "links")
+    found = verified(pairs.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), sets)
+    edges = stored(is_link(found), "links")
 
     # A leader has met its whole bucket. What is left are the others, unless they
     # are one component already.
-    distances = checked.select(F.col("a").alias("node"), F.col("b").alias("leader"), "distance")
-    left = starred.filter("members > 2 and node <> leader")
-    if left.isEmpty():
-        return edges
-    left = stored(left.join(distances, ["node", "leader"], "left").select("key", "node", "n", "distance"), "left")
-    documents = classes.count()
-    while True:
-        left = unsettled(left, components(edges))
-        size = left.groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0
-        if size == 0:
-            return edges
-        near = F.coalesce(F.abs(F.col("distance") - F.col("other_distance")) <= limit, F.lit(True))
-        if size <= pairs_per_document * documents:
-            other = left.select(
-                "key",
-                *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "component", "distance")),
-            )
-            pairs = left.join(other, "key").filter(
-                (F.col("node") > F.col("other_node"))
-                & (F.col("component") != F.col("other_component"))
-                & near
-                & _sizes_fit("n", "other_n", percent)
-            )
-            found = verified(pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct(), sets)
-            return edges.union(stored(is_link(found), "links"))
-        # The next leader comes from the component with the fewest members.
-        rarest = (
-            left.groupBy("key", "component")
-            .agg(F.count("*").alias("size"), F.min(F.struct("node", "n", "distance")).alias("first"))
-            .groupBy("key")
-            .agg(F.min(F.struct("size", "component", "first")).alias("chosen"))
-            .select(
-                "key",
-                F.col("chosen.component").alias("other_component"),
-                F.col("chosen.first.node").alias("other_node"),
-                F.col("chosen.first.n").alias("other_n"),
-                F.col("chosen.first.distance").alias("other_distance"),
-            )
+    left = unsettled(starred.filter("members > 2 and node <> leader").select("key", "node", "n"), components(edges))
+    sketched = stored(left.join(classes.select("node", "sketch"), "node"), "unsettled")
+    other = sketched.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "component", "largest", "sketch")))
+    differ = reduce(
+        lambda x, y: x + y,
+        [F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("other_sketch", F.lit(k)))) for k in range(SKETCH)],
+    )
+    # Sets that share at least p of their union differ in at most
+    # (1 - p) / (1 + p) of their joint size.
+    close = differ * (100 + percent) <= (F.col("n") + F.col("other_n")) * (100 - percent)
+    pairs = (
+        sketched.filter("not largest")
+        .join(other, "key")
+        .filter(
+            (F.col("component") != F.col("other_component"))
+            & (F.col("other_largest") | (F.col("node") > F.col("other_node")))
+            & _sizes_fit("n", "other_n", percent)
+            & close
         )
-        met = stored(left.join(rarest, "key").filter("node <> other_node"), "left")
-        pairs = met.filter((F.col("component") != F.col("other_component")) & near & _sizes_fit("n", "other_n", percent))
-        found = verified(pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct(), sets)
-        edges = stored(edges.union(is_link(found)), "links")
-        left = met.select("key", "node", "n", "distance")
+        .select(F.col("node").alias("a"), F.col("other_node").alias("b"))
+        .distinct()
+    )
+    return edges.union(stored(is_link(verified(pairs, sets)), "links"))
+
 
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component, with their component.
 
-def unsettled(left: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their component, of buckets that hold more than one component."""
-    labelled = left.select("key", "node", "n", "distance").join(labels, "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
+    ``largest`` marks the component with the most members of the bucket. Of buckets
+    with the same members one is kept.
+    """
+    labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = labelled.groupBy("key", "component").agg(
+        F.count("*").alias("size"),
+        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("one"),
+        F.bit_xor(F.xxhash64("component", "node")).alias("two"),
+    )
+    mixed = (
+        parts.groupBy("key")
+        .agg(
+            F.count("*").alias("components"),
+            F.max(F.struct("size", "component")).alias("most"),
+            F.sum("size").alias("members"),
+            F.sum("one").alias("one"),
+            F.bit_xor("two").alias("two"),
+        )
+        .filter("components > 1")
+        .groupBy("members", "one", "two")
+        .agg(F.min(F.struct("key", "most")).alias("kept"))
+        .select("kept.key", F.col("kept.most.component").alias("most"))
+    )
+    return labelled.join(mixed, "key").select(
+        "key", "node", "n", "component", (F.col("component") == F.col("most")).alias("largest")
     )
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    return stored(labelled.join(mixed.select("key"), "key"), "unsettled")
