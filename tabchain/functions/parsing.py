@@ -42,12 +42,13 @@ def _widths_fit(table: str) -> str:
 
 
 def parse_target(text: str) -> str:
-    """``col : a | b row 1 : …`` to TABLE; NULL when there is no header.
+    """``col : a | b row 1 : …`` to TABLE; NULL without a header or with a row of other width.
 
     A header without rows gives a table without rows; empty text gives a table
     without columns and rows.
     """
-    table = let(_header_parts(f"concat(' ', {text})"), _after_header)
+    read = let(_header_parts(f"concat(' ', {text})"), _after_header)
+    table = let(read, lambda t: f"if({t} IS NULL OR {_widths_fit(t)}, {t}, NULL)")
     return f"if({strip(text)} = '', {empty_table()}, {table})"
 
 

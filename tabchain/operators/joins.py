@@ -11,6 +11,11 @@ JOIN_TYPES = ("inner", "left", "right", "outer")
 HOT_SHARE = 1000
 
 
+def quoted(name: str) -> str:
+    """A column's name as it stands, also with dots and backticks in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def table_join(
     left: DataFrame,
     right: DataFrame,
@@ -29,20 +34,20 @@ def table_join(
     keys = [on] if isinstance(on, str) else list(on)
     a, b = left.alias("a"), right.alias("b")
     for frame in (left, right):
-        frame.select(*keys)  # an unknown key fails here, when the plan is built
+        frame.select(*[quoted(k) for k in keys])  # an unknown key fails here, when the plan is built
     same: list[Column] = [
-        F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) if match_null_keys else F.col(f"a.`{k}`") == F.col(f"b.`{k}`")
+        F.col(f"a.{quoted(k)}").eqNullSafe(F.col(f"b.{quoted(k)}")) if match_null_keys else F.col(f"a.{quoted(k)}") == F.col(f"b.{quoted(k)}")
         for k in keys
     ]
     joined = a.join(b, reduce(lambda x, y: x & y, same), how)
     clash = (set(left.columns) & set(right.columns)) - set(keys)
     key_side = {"inner": "a", "left": "a", "right": "b"}.get(how)
     key_columns = [
-        (F.col(f"{key_side}.`{k}`") if key_side else F.coalesce(F.col(f"a.`{k}`"), F.col(f"b.`{k}`"))).alias(k)
+        (F.col(f"{key_side}.{quoted(k)}") if key_side else F.coalesce(F.col(f"a.{quoted(k)}"), F.col(f"b.{quoted(k)}"))).alias(k)
         for k in keys
     ]
     rest = [
-        F.col(f"{side}.`{c}`").alias(c + suffix if c in clash else c)
+        F.col(f"{side}.{quoted(c)}").alias(c + suffix if c in clash else c)
         for side, frame, suffix in (("a", left, "_x"), ("b", right, "_y"))
         for c in frame.columns
         if c not in keys
@@ -50,19 +55,16 @@ def table_join(
     return joined.select(*key_columns, *rest)
 
 
-def hot_keys(df: DataFrame, on: list[str], by: list[str]) -> list[Row]:
-    """Keys that hold more than ``1 / HOT_SHARE`` of the rows.
+def hot_keys(df: DataFrame, on: list[str]) -> list[Row]:
+    """Keys that hold more than ``1 / HOT_SHARE`` of all rows, by exact counts.
 
-    There are fewer than ``HOT_SHARE`` of them by construction, so collecting
-    them is bounded. The share is read from one row
-    in a hundred, picked by hash: it only says which keys are spread, never
-    which rows are joined.
+    There are fewer than ``HOT_SHARE`` of them by construction, so collecting them
+    is bounded.
     """
-    counts = (
-        df.where(F.pmod(F.xxhash64(*on, *by), F.lit(100)) == 0).groupBy(*on).agg(F.count("*").alias("_n"))
-    )
+    keys = [quoted(k) for k in on]
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
-    return counts.where(F.col("_n") * HOT_SHARE > total.scalar()).select(*on).collect()
+    return counts.where(F.col("_n") * HOT_SHARE > total.scalar()).select(*keys).collect()
 
 
 def spread_join(
@@ -72,30 +74,30 @@ def spread_join(
     by: list[str],
     how: str = "inner",
     salts: int = 32,
+    match_null_keys: bool = True,
 ) -> DataFrame:
-    """Join that spreads the hot keys of the big side over ``salts`` tasks.
+    """``table_join`` that spreads the hot keys of the big side over ``salts`` tasks.
 
-    Only rows of hot keys get a salt, and only their partners on the small
-    side are repeated, once per salt. Use it where one key may hold a large
-    share of the big side and a grouping on the same key follows: without the
-    salt Spark would run both in the one task that holds the key. ``by`` names
-    columns of the big side that differ within a key. Without a hot key this
-    is a plain join, whose partitioning the grouping can use.
+    Only rows of hot keys get a salt, NULL keys included, and only their partners on
+    the small side are repeated, once per salt. Use it where one key may hold a large
+    share of the big side and a grouping on the same key follows: without the salt
+    Spark would run both in the one task that holds the key. ``by`` names columns of
+    the big side that differ within a key. Rows, names and NULL rule are those of
+    ``table_join``; so is the whole join without a hot key, and for right and outer
+    joins, whose unmatched rows a repeated side would multiply.
     """
-    if how not in ("inner", "left"):
-        raise ValueError(f"a spread join is inner or left, not {how!r}")
-    found = hot_keys(big, on, by)
+    found = hot_keys(big, on) if how in ("inner", "left") else []
     if not found:
-        return big.join(small, on, how)
+        return table_join(big, small, on, how, match_null_keys)
     # Fewer than HOT_SHARE rows, so the broadcast is bounded.
-    keys = big.sparkSession.createDataFrame(found, big.select(*on).schema)
+    keys = big.sparkSession.createDataFrame(found, big.select(*[quoted(k) for k in on]).schema)
     hot = F.broadcast(keys.withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
-    salted = big.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))
-    )
-    repeated = small.join(hot, on, "left").withColumn(
+    spread = F.pmod(F.xxhash64(*[quoted(c) for c in by]), F.lit(salts)).cast("int")
+    salted = table_join(big, hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
+    repeated = table_join(small, hot, on, "left").withColumn(
         "_salt",
         F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
     )
-    return salted.drop("_hot").join(repeated.drop("_hot"), [*on, "_salt"], how).drop("_salt")
+    return table_join(
+        salted.drop("_hot"), repeated.drop("_hot"), [*on, "_salt"], how, match_null_keys
+    ).drop("_salt")

@@ -59,15 +59,15 @@ def encode_with(
 ) -> DataFrame:
     """Fixed-length encoding with a user tokenizer.
 
-    ``make_tokenizer`` runs once per task, so a tokenizer that cannot be
+    A NULL text counts as empty. ``make_tokenizer`` runs once per task, so a tokenizer that cannot be
     pickled is built where it is used.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenize = make_tokenizer()
         for batch in batches:
-            ids = [tokenize(t)[:max_length] for t in batch["source"]]
-            labels = [tokenize(t)[:max_length] for t in batch["target"]]
+            ids = [tokenize(t or "")[:max_length] for t in batch["source"]]
+            labels = [tokenize(t or "")[:max_length] for t in batch["target"]]
             pad = lambda x: x + [pad_id] * (max_length - len(x))
             yield pd.DataFrame(
                 {

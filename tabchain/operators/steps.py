@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabchain.operators.joins import spread_join, table_join
+from tabchain.operators.joins import quoted, spread_join, table_join
 
 # Aggregates and comparisons of the steps and the generator.
 AGGREGATES = ("SUM", "AVG", "COUNT", "MIN", "MAX")
@@ -66,9 +66,19 @@ def _list(value: str | list[str]) -> list[str]:
     return [value] if isinstance(value, str) else list(value)
 
 
+def _named(df: DataFrame, name: str) -> Column:
+    """A column of exactly this name, whatever stands in it, else what Spark reads in it."""
+    return F.col(quoted(name) if name in df.columns else name)
+
+
+def _with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows without a NULL key."""
+    return df.where(reduce(lambda a, b: a & b, [_named(df, k).isNotNull() for k in keys])) if keys else df
+
+
 @step("select")
 def select(inter: DataFrame, tables: Tables, columns: list[str]) -> DataFrame:
-    return inter.select(*_list(columns))
+    return inter.select(*[_named(inter, c) for c in _list(columns)])
 
 
 @step("filter")
@@ -82,7 +92,7 @@ def filter_rows(
     """Rows that meet a SQL condition or ``(column, op, value)`` conditions."""
     if where is not None:
         return inter.where(where)
-    columns = [compare(F.col(f"`{c}`"), op, F.lit(v)) for c, op, v in conditions]
+    columns = [compare(F.col(quoted(c)), op, F.lit(v)) for c, op, v in conditions]
     return inter.where(conjunction(columns, connectors or ["AND"] * (len(columns) - 1)))
 
 
@@ -102,9 +112,9 @@ def add_column(
     if expr is not None:
         value = F.expr(expr)
     elif pattern is not None:
-        value = F.regexp_extract(F.col(split), pattern, group)
+        value = F.regexp_extract(_named(inter, split), pattern, group)
     else:
-        value = F.trim(F.get(F.split(F.col(split), separator), F.lit(part)))
+        value = F.trim(F.get(F.split(_named(inter, split), separator), F.lit(part)))
     return inter.withColumn(name, value)
 
 
@@ -112,8 +122,8 @@ def add_column(
 def group_by(inter: DataFrame, tables: Tables, columns: str | list[str], name: str = "count", keep_nulls: bool = False) -> DataFrame:
     """Rows per group; rows with a NULL key are left out unless kept."""
     keys = _list(columns)
-    rows = inter if keep_nulls else inter.dropna(subset=keys)
-    return rows.groupBy(*keys).agg(F.count("*").alias(name))
+    rows = inter if keep_nulls else _with_keys(inter, keys)
+    return rows.groupBy(*[_named(inter, k) for k in keys]).agg(F.count("*").alias(name))
 
 
 @step("aggregate")
@@ -127,8 +137,8 @@ def aggregate(
 ) -> DataFrame:
     """Aggregates per group as ``{new name: SQL aggregate}``, with HAVING."""
     keys = _list(by)
-    rows = inter if keep_nulls or not keys else inter.dropna(subset=keys)
-    grouped = rows.groupBy(*keys).agg(*[F.expr(e).alias(n) for n, e in aggs.items()])
+    rows = inter if keep_nulls else _with_keys(inter, keys)
+    grouped = rows.groupBy(*[_named(inter, k) for k in keys]).agg(*[F.expr(e).alias(n) for n, e in aggs.items()])
     return grouped.where(having) if having else grouped
 
 
@@ -137,9 +147,9 @@ def group_mean(inter: DataFrame, tables: Tables, by: str | list[str]) -> DataFra
     """Mean of every numeric column per group; NULL keys are left out."""
     keys = _list(by)
     return (
-        inter.dropna(subset=keys)
-        .groupBy(*keys)
-        .agg(*[F.avg(c).alias(c) for c in _numeric_columns(inter, keys)])
+        _with_keys(inter, keys)
+        .groupBy(*[_named(inter, k) for k in keys])
+        .agg(*[F.avg(quoted(c)).alias(c) for c in _numeric_columns(inter, keys)])
     )
 
 
@@ -147,8 +157,8 @@ def group_mean(inter: DataFrame, tables: Tables, by: str | list[str]) -> DataFra
 def row_mean(inter: DataFrame, tables: Tables, columns: list[str] | None = None, name: str = "mean") -> DataFrame:
     """Mean over the columns of each row; NULLs are skipped, all NULL gives NULL."""
     chosen = columns or _numeric_columns(inter, [])
-    inter.select(*chosen)
-    values = [F.col(f"`{c}`").cast("double") for c in chosen]
+    inter.select(*[_named(inter, c) for c in chosen])
+    values = [F.col(quoted(c)).cast("double") for c in chosen]
     total = reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0.0)) for v in values])
     present = reduce(lambda a, b: a + b, [F.when(v.isNull(), 0).otherwise(1) for v in values])
     return inter.withColumn(name, total / F.nullif(present, F.lit(0)))
@@ -166,19 +176,19 @@ def join(
 ) -> DataFrame:
     """Join with a registered table; ``spread_by`` salts a skewed left side."""
     if spread_by:
-        return spread_join(inter, tables[table], _list(on), spread_by, how)
+        return spread_join(inter, tables[table], _list(on), spread_by, how, match_null_keys=match_null_keys)
     return table_join(inter, tables[table], on, how, match_null_keys)
 
 
 @step("sort")
 def sort(inter: DataFrame, tables: Tables, by: str | list[str], descending: bool | list[bool] = False) -> DataFrame:
     """Global sort, NULLs last in both directions."""
-    return inter.orderBy(*sort_order(_list(by), descending))
+    return inter.orderBy(*sort_order(inter, _list(by), descending))
 
 
-def sort_order(by: list[str], descending: bool | list[bool]) -> list[Column]:
+def sort_order(df: DataFrame, by: list[str], descending: bool | list[bool]) -> list[Column]:
     flags = descending if isinstance(descending, list) else [descending] * len(by)
-    return [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last() for c, d in zip(by, flags)]
+    return [_named(df, c).desc_nulls_last() if d else _named(df, c).asc_nulls_last() for c, d in zip(by, flags)]
 
 
 @step("limit")
@@ -189,23 +199,33 @@ def limit(inter: DataFrame, tables: Tables, n: int) -> DataFrame:
 @step("top")
 def top(inter: DataFrame, tables: Tables, n: int, by: str | list[str], descending: bool | list[bool] = True) -> DataFrame:
     """First ``n`` rows of a sort, kept per task before they are merged."""
-    return inter.orderBy(*sort_order(_list(by), descending)).limit(n)
+    return inter.orderBy(*sort_order(inter, _list(by), descending)).limit(n)
 
 
 @step("tail")
 def tail(inter: DataFrame, tables: Tables, n: int, by: str) -> DataFrame:
     """Last ``n`` rows by a sequence column, in ascending order."""
-    return inter.orderBy(F.col(by).desc()).limit(n).orderBy(by)
+    return inter.orderBy(_named(inter, by).desc()).limit(n).orderBy(_named(inter, by))
 
 
 @step("argmax")
 def argmax(inter: DataFrame, tables: Tables, column: str, by: str, tie: str, group: list[str] | None = None) -> DataFrame:
-    """Value of ``column`` where ``by`` is greatest; least ``tie`` wins."""
-    best = F.struct(F.col(by).alias("value"), (-F.col(tie)).alias("tie"))
+    """Value of ``column`` where ``by`` is greatest; least ``tie`` of any type wins."""
+    keys = group or []
+    value, order, last = _named(inter, by), _named(inter, tie), [_named(inter, k) for k in keys]
+    rows = inter.where(value.isNotNull())
+    best = rows.groupBy(*last).agg(F.max(value).alias("_best"))
+    if keys:
+        first = table_join(rows, best, keys)
+    else:
+        first = rows.withColumn("_best", best.scalar())
     return (
-        inter.where(F.col(by).isNotNull())
-        .groupBy(*(group or []))
-        .agg(F.max_by(column, best).alias(column), F.max(by).alias(by))
+        first.where(value == F.col("_best"))
+        .groupBy(*last)
+        .agg(
+            F.min_by(_named(inter, column), F.struct(order.isNull(), order)).alias(column),
+            F.max(value).alias(by),
+        )
     )
 
 
