@@ -281,8 +281,13 @@ def links(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
     # A leader has met its whole bucket. What is left are the others, unless they
     # are one component already.
     left = unsettled(starred.filter("members > 2 and node <> leader").select("key", "node", "n"), components(edges))
-    sketched = stored(left.join(classes.select("node", "sketch"), "node"), "unsettled")
-    other = sketched.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "component", "largest", "sketch")))
+    left = stored(left, "unsettled")
+    # A pair is looked at in the first bucket that both are in; nobody is in more
+    # buckets than there are bands.
+    keys = left.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    sketched = stored(left.join(keys, "node").join(classes.select("node", "sketch"), "node"), "sketched")
+    others = ("node", "n", "component", "largest", "sketch", "keys")
+    other = sketched.select("key", *(F.col(c).alias(f"other_{c}") for c in others))
     differ = reduce(
         lambda x, y: x + y,
         [F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("other_sketch", F.lit(k)))) for k in range(SKETCH)],
@@ -298,9 +303,9 @@ def links(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
             & (F.col("other_largest") | (F.col("node") > F.col("other_node")))
             & _sizes_fit("n", "other_n", percent)
             & close
+            & (F.col("key") == F.array_min(F.array_intersect("keys", "other_keys")))
         )
         .select(F.col("node").alias("a"), F.col("other_node").alias("b"))
-        .distinct()
     )
     return edges.union(stored(is_link(verified(pairs, sets)), "links"))
 
