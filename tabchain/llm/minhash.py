@@ -14,7 +14,6 @@ shared band could show.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -288,10 +287,10 @@ def links(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
     sketched = stored(left.join(keys, "node").join(classes.select("node", "sketch"), "node"), "sketched")
     others = ("node", "n", "component", "largest", "sketch", "keys")
     other = sketched.select("key", *(F.col(c).alias(f"other_{c}") for c in others))
-    differ = reduce(
-        lambda x, y: x + y,
-        [F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("other_sketch", F.lit(k)))) for k in range(SKETCH)],
-    )
+    # As functions of the arrays: a sum over 64 elements written out is a method too
+    # long for the JVM to compile, and takes ten times as long.
+    bits = F.zip_with("sketch", "other_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(bits, F.lit(0), lambda x, y: x + y)
     # Sets that share at least p of their union differ in at most
     # (1 - p) / (1 + p) of their joint size.
     close = differ * (100 + percent) <= (F.col("n") + F.col("other_n")) * (100 - percent)
