@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tabchain.operators.steps import STEPS, Tables
 from tabchain.sources.registry import preview_text
 
-#: Steps a chain may have.
+#: Steps a chain may have, unless its caller says otherwise.
 MAX_STEPS = 40
 #: Rows of a step preview.
 PREVIEW_ROWS = 50
@@ -67,17 +67,25 @@ def apply_step(step: Step, inter: DataFrame | None, tables: Tables) -> DataFrame
     return STEPS[step.op](source, tables, **step.args)
 
 
-def run_chain(steps: Iterable[Step], tables: Tables, inter: DataFrame | None = None) -> ChainResult:
+def run_chain(
+    steps: Iterable[Step],
+    tables: Tables,
+    inter: DataFrame | None = None,
+    max_steps: int | None = MAX_STEPS,
+) -> ChainResult:
     """Compose all steps lazily.
 
     A step that cannot be planned (unknown column, table or step, bad
-    arguments) is logged as an error and leaves the last result in place.
+    arguments) is logged as an error and leaves the last result in place. So is the
+    first step beyond ``max_steps``, where the chain ends with what it has; None sets
+    no bound.
     """
     log: list[tuple] = []
     actions: list[str] = []
     for number, step in enumerate(steps, start=1):
-        if number > MAX_STEPS:
-            raise ValueError(f"a chain has at most {MAX_STEPS} steps")
+        if max_steps is not None and number > max_steps:
+            log.append((number, step.op, json.dumps(step.args), "error", f"a chain has at most {max_steps} steps"))
+            break
         try:
             inter = apply_step(step, inter, tables)
             actions.append(step.text())

@@ -9,8 +9,8 @@ from tabchain.functions.formats import markdown_table
 
 #: Rows of a table view.
 VIEW_ROWS = 10
-# Fixed value: first line of a view of several tables.
-VIEW_TITLE = "Here are .head(10) of the dataframes you requested to see:\n"
+# Fixed value: first line of a view of several tables, with its number of rows.
+VIEW_TITLE = "Here are .head({rows}) of the dataframes you requested to see:\n"
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
@@ -81,4 +81,4 @@ def preview_text(df: DataFrame, rows: int) -> str:
 
 def view_tables(tables: dict[str, DataFrame], names: list[str], rows: int = VIEW_ROWS) -> str:
     """First rows of several tables as Markdown under their names."""
-    return (VIEW_TITLE + "".join(f"{n}:\n{preview_text(tables[n], rows)}\n" for n in names)).strip()
+    return (VIEW_TITLE.format(rows=rows) + "".join(f"{n}:\n{preview_text(tables[n], rows)}\n" for n in names)).strip()

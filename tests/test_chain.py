@@ -111,10 +111,18 @@ def test_preview_is_markdown(tables):
     assert result.preview() == "|  | personId | reason | grade |\n|---:|:---|:---|:---|\n| 0 | 1 | care |  |\n| 1 | 1 | speed | 4.0 |"
 
 
-def test_chain_is_bounded(tables):
-    steps = [Step("limit", {"n": 1}, "votes")] * (MAX_STEPS + 1)
-    with pytest.raises(ValueError, match="at most"):
-        run_chain(steps, tables)
+def test_bounded_chain_keeps_what_it_has(tables):
+    steps = [Step("limit", {"n": 1}, "votes")] * (MAX_STEPS + 2)
+    result = run_chain(steps, tables)
+    assert result.inter.count() == 1 and len(result.actions) == MAX_STEPS
+    assert [entry[3] for entry in result.log] == ["ok"] * MAX_STEPS + ["error"]
+    assert "at most" in result.log[-1][4]
+
+
+def test_bound_of_a_chain_is_its_callers(tables):
+    steps = [Step("limit", {"n": 1}, "votes")] * (MAX_STEPS + 2)
+    assert len(run_chain(steps, tables, max_steps=None).actions) == MAX_STEPS + 2
+    assert len(run_chain(steps, tables, max_steps=3).actions) == 3
 
 
 def test_first_step_needs_a_table(tables):

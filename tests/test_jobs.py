@@ -47,6 +47,8 @@ def test_named_tables_and_views(spark):
     lines = view.split("\n")
     assert lines[0].startswith("Here are .head(10)") and lines[1] == "numbers:"
     assert len(lines) == 2 + 2 + 10
+    short = registry.view_tables({"numbers": named["numbers"].select("id")}, ["numbers"], rows=3).split("\n")
+    assert short[0].startswith("Here are .head(3)") and len(short) == 2 + 2 + 3
 
 
 def test_split_files_and_missing_split(spark, tmp_path):
