@@ -48,18 +48,22 @@ def fill_from_text(df: DataFrame) -> DataFrame:
 
     Needs ``query, table_names, tables, answer`` (tables as TABLE values) and
     ``source, target``. The text is parsed once, and only in rows that miss a
-    field.
+    field; ``parse_reason`` says why a text does not fit its form, else it is NULL.
     """
     missing = "query IS NULL OR tables IS NULL OR table_names IS NULL"
     field = lambda p, name: f"if({p} IS NULL, {name}, {p}.{name})"
     record = let(
         f"if({missing}, {parse_multi_source('source')}, NULL)",
-        lambda p: struct(
-            **{name: field(p, name) for name in ("query", "table_names", "tables")},
-            answer=f"if(answer IS NULL, {parse_target('target')}, answer)",
+        lambda p: let(
+            f"if(answer IS NULL, {parse_target('target')}, answer)",
+            lambda a: struct(
+                **{name: field(p, name) for name in ("query", "table_names", "tables")},
+                answer=a,
+                parse_reason=f"coalesce({p}.reason, if({a} IS NULL AND target IS NOT NULL, 'broken answer', NULL))",
+            ),
         ),
     )
-    return evaluate_once(df, record, ("query", "table_names", "tables", "answer"))
+    return evaluate_once(df, record, ("query", "table_names", "tables", "answer", "parse_reason"))
 
 
 def decode_tables(df: DataFrame, tables: str = "tables", answer: str = "answer") -> DataFrame:

@@ -31,8 +31,10 @@ def linear_samples(df: DataFrame, null_mode: str = "empty", lower_case: bool = F
 
 
 def _filled(df: DataFrame) -> DataFrame:
-    filled = fill_from_text(df) if {"source", "target"} <= set(df.columns) else df
-    return filled.withColumn("reason", alignment_reason())
+    if not {"source", "target"} <= set(df.columns):
+        return df.withColumn("reason", alignment_reason())
+    filled = fill_from_text(df)
+    return filled.withColumn("reason", F.coalesce("parse_reason", alignment_reason())).drop("parse_reason")
 
 
 def format_multi_table(

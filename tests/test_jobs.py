@@ -155,6 +155,18 @@ def test_missing_fields_come_from_the_text(spark):
     assert (got[1].query, got[1].table_names) == ("who", ["t"])
     assert list(got[1].tables[0]["rows"][0]) == ["1", "2"] and got[1].answer["columns"] == ["a"]
     assert (got[2].query, got[2].table_names, got[2].answer["columns"]) == ("kept", ["k"], ["z"])
+    assert got[1].parse_reason is None and got[2].parse_reason is None
+
+
+def test_text_that_does_not_fit_is_not_filled_silently(spark):
+    good, target = "who <table_name> : t col : a | b row 1 : 1 | 2", "col : a row 1 : 1"
+    wide, ragged = "who <table_name> : t col : a | b row 1 : 1 | 2 | 3", "col : a row 1 : 1 | 2"
+    df = spark.createDataFrame(
+        [(i, None, None, None, None, s, t) for i, (s, t) in enumerate([(good, target), (wide, target), (good, ragged)])],
+        SAMPLE + ", source string, target string",
+    )
+    got = {r.sample_id: r.parse_reason for r in fill_from_text(df).collect()}
+    assert got == {0: None, 1: "row width", 2: "broken answer"}
 
 
 def test_nested_tables_are_bounded(spark):
