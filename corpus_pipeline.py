@@ -30,8 +30,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; ``n_chars`` follows the text."""
-    cleaned = line_dedup(docs).select(*docs.columns)
+    """Repeated chunks and runs of lines go; ``n_chars`` follows the text."""
+    cleaned = line_dedup(docs, short_runs=True).select(*docs.columns)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

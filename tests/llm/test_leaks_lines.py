@@ -176,6 +176,25 @@ def test_shared_passage_is_removed_wherever_it_stands(spark):
         assert sum(x in found[k] for x in passage[2:]) <= 8
 
 
+@pytest.mark.parametrize("size", [2, 3, 4, 5])
+def test_passage_of_few_short_lines_is_removed(spark, size):
+    rng = random.Random(size)
+    line = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    passage = [line(-(-52 // size)) for _ in range(size)]
+    less = [line(40)]
+    rows = [(k, "\n".join([*[line(8) for _ in range(1 + k % 4)], *passage, line(8), *less, line(49)])) for k in range(12)]
+    rows += [(20, "\n".join(passage)), (None, "\n".join([line(3), *passage]))]
+    found = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), short_runs=True).collect()}
+    assert found[0].text == rows[0][1] and found[0].removed_chunks == []
+    for k, text in rows[1:]:
+        kept = set(found[k].text.split("\n"))
+        removed = {i for c in found[k].removed_chunks for i in range(c.first, c.first + c.lines)}
+        lines = text.split("\n")
+        assert found[k].text == "\n".join(x for i, x in enumerate(lines) if i not in removed)
+        assert sum(c.lines for c in found[k].removed_chunks) == len(removed)
+        assert set(lines) - kept == set(passage)
+
+
 def test_line_query_over_documents(spark, data):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     lines = sorted({x for _, t in rows if t for x in t.split("\n")})
