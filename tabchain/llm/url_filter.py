@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabchain.llm.common import ascii_lower, stored
+from tabchain.operators.joins import spread_join
 
 #: (host, path, verdict)
 RULES = (
@@ -25,8 +26,6 @@ RULES = (
 
 #: At most so many URLs of each label train the trees.
 TRAIN_PER_LABEL = 4_000
-#: At most so many host suffixes are kept per statistic; the rest share the prior.
-SUFFIXES = 2_000
 TREES, DEPTH, STEP = 12, 4, 0.3
 SMOOTHING = 8.0
 
@@ -79,19 +78,13 @@ def suffixes() -> tuple[Column, Column]:
     return F.substring_index("host", ".", -1), F.substring_index("host", ".", -2)
 
 
-def suffix_statistics(labelled: DataFrame, top: int = SUFFIXES) -> DataFrame:
-    """``(suffix, blocked_share, log_count)``: smoothed, for the ``top`` commonest suffixes.
-
-    A suffix beyond them has the prior, as an unseen one has; ``top`` bounds the
-    table that is broadcast.
-    """
+def suffix_statistics(labelled: DataFrame) -> DataFrame:
+    """``(suffix, blocked_share, log_count)``: smoothed, for every labelled suffix."""
     one, two = suffixes()
     counted = (
         labelled.select("blocked", F.explode(F.array_distinct(F.array(one, two))).alias("suffix"))
         .groupBy("suffix")
         .agg(F.count("*").alias("n"), F.sum("blocked").alias("n_blocked"))
-        .orderBy(F.desc("n"), "suffix")
-        .limit(top)
     )
     return counted.select(
         "suffix",
@@ -137,8 +130,7 @@ def with_features(pages: DataFrame, statistics: DataFrame, url: str = "url") ->
             F.col("blocked_share").alias(f"share_{k}"),
             F.col("log_count").alias(f"count_{k}"),
         )
-        # At most SUFFIXES rows, each a host suffix.
-        lexical = lexical.join(F.broadcast(side), f"suffix_{k}", "left")
+        lexical = spread_join(lexical, side, [f"suffix_{k}"], [url], "left")
     return lexical.fillna({"share_1": 0.5, "count_1": 0.0, "share_2": 0.5, "count_2": 0.0})
 
 
@@ -153,8 +145,11 @@ def train(labelled: DataFrame, statistics: DataFrame, per_label: int = TRAIN_PER
         )
         chosen = part if chosen is None else chosen.unionByName(part)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    rows = with_features(chosen, statistics).select(*FEATURES, F.col("blocked").cast("double"))
-    fitted = assembler.transform(stored(rows.coalesce(1), "url-training")).select("features", "blocked")
+    rows = with_features(stored(chosen, "url-chosen"), statistics)
+    # The joins give no order; the trees are fitted on rows in one order.
+    rows = rows.repartition(1).sortWithinPartitions("blocked", F.xxhash64("url", "page_id"), "url", "page_id")
+    rows = rows.select(*FEATURES, F.col("blocked").cast("double"))
+    fitted = assembler.transform(stored(rows, "url-training")).select("features", "blocked")
     booster = GBTClassifier(
         labelCol="blocked", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, cacheNodeIds=False
     )

@@ -149,3 +149,20 @@ def test_url_query(spark, data):
     assert {r.verdict for r in rows} == {"allow", "block"}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rare_domains_have_their_statistics(spark):
+    """More than 2,000 labelled domains, one host suffix holding them all."""
+    pages = spark.range(5000).selectExpr(
+        "id AS page_id", "concat('http://d', id % 2500, '.com/', if(id % 2500 % 2 = 0, 'fr', 'de'), '/', id) AS url"
+    )
+    judged = url_filter.with_parts(pages).withColumn("hit", url_filter.rule_column())
+    labelled = judged.withColumn("blocked", (F.col("hit.verdict") == "block").cast("int"))
+    statistics = url_filter.suffix_statistics(labelled)
+    assert statistics.count() == 2501
+    found = url_filter.with_features(judged, statistics).collect()
+    assert len(found) == 5000
+    for r in found:
+        blocked = r.page_id % 2500 % 2
+        assert r.share_2 == pytest.approx((2 * blocked + 4) / 10) and r.count_2 == pytest.approx(np.log1p(2))
+        assert r.share_1 == 0.5 and r.count_1 == pytest.approx(np.log1p(5000))
