@@ -47,6 +47,12 @@ CLASSES = (
     ("lower", r"^[0-9a-z]+$", 3.5),
     ("base64", r"", 3.8),
 )
+#: Parts of a run between '=', '_' and '-' that are judged by their own class too,
+#: as a value is that is glued to its name: those of a class below the last.
+PART = r"(?<![A-Za-z0-9+/])(?=[a-z]*[A-Z]*[0-9])(?=[0-9]*[A-Za-z])(?:[0-9a-z]{%d,}|[0-9A-Z]{%d,})(?![A-Za-z0-9+/])" % (
+    WINDOW,
+    WINDOW,
+)
 #: Candidates that are no secrets: ids with dashes, words joined by separators,
 #: words with a short number, and well-known placeholders.
 ALLOWED = (
@@ -199,12 +205,41 @@ def _slid(codes: Column, most: Column) -> Column:
     )
 
 
-def candidates(text: Column) -> Column:
-    """Candidate runs that the allow list doesn't suppress."""
+def suspect(m: Column) -> Column:
+    return ~reduce(lambda a, b: a | b, [F.rlike(m["value"], F.lit(p)) for p in ALLOWED])
+
+
+def run_windows(run: Column) -> Column:
+    """``array<struct<start, end>>`` of a candidate run: of the whole run and of its parts.
 
-    def suspect(m: Column) -> Column:
-        return ~reduce(lambda a, b: a | b, [F.rlike(m["value"], F.lit(p)) for p in ALLOWED])
+    Of a span inside another one, or equal to it, only the other is kept.
+    """
+    separated = F.rlike(run["value"], F.lit("[=_-]")) & F.rlike(run["value"], F.lit(PART))
+    none = F.array().cast("array<struct<start:int,value:string>>")
+    parts = F.when(separated, F.filter(matches(run["value"], PART), suspect)).otherwise(none)
+    whole = F.array(F.struct(F.lit(0).alias("start"), run["value"].alias("value")))
+    scored = F.transform(
+        F.concat(whole, parts), lambda m: F.struct(m["start"].alias("start"), high_windows(m["value"]).alias("w"))
+    )
+    spans = F.transform(
+        F.filter(scored, lambda s: s["w"]["first"] >= 0),
+        lambda s: F.struct(
+            (run["start"] + s["start"] + s["w"]["first"]).alias("start"),
+            (run["start"] + s["start"] + s["w"]["last"] + WINDOW).alias("end"),
+        ),
+    )
 
+    def outer(found: Column) -> Column:
+        return F.filter(
+            found,
+            lambda s: ~F.exists(found, lambda t: (t != s) & (t["start"] <= s["start"]) & (t["end"] >= s["end"])),
+        )
+
+    return let(F.array_distinct(spans), outer)
+
+
+def candidates(text: Column) -> Column:
+    """Candidate runs that the allow list doesn't suppress."""
     return F.when(
         F.rlike(text, F.lit(CANDIDATE)), F.filter(matches(text, CANDIDATE), suspect)
     ).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
@@ -217,8 +252,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     exclusive. Kinds ``assign``, ``access`` and ``hex`` are the matches of the fixed
     patterns that are long enough. Kind ``entropy`` covers, of a candidate run, the
     first to the last window whose Shannon entropy reaches the least one of the
-    candidate's character class; runs on the allow list are left out, and so are
-    spans inside a span of another kind.
+    candidate's character class. A part of the run between '=', '_' and '-' that has a
+    class of its own is judged by that too. Runs and parts on the allow list are left
+    out, and so are spans inside a span of another kind.
 
     A null text counts as empty; an empty text has no span. Rows that repeat are
     scanned each for itself. Other columns are ignored. No rows give no rows.
@@ -230,20 +266,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         candidates(text).alias("candidates"),
     )
     scored = searched.select(
-        "doc_id",
-        "base",
-        F.transform(
-            "candidates",
-            lambda m: F.struct(m["start"].alias("start"), high_windows(m["value"]).alias("w")),
-        ).alias("scored"),
+        "doc_id", "base", F.flatten(F.transform("candidates", run_windows)).alias("high")
     )
     number = len(KINDS)
-    spans = F.transform(
-        F.filter("scored", lambda s: s["w"]["first"] >= 0),
-        lambda s: _span(
-            s["start"] + s["w"]["first"], number, s["start"] + s["w"]["last"] + WINDOW, "entropy"
-        ),
-    )
+    spans = F.transform("high", lambda s: _span(s["start"], number, s["end"], "entropy"))
     new = F.filter(
         spans,
         lambda s: ~F.exists(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -97,6 +98,23 @@ def test_spans_of_odd_texts(spark):
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
 
 
+def test_values_glued_to_names_are_judged_by_their_own_class(spark):
+    rng = random.Random(6)
+    value = lambda chars, n: "".join(rng.choices(chars, k=n - 2)) + chars[0] + chars[-1]
+    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    values = [value(digits + "ABCDEF", n) for n in (32, 40, 64) for _ in range(20)]
+    values += [value(digits + lower, 24) for _ in range(20)] + [value(digits + upper, 24) for _ in range(20)]
+    texts = [(2 * k, f"the {v} end") for k, v in enumerate(values)]
+    texts += [(2 * k + 1, f"the {('client=', 'key-', 'my_id_')[k % 3]}{v} end") for k, v in enumerate(values)]
+    texts += [(-1, "x " + "-".join(values[:2]) + " y"), (-2, f"utm_id={values[0]}"), (-3, "key=" + "z" * 30 + "1234")]
+    found = {r.doc_id: [tuple(s) for s in r.found] for r in secrets.scan_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for k, v in enumerate(values):
+        alone, glued, shift = found[2 * k], found[2 * k + 1], len(texts[len(values) + k][1]) - len(texts[k][1])
+        assert all(any(g[0] <= a + shift and b + shift <= g[2] for g in glued) for a, _, b, _ in alone), v
+    assert sum(bool(found[2 * k]) for k in range(len(values))) > 90
+    assert {i for a, _, b, _ in found[-1] for i in range(a, b)} >= set(range(12, 24)) and found[-2] == found[-3] == []
+
+
 def test_secret_query_over_documents(spark, data):
     found = {r.doc_id: r for r in QUERIES["op1_secret_scan"][0](spark, data).collect()}
     for row in spark.read.parquet(f"{data}/documents.parquet").collect():
