@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tabchain.plans.formatting import format_multi_table, model_pairs
+from tabchain.plans.formatting import format_multi_table, format_rejects, model_pairs
 
 
 def read_samples_stream(
@@ -27,7 +27,8 @@ def format_stream(
 ) -> StreamingQuery:
     """Format all samples that have landed and stop.
 
-    A second start picks up only files that are new since the checkpoint.
+    A second start picks up only files that are new since the checkpoint. Samples that
+    cannot be formatted are left to :func:`format_stream_rejects`.
     """
     keep = ("sample_id", partition_by) if partition_by else ("sample_id",)
     formatted = model_pairs(format_multi_table(samples, table_type, keep=keep))
@@ -38,3 +39,21 @@ def format_stream(
         .trigger(availableNow=True)
     )
     return (writer.partitionBy(partition_by) if partition_by else writer).start()
+
+
+def format_stream_rejects(
+    samples: DataFrame, out: str, checkpoint: str, partition_by: str | None = None
+) -> StreamingQuery:
+    """Write the landed samples that :func:`format_stream` leaves out, with their reason, and stop.
+
+    A stream of its own with its own checkpoint: started on the same folder, the two
+    outputs add up to the input.
+    """
+    writer = (
+        format_rejects(samples)
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+    )
+    return (writer.partitionBy(partition_by) if partition_by else writer).start()

@@ -15,7 +15,7 @@ from tabchain.operators.mapping import encode_with
 from tabchain.plans.formatting import format_multi_table, format_rejects, linear_samples, model_pairs
 from tabchain.session import cut_lineage, scratch_path
 from tabchain.sources import corpus, registry
-from tabchain.streaming.format_stream import format_stream, read_samples_stream
+from tabchain.streaming.format_stream import format_stream, format_stream_rejects, read_samples_stream
 from workload import corpora
 
 SAMPLE = f"sample_id bigint, query string, table_names array<string>, tables array<{TABLE_DDL}>, answer {TABLE_DDL}"
@@ -391,6 +391,19 @@ def test_stream_formats_only_new_files(spark, data, tmp_path):
     assert rows(run().select(*columns)) == rows(batch.select(*columns))
 
 
+def test_stream_outputs_add_up(spark, data, tmp_path):
+    landing, out, bad = (str(tmp_path / n) for n in ("landing", "out", "bad"))
+    samples = corpora.multi_samples(spark, data).withColumn("table_names", F.expr("if(sample_id % 7 = 0, NULL, table_names)"))
+    samples.write.parquet(landing)
+    stream = read_samples_stream(spark, landing, samples.schema)
+    for _ in range(2):
+        format_stream(stream, out, f"{out}-state").awaitTermination()
+        format_stream_rejects(stream, bad, f"{bad}-state").awaitTermination()
+    good, rejects = spark.read.parquet(out), spark.read.parquet(bad)
+    assert rejects.count() and good.count() + rejects.count() == samples.count()
+    assert {(r.sample_id % 7, r.reason) for r in rejects.collect()} == {(0, "missing")}
+
+
 def test_lower_case_option(spark):
     df = spark.createDataFrame([(1, "WHO", ["T"], [(["A"], [["X"]])], (["A"], [["Y"]]))], SAMPLE)
     assert linear_samples(df, lower_case=True).select("source", "target").first() == (

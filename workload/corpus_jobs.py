@@ -14,7 +14,7 @@ from tabchain.operators.generation import sample_values
 from tabchain.plans.corpus_chain import STEP_DDL, run_corpus_chains
 from tabchain.session import scratch_path
 from tabchain.sources import corpus
-from tabchain.streaming.format_stream import format_stream, read_samples_stream
+from tabchain.streaming.format_stream import format_stream, format_stream_rejects, read_samples_stream
 from workload import sql_parts as q
 from workload.corpora import (
     multi_samples,
@@ -267,6 +267,25 @@ def stream_format(spark, d):
     return spark.read.parquet(out)
 
 
+def stream_rejects(spark, d):
+    """Samples of which every fifth lost its table names: counts of both outputs of the stream."""
+    landing, out, rejects = (scratch_path(spark, n) for n in ("landing", "formatted", "rejects"))
+    samples = multi_samples(spark, d).withColumn("table_names", F.expr("if(sample_id % 5 = 0, slice(table_names, 1, 1), table_names)"))
+    samples.write.parquet(landing)
+    stream = read_samples_stream(spark, landing, samples.schema)
+    format_stream(stream, out, scratch_path(spark, "stream-state"), "html", "split").awaitTermination()
+    format_stream_rejects(stream, rejects, scratch_path(spark, "reject-state"), "split").awaitTermination()
+    good = spark.read.schema("sample_id bigint, source string, target string, split string").parquet(out)
+    bad = spark.read.schema("sample_id bigint, reason string, split string").parquet(rejects)
+    both = good.select("split", F.lit("").alias("reason")).unionByName(bad.select("split", "reason"))
+    return both.groupBy("split", "reason").agg(F.count("*").alias("samples"))
+
+
+STREAM_REJECTS_SQL = f"""
+WITH {q.MULTI_CTE}, ids AS (SELECT DISTINCT sample_id FROM s SEMI JOIN c USING (sample_id))
+SELECT {q.SPLIT} AS split, CASE WHEN sample_id % 5 = 0 THEN 'length mismatch' ELSE '' END AS reason, count(*) AS samples FROM ids GROUP BY 1, 2"""
+
+
 QUERIES = {
     "union_align": (union_align, UNION_SQL),
     "load_dataset": (load_dataset, LOAD_SQL),
@@ -292,4 +311,5 @@ QUERIES = {
     "corpus_chain": (corpus_chain, CORPUS_CHAIN_SQL),
     "chain_pairs": (chain_pairs, CHAIN_PAIRS_SQL),
     "stream_format": (stream_format, format_multi_sql("html", MODEL_WRAP)),
+    "stream_rejects": (stream_rejects, STREAM_REJECTS_SQL),
 }
