@@ -75,6 +75,19 @@ def with_position(df: DataFrame, order: str | list[str], name: str = "pos") -> D
     return df.join(positions, same).select(*[df[c] for c in df.columns], positions[name])
 
 
+def numbered(ordered: DataFrame, name: str = "pos") -> DataFrame:
+    """0-based position of each row of a globally sorted DataFrame, in its order.
+
+    The sorted rows are checkpointed, so the partition numbers that the positions
+    rest on cannot change.
+    """
+    fixed = cut_lineage(ordered.withColumn("_id", F.monotonically_increasing_id()))
+    fixed = fixed.withColumn("_part", F.shiftright("_id", _ROW_BITS))
+    offsets = _running_offsets(fixed.groupBy("_part").agg(F.count("*").alias("_n")), "_part")
+    row = F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1)
+    return fixed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + row).drop("_id", "_part", "_offset")
+
+
 def position_range(df: DataFrame, start: int, end: int, name: str = "pos") -> DataFrame:
     """Rows with a position in ``[start, end)``; an end beyond the last row is fine."""
     return df.where((F.col(name) >= start) & (F.col(name) < end))

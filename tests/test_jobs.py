@@ -217,6 +217,17 @@ def test_positions_are_dense(spark):
     assert sorted(r.pos for r in part.collect()) == [710, 711, 712, 713, 714]
 
 
+def test_whole_shuffle_is_numbered(spark):
+    """Every row, over several sorted partitions and with rows that are no multiple of them."""
+    from tabchain.operators import positions
+
+    df = spark.range(1003).repartition(5)
+    want = [r.id for r in positions.hash_shuffle(df, "id", 3).collect()]
+    found = positions.numbered(positions.hash_shuffle(df, "id", 3)).collect()
+    assert [r.id for r in sorted(found, key=lambda r: r.pos)] == want
+    assert sorted(r.pos for r in found) == list(range(1003))
+
+
 def test_shuffles_differ_by_seed(spark):
     df = spark.range(100)
     order = lambda seed: [r.id for r in positions.hash_shuffle(df, "id", seed).collect()]

@@ -102,6 +102,12 @@ def hash_shuffle(spark, d):
     return pos.hash_shuffle(table(spark, d, "orders"), "o_orderkey", SEED).limit(200).select("o_orderkey", "o_custkey")
 
 
+def hash_shuffle_all(spark, d):
+    """All orders in the seeded shuffle, with their place in it."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return pos.numbered(pos.hash_shuffle(o, "o_orderkey", SEED))
+
+
 def take_first(spark, d):
     return pos.take_first(table(spark, d, "events"), 500, ["event_id"]).select("event_id", "event_type")
 
@@ -293,6 +299,10 @@ QUERIES = {
     "shuffle_positions": (shuffle_positions, _SHUFFLED),
     "shuffle_slice": (shuffle_slice, f"SELECT * FROM ({_SHUFFLED}) WHERE pos >= 100 AND pos < 400"),
     "hash_shuffle": (hash_shuffle, f"SELECT o_orderkey, o_custkey FROM orders ORDER BY {q.draw(SEED, 'o_orderkey')}, o_orderkey LIMIT 200"),
+    "hash_shuffle_all": (
+        hash_shuffle_all,
+        f"SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY {q.draw(SEED, 'o_orderkey')}, o_orderkey) - 1 AS pos FROM orders",
+    ),
     "take_first": (take_first, "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 500"),
     "pick_positions": (
         pick,
