@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabchain.operators.positions import numbered
 from tabchain.plans.chain import chain
 from tabchain.sources.registry import load_parquet, run_sql
 from workload.corpora import table
@@ -116,6 +117,12 @@ def group_mean(spark, d):
     return chain(t, ("group_mean", {"by": "p_type"}, "part"))
 
 
+def group_mean_all(spark, d):
+    """Means of all numeric columns; the price's mean to six places, as its sum has no fixed order."""
+    means = chain({"part": table(spark, d, "part")}, ("group_mean", {"by": "p_type"}, "part"))
+    return means.withColumn("p_retailprice", F.round("p_retailprice", 6))
+
+
 def row_mean(spark, d):
     t = {"lineitem": table(spark, d, "lineitem").withColumn("l_tax", F.expr("nullif(l_tax, 0.0D)"))}
     return chain(
@@ -200,6 +207,17 @@ def sort_nulls_last(spark, d):
     )
 
 
+def sort_all(spark, d):
+    """The whole ascending sort, NULLs last, with each row's place in it."""
+    o = table(spark, d, "orders").withColumn("late", F.expr("nullif(o_orderpriority, '1-URGENT')"))
+    return numbered(
+        chain(
+            {"orders": o.select("o_orderkey", "late")},
+            ("sort", {"by": ["late", "o_orderkey"]}, "orders"),
+        )
+    )
+
+
 def tail(spark, d):
     return chain(
         _tables(spark, d, "events"),
@@ -255,6 +273,10 @@ QUERIES = {
         "count(l_orderkey) AS n, min(l_quantity) AS min_qty, max(l_extendedprice) AS max_price FROM lineitem GROUP BY 1, 2",
     ),
     "chain_group_mean": (group_mean, "SELECT p_type, avg(p_size) AS p_size, avg(p_partkey) AS p_partkey FROM part GROUP BY 1"),
+    "chain_group_mean_all": (
+        group_mean_all,
+        "SELECT p_type, avg(p_size) AS p_size, avg(p_partkey) AS p_partkey, round(avg(p_retailprice), 6) AS p_retailprice FROM part GROUP BY 1",
+    ),
     "chain_row_mean": (
         row_mean,
         "SELECT l_orderkey, l_partkey, l_linenumber, (l_quantity + l_linenumber::DOUBLE + coalesce(nullif(l_tax, 0), 0)) "
@@ -291,6 +313,11 @@ QUERIES = {
         sort_nulls_last,
         "SELECT o_orderkey, nullif(o_orderpriority, '1-URGENT') AS late FROM orders ORDER BY late NULLS LAST, o_orderkey LIMIT 300",
     ),
+    "chain_sort_all": (
+        sort_all,
+        "SELECT o_orderkey, nullif(o_orderpriority, '1-URGENT') AS late, "
+        "row_number() OVER (ORDER BY nullif(o_orderpriority, '1-URGENT') NULLS LAST, o_orderkey) - 1 AS pos FROM orders",
+    ),
     "chain_tail": (tail, "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 25"),
     "having_filter": (
         having,

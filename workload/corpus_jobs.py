@@ -149,6 +149,22 @@ def split_files(spark, d):
 SPLIT_FILES_SQL = f"WITH {q.MULTI_CTE} SELECT sample_id, {q.SPLIT} AS split, tbl AS text FROM src2 SEMI JOIN s USING (sample_id) WHERE split = 'validation'"
 
 
+def split_files_all(spark, d):
+    """A corpus written by split; every split is read back, with every table."""
+    root = scratch_path(spark, "splits")
+    corpus.write_splits(multi_samples(spark, d), root)
+    back = union_sets([corpus.read_split(spark, root, split) for split in corpus.SPLITS])
+    each = back.select("sample_id", "split", F.explode(F.arrays_zip("table_names", "tables")).alias("t"))
+    return each.select(
+        "sample_id", "split", F.col("t.table_names").alias("table_name"), F.expr(linear_table("t.tables", "t.table_names")).alias("text")
+    )
+
+
+SPLIT_FILES_ALL_SQL = f"""
+WITH {q.MULTI_CTE} SELECT sample_id, {q.SPLIT} AS split, 'orders' AS table_name, tbl AS text FROM src1 SEMI JOIN c USING (sample_id)
+UNION ALL SELECT sample_id, {q.SPLIT}, 'customer', tbl FROM src2 SEMI JOIN s USING (sample_id)"""
+
+
 def split_sizes(spark, d):
     return ev.split_sizes(multi_samples(spark, d))
 
@@ -310,6 +326,7 @@ QUERIES = {
     ),
     "shard_files": (shard_files, SHARD_FILES_SQL),
     "split_files": (split_files, SPLIT_FILES_SQL),
+    "split_files_all": (split_files_all, SPLIT_FILES_ALL_SQL),
     "split_sizes": (
         split_sizes,
         f"WITH {q.MULTI_CTE}, ids AS (SELECT DISTINCT sample_id FROM s SEMI JOIN c USING (sample_id)) SELECT {q.SPLIT} AS split, count(*) AS samples FROM ids GROUP BY 1",
