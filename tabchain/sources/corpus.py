@@ -52,11 +52,12 @@ def write_pairs(df: DataFrame, path: str) -> None:
 
 @dataclass(frozen=True)
 class SetSource:
-    """One stored set and how it is aligned before the union."""
+    """One stored set and how it is aligned before the union; an optional one may be missing."""
 
     path: str
     drop: tuple[str, ...] = ()
     rename: dict[str, str] = field(default_factory=dict)
+    optional: bool = False
 
 
 @dataclass(frozen=True)
@@ -87,6 +88,7 @@ DATASETS: dict[str, Callable[[str], DatasetConfig]] = {
     "spider_nq": lambda root: DatasetConfig(
         train=(SetSource(f"{root}/spider_nq/train"),),
         validation=(SetSource(f"{root}/spider_nq/validation"),),
+        test=(SetSource(f"{root}/spider_nq/test", optional=True),),
     ),
     "atis": lambda root: _question_sets(root, "atis"),
     "geoquery": lambda root: _question_sets(root, "geoquery"),
@@ -98,6 +100,17 @@ def _question_sets(root: str, name: str) -> DatasetConfig:
     return DatasetConfig(one("train"), one("validation"), one("test"))
 
 
+def _read_set(spark: SparkSession, source: SetSource) -> DataFrame | None:
+    """The aligned set, or None where an optional one is missing."""
+    try:
+        stored = spark.read.parquet(source.path)
+    except AnalysisException as error:
+        if not source.optional or "PATH_NOT_FOUND" not in (error.getCondition() or ""):
+            raise
+        return None
+    return align(stored, list(source.drop), source.rename)
+
+
 def load_dataset(
     spark: SparkSession, name: str, root: str, configs: dict[str, Callable[[str], DatasetConfig]] | None = None
 ) -> dict[str, DataFrame]:
@@ -112,12 +125,11 @@ def load_dataset(
     config = known[name](root)
     splits = {}
     for split in SPLITS:
-        sources = getattr(config, split)
-        if not sources:
+        found = [_read_set(spark, s) for s in getattr(config, split)]
+        found = [df for df in found if df is not None]
+        if not found:
             continue
-        united = union_sets(
-            [align(spark.read.parquet(s.path), list(s.drop), s.rename) for s in sources]
-        )
+        united = union_sets(found)
         if split == "train" and config.shuffle_seed is not None:
             united = with_shuffled_position(united, "sample_id", config.shuffle_seed)
         splits[split] = united

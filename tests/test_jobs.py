@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tabchain.functions.cells import TABLE_DDL, text_array
@@ -83,6 +84,18 @@ def test_datasets_without_test_split(spark, tmp_path):
     assert list(corpus.load_dataset(spark, "spider_nq", str(tmp_path))) == ["train", "validation"]
 
 
+def test_optional_test_split_is_read(spark, tmp_path):
+    for n, split in enumerate(corpus.SPLITS, 3):
+        spark.range(n).selectExpr("id AS sample_id", "'q' AS query").write.parquet(str(tmp_path / "spider_nq" / split))
+    found = corpus.load_dataset(spark, "spider_nq", str(tmp_path))
+    assert {split: df.count() for split, df in found.items()} == {"train": 3, "validation": 4, "test": 5}
+
+
+def test_missing_split_that_is_not_optional_fails(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        corpus.load_dataset(spark, "spider_nq", str(tmp_path))
+
+
 def test_question_sets_are_renamed(spark, tmp_path):
     for split in corpus.SPLITS:
         spark.range(3).selectExpr("id AS sample_id", "'q' AS question", "array(1) AS labels").write.parquet(str(tmp_path / "atis" / split))
