@@ -186,17 +186,17 @@ def holds_all(conditions: str, holds) -> str:
     return fold(conditions, struct(done="false", open="true"), merge, lambda s: f"{s}.done")
 
 
-def matching_rows(table: str, conditions: str) -> str:
-    """Rows of a nested table that meet plain conditions on that table."""
+def _cells_hold(row: str):
+    return lambda c: (
+        f"if({c}.is_num, "
+        + _compare(f"try_cast(get({row}, {c}.pos) AS double)", f"{c}.op", f"try_cast({c}.val AS double)")
+        + f", {_compare(f'get({row}, {c}.pos)', f'{c}.op', f'{c}.val')})"
+    )
 
-    def holds(row: str):
-        return lambda c: (
-            f"if({c}.is_num, "
-            + _compare(f"try_cast(get({row}, {c}.pos) AS double)", f"{c}.op", f"try_cast({c}.val AS double)")
-            + f", {_compare(f'get({row}, {c}.pos)', f'{c}.op', f'{c}.val')})"
-        )
 
-    return where(f"{table}.rows", lambda r: holds_all(conditions, holds(r)))
+def matching_rows(table: str, conditions: str) -> str:
+    """Rows of a nested table that meet plain conditions on that table."""
+    return where(f"{table}.rows", lambda r: row_holds(r, conditions))
 
 
 def _with_conditions(
@@ -294,10 +294,31 @@ def decimal_text(value: str) -> str:
     return f"regexp_replace(CAST({value} AS string), '[.]?0+$', '')"
 
 
+def row_holds(cells: str, conditions: str) -> str:
+    """Whether a row's cells meet plain conditions on their table."""
+    return holds_all(conditions, _cells_hold(cells))
+
+
+def with_where(queries: DataFrame, wheres: DataFrame, key: str) -> DataFrame:
+    """GROUP BY queries with the WHERE of their number; one without conditions has none."""
+    group = f"concat(' GROUP BY ', {let('get(items, group_pos)', item_text)})"
+    select = f"substring(text, 1, length(text) - length({group}))"
+    clause = f"if(size(wheres) > 0, concat(' WHERE ', {conditions_text('wheres')}), '')"
+    plain = F.coalesce("conditions", F.array().cast(CONDITION_DDL)).alias("wheres")
+    met = queries.join(wheres.select(key, "query_no", "conditions"), [key, "query_no"], "left")
+    return met.select(*queries.columns, plain).withColumn("text", F.expr(f"concat({select}, {clause}, {group})"))
+
+
 def having_from_groups(
-    rows: DataFrame, queries: DataFrame, key: str, row_id: str, seed: int, salts: int = 32
+    rows: DataFrame,
+    queries: DataFrame,
+    key: str,
+    row_id: str,
+    seed: int,
+    salts: int = 32,
+    wheres: DataFrame | None = None,
 ) -> DataFrame:
-    """Full ``SELECT … GROUP BY … HAVING …`` queries with their answer size.
+    """Full ``SELECT … [WHERE …] GROUP BY … HAVING …`` queries with their answer size.
 
     ``rows`` holds the tables as flat rows ``(key, row_id, cells)`` of any
     number per key, ``queries`` comes from :func:`generate_group_by`. Every GROUP BY runs
@@ -305,15 +326,25 @@ def having_from_groups(
     query is checked by filtering the groups. A query without a usable
     condition has empty text and is not valid.
 
+    ``wheres`` holds plain conditions ``(key, query_no, conditions)`` on positions of
+    ``cells``, as :func:`generate_where` makes them. They filter the rows before they are
+    grouped, so the constants come from the groups that are left; a query that no row
+    is left for has empty text, no groups, and is not valid.
+
     The joins on the table key spread hot tables and the groups are aggregated
     per task first, so a table that holds most of the rows is not one task's
     work. The grouped results are read several times, so they are written once.
     """
     used = where("items", lambda x: f"{x}.agg != '' OR size(items) = 1")
-    wanted = queries.select(key, "query_no", "group_pos", F.expr(used).alias("items"))
+    if wheres is not None:
+        queries = with_where(queries, wheres, key)
+    extra = ["wheres"] if wheres is not None else []
+    wanted = queries.select(key, "query_no", "group_pos", F.expr(used).alias("items"), *extra)
+    joined = spread_join(rows, wanted, [key], [row_id], salts=salts)
+    if wheres is not None:
+        joined = joined.where(f"size(wheres) = 0 OR {row_holds('cells', 'wheres')}")
     cells = (
-        spread_join(rows, wanted, [key], [row_id], salts=salts)
-        .selectExpr(
+        joined.selectExpr(
             key, "query_no", "get(cells, group_pos) AS group_value", "cells", "posexplode(items) AS (item_no, item)"
         )
         .selectExpr(
@@ -366,6 +397,20 @@ def having_from_groups(
         .agg(F.count("*").alias("n_groups"), F.count_if("kept").alias("n_kept"))
     )
     full = f"if(size(conditions) > 0, concat(text, ' HAVING ', {conditions_text('conditions')}), '')"
+    if wheres is not None:
+        return (
+            queries.select(key, "query_no", "text")
+            .join(having, [key, "query_no"], "left")
+            .join(survivors, [key, "query_no"], "left")
+            .selectExpr(
+                key,
+                "query_no",
+                f"coalesce({full}, '') AS text",
+                "coalesce(size(conditions) > 0, false) AS valid",
+                "coalesce(n_groups, 0) AS n_groups",
+                "coalesce(n_kept, 0) AS n_kept",
+            )
+        )
     return (
         queries.select(key, "query_no", "text")
         .join(having, [key, "query_no"])

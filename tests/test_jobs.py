@@ -366,6 +366,32 @@ def test_having_queries_run_as_sql(spark):
         assert spark.sql(text).count() == r.n_kept, r.text
 
 
+def test_having_behind_where_runs_as_sql(spark):
+    """Rows are filtered before they are grouped; one query's WHERE leaves no row, one query has none."""
+    flat = spark.range(900).selectExpr(
+        "concat('t', id % 3) AS k", "id", "array(CAST(id % 7 AS string), concat('w', id % 4), CAST(id % 11 AS string)) AS cells"
+    )
+    firsts = flat.groupBy("k").agg(F.min_by("cells", "id").alias("first_row"))
+    names = text_array(["a", "w", "b"])
+    queries = generation.generate_group_by(firsts, "k", names, "first_row", lit("rows_of_one"), 4, 4)
+    tables = flat.groupBy("k").agg(F.struct(F.expr(names).alias("columns"), F.collect_list("cells").alias("rows")).alias("table"))
+    wheres = generation.generate_where(tables, "k", "table", 4, 5).where("NOT (k = 't0' AND query_no = 0)")
+    empty = F.expr("if(k = 't1' AND query_no = 1, transform(conditions, c -> struct(c.col, c.owner, c.pos, c.agg, '=' AS op, 'none' AS val, false AS is_num, c.connector)), conditions)")
+    wheres = wheres.withColumn("conditions", empty)
+    made = {(r.k, r.query_no): r for r in generation.having_from_groups(flat, queries, "k", "id", 9, wheres=wheres).collect()}
+    assert len(made) == 12
+    r = made.pop(("t1", 1))
+    assert (r.text, r.valid, r.n_groups, r.n_kept) == ("", False, 0, 0)
+    assert " WHERE " not in made["t0", 0].text
+    for r in (r for r in made.values() if r.valid):
+        assert (" WHERE " in r.text) == ((r.k, r.query_no) != ("t0", 0))
+        one = flat.where(F.col("k") == r.k).selectExpr("CAST(cells[0] AS int) AS a", "cells[1] AS w", "CAST(cells[2] AS int) AS b")
+        one.createOrReplaceTempView("rows_of_one")
+        text = re.sub(r"AVG\((`\w+`)\)(?= [<>=!])", r"round(AVG(\1), 4)", r.text)
+        assert spark.sql(text).count() == r.n_kept, r.text
+    assert sum(r.valid for r in made.values()) >= 8
+
+
 def test_single_column_group_by(spark):
     flat = spark.range(20).selectExpr("'t' AS k", "id", "array(CAST(id % 3 AS string)) AS cells")
     words = spark.range(20).selectExpr("'w' AS k", "id", "array(concat('x', id)) AS cells")

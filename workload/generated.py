@@ -107,6 +107,16 @@ def having_groups(spark, d):
     return g.having_from_groups(flat, made, "o_orderpriority", "o_orderkey", SEED)
 
 
+def having_where(spark, d):
+    """The same behind a WHERE per query on the order status, with the first row's as its constant."""
+    flat = _flat_rows(spark, d)
+    firsts = flat.groupBy("o_orderpriority").agg(F.min_by("cells", "o_orderkey").alias("first_row"))
+    made = g.generate_group_by(firsts, "o_orderpriority", text_array(_FLAT_COLUMNS), "first_row", lit("orders"), 3, SEED)
+    status = firsts.select("o_orderpriority", F.expr(table_value(text_array(_FLAT_COLUMNS[:1]), "array(slice(first_row, 1, 1))")).alias("table"))
+    wheres = g.generate_where(status, "o_orderpriority", "table", 3, SEED)
+    return g.having_from_groups(flat, made, "o_orderpriority", "o_orderkey", SEED, wheres=wheres)
+
+
 # --- SQL --------------------------------------------------------------------
 
 # Order key and the three other columns; the key stands in both tables.
@@ -195,17 +205,25 @@ GROUP_BY_SQL = (
 )
 
 
-def _having_groups_sql() -> str:
+def _having_groups_sql(where: bool = False) -> str:
     key = "o_orderpriority"
     k = (SEED, key, "query_no")
+    wheres, met, text, linked = "", "", "x.text", ""
+    if where:
+        wheres = f"""
+w AS (SELECT {key} AS w_key, query_no AS w_no, val, {q.item(STRING_OPS, q.draw(*k, quoted('op'), 0))} AS op FROM qn
+  JOIN (SELECT {key}, min_by(o_orderstatus, o_orderkey) AS val FROM orders GROUP BY 1) USING ({key})),"""
+        met = f" JOIN w ON w_key = a.{key} AND w_no = a.query_no AND (w.op = '=') = (cells[1] = w.val)"
+        text = "replace(x.text, ' GROUP BY ', ' WHERE `o_orderstatus` ' || op || ' ' || chr(39) || val || chr(39) || ' GROUP BY ')"
+        linked = f" JOIN w ON w_key = x.{key} AND w_no = x.query_no"
     # Results are whole numbers of ten-thousandths, so sums and means are exact.
     return f"""
 WITH ids AS (SELECT DISTINCT {key} FROM orders),
-{_items_cte(key, _FLAT_COLUMNS, [False, True, True, True], 3)},
+{_items_cte(key, _FLAT_COLUMNS, [False, True, True, True], 3)},{wheres}
 flat AS (SELECT {key}, [o_orderstatus, year(o_orderdate)::VARCHAR, month(o_orderdate)::VARCHAR, o_custkey::VARCHAR] AS cells FROM orders),
 aggs AS (SELECT *, row_number() OVER (PARTITION BY {key}, query_no ORDER BY i) - 1 AS item_no FROM items WHERE agg <> ''),
 vals AS (SELECT a.{key}, query_no, item_no, col, agg, cells[group_pos + 1] AS gval, try_cast(cells[i + 1] AS BIGINT) AS v
-  FROM aggs a JOIN flat f ON a.{key} = f.{key}),
+  FROM aggs a JOIN flat f ON a.{key} = f.{key}{met}),
 res AS (SELECT {key}, query_no, item_no, col, agg, gval, CASE agg WHEN 'COUNT' THEN count(*) * 10000 WHEN 'SUM' THEN sum(v) * 10000
   WHEN 'MIN' THEN min(v) * 10000 WHEN 'MAX' THEN max(v) * 10000 ELSE (sum(v) * 20000 + count(*)) // (2 * count(*)) END::BIGINT AS e4
   FROM vals GROUP BY 1, 2, 3, 4, 5, 6),
@@ -223,8 +241,8 @@ truth AS (SELECT l.{key}, l.query_no, gval, grp, bool_and(CASE op WHEN '=' THEN
   FROM linked l JOIN res r ON l.{key} = r.{key} AND l.query_no = r.query_no AND l.item_no = r.item_no GROUP BY 1, 2, 3, 4),
 kept AS (SELECT {key}, query_no, count(*) AS n_groups, count(*) FILTER (ok) AS n_kept FROM
   (SELECT {key}, query_no, gval, bool_or(ok) AS ok FROM truth GROUP BY 1, 2, 3) GROUP BY 1, 2)
-SELECT x.{key}, x.query_no, x.text || ' HAVING ' || having_text AS text, true AS valid, n_groups, n_kept
-FROM selects x JOIN texts USING ({key}, query_no) JOIN kept USING ({key}, query_no)"""
+SELECT x.{key}, x.query_no, {text} || ' HAVING ' || having_text AS text, true AS valid, n_groups, n_kept
+FROM selects x JOIN texts USING ({key}, query_no) JOIN kept USING ({key}, query_no){linked}"""
 
 
 QUERIES = {
@@ -235,6 +253,7 @@ QUERIES = {
     "gen_having_two": (having_two, _conditions_sql(two=True, aggs=True, count_range=False)),
     "gen_group_by": (group_by, GROUP_BY_SQL),
     "gen_having_groups": (having_groups, _having_groups_sql()),
+    "gen_having_where": (having_where, _having_groups_sql(where=True)),
     "gen_execute": (execute, _execute_sql()),
     "gen_execute_two": (execute_two, _execute_sql(shared=True)),
 }
