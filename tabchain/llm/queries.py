@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabchain.llm import oracles
+from tabchain.llm.byte_bpe import decode, encode
 from tabchain.llm.common import documents, id_bucket
 from tabchain.llm.decontaminate import find_leaks
 from tabchain.llm.exact_dedup import exact_dedup
 from tabchain.llm.langid import identify
 from tabchain.llm.line_dedup import line_dedup
+from tabchain.llm.manifest import folded, leaf_text, manifest, proof
 from tabchain.llm.minhash import near_duplicates
+from tabchain.llm.negatives import hard_negatives
 from tabchain.llm.packing import pack
 from tabchain.llm.quality import THRESHOLD, classify
 from tabchain.llm.records import read_records, with_start, write_records
@@ -101,6 +104,31 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
+def hard_negatives_query(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row's witness, and the root that it gives to a row with half of them tampered with."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    without_breaks = [F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in columns]
+    tampered = F.when(id_bucket(F.col("doc_id"), 2) == 0, F.sha2(leaf_text(without_breaks), 256))
+    rows = manifest(documents(spark, folder), columns, {"tampered": tampered})
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    found = rows.select(
+        "doc_id", *map(text, ("leaf", "subroot", "root")), F.sha2(proof(F.col("path")), 256).alias("proof_sha256"),
+        folded(F.coalesce("tampered", F.lower(F.hex("leaf"))), F.col("path")).alias("folded_root"),
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    decoded = decode(encode(documents(spark, folder)))
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     "op1_secret_scan": (secret_scan, oracles.SECRET_SCAN),
     "op2_decontamination": (decontamination, None),
@@ -112,4 +140,7 @@ QUERIES = {
     "op8_packing": (packing, None),
     "op9_language_id": (language, None),
     "op10_url_filter": (url_filter, None),
+    "op11_hard_negatives": (hard_negatives_query, oracles.HARD_NEGATIVES),
+    "op12_merkle_manifest": (merkle_manifest, oracles.MANIFEST),
+    "op13_byte_bpe": (byte_bpe, None),
 }
