@@ -2,11 +2,16 @@
 
 Documents are gathered into blocks of a bounded size. A block lists its distinct
 pre-tokens once and, for every position, the number of the one that stands there.
-The distinct ones are exploded with their block and number, each is encoded once
-for the whole corpus, its ids are joined back, and the block's documents are put
-together again by position. Decoding is the same walk with ids for pre-tokens and
-the table of token bytes for the encoder. A frequent word is one row per block,
-not one per occurrence, and no step holds more than a block.
+The distinct ones leave their block, dealt to buckets by a hash of their bytes, so
+that equal words of all blocks meet in one place; there each distinct word is
+encoded once, its ids are joined back to the blocks that have it, and a block's
+documents are put together again by position. What travels is packed: a row is one
+block's share of a bucket. A frequent word is one entry per block, not one per
+occurrence; a bucket is cut so that its words are bounded in number, and no step
+holds more than a block or a bucket.
+
+Decoding lists the distinct ids of a block in the same way, a row for each, and
+joins the table of token bytes by id.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +30,11 @@ from tabchain.llm.common import stored
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Positions of a block: it ends with the document that reaches so many.
-BLOCK_POSITIONS = 1_000_000
-#: Words of one merge step up to which a plain search beats a heap.
-SHORT_WORD = 32
+BLOCK_POSITIONS = 4_000_000
+#: Distinct words of all blocks together that a bucket has on average.
+BUCKET_WORDS = 400_000
+#: Bytes of a word up to which the library encodes it; it overflows its stack on very long ones.
+LIBRARY_BYTES = 1_000
 
 _BLOCK = pa.schema(
     [
@@ -35,12 +42,26 @@ _BLOCK = pa.schema(
         ("ids", pa.list_(pa.int64())),
         ("ends", pa.list_(pa.int64())),
         ("places", pa.binary()),
-        ("distinct", pa.list_(pa.binary())),
+        ("n_words", pa.int64()),
+        ("words", pa.binary()),
     ]
 )
-_BLOCK_SQL = "block long, ids array<long>, ends array<long>, places binary, distinct array<binary>"
+_BLOCK_SQL = "block long, ids array<long>, ends array<long>, places binary, n_words long, words binary"
+_SHARE = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("numbers", pa.binary()), ("words", pa.binary())])
+_SHARE_SQL = "block long, bucket long, numbers binary, words binary"
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 _ENCODED_SQL = "doc_id long, n_tokens long, ids binary"
+_TOKENS = pa.schema(
+    [
+        ("block", pa.int64()),
+        ("number", pa.int64()),
+        ("id", pa.int64()),
+        ("doc_ids", pa.list_(pa.int64())),
+        ("ends", pa.list_(pa.int64())),
+        ("places", pa.binary()),
+    ]
+)
+_TOKENS_SQL = "block long, number long, id long, doc_ids array<long>, ends array<long>, places binary"
 _DECODED = pa.schema([*_ENCODED, ("decoded", pa.binary())])
 _DECODED_SQL = f"{_ENCODED_SQL}, decoded binary"
 
@@ -60,27 +81,30 @@ def token_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: the pair of lowest rank is merged, the leftmost first, until none is left."""
+@lru_cache(maxsize=2)
+def _library(path: str, pattern: str):
+    import tiktoken
+
+    return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=token_ranks(path), special_tokens={})
+
+
+def encode_word(word: bytes, path: str, pattern: str) -> list[int]:
+    """Ids of one pre-token, which is a single match of the pattern in itself too."""
+    if len(word) <= LIBRARY_BYTES:
+        return _library(path, pattern).encode_ordinary(word.decode())
+    return merged(word, token_ranks(path))
+
+
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a word of any length, in ``n log n`` steps.
+
+    The neighbours whose union has the lowest rank are merged, the leftmost first,
+    until no two neighbours are a token together. Neighbours are linked by number.
+    """
     if word in ranks:
         return [ranks[word]]
-    parts = [word[k : k + 1] for k in range(len(word))]
-    if len(parts) > SHORT_WORD:
-        parts = _merged_by_heap(parts, ranks)
-    while len(parts) > 1 and len(parts) <= SHORT_WORD:
-        rank, at = min(
-            ((ranks.get(a + b), k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks),
-            default=(None, None),
-        )
-        if rank is None:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[part] for part in parts]
-
-
-def _merged_by_heap(parts: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
-    """All merges of a long word in ``n log n`` steps; neighbours are linked by number."""
-    n = len(parts)
+    n = len(word)
+    parts = [word[k : k + 1] for k in range(n)]
     before, after = list(range(-1, n - 1)), list(range(1, n + 1))
     heap = [(ranks[a + b], k, a + b) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
     heapq.heapify(heap)
@@ -101,7 +125,52 @@ def _merged_by_heap(parts: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
             before[after[right]] = left
         offer(before[left])
         offer(left)
-    return [part for part in parts if part]
+    return [ranks[part] for part in parts if part]
+
+
+#: Character classes of the splitting pattern, each with a character that is in it for
+#: every version of Unicode and in none of the pattern's fixed words. Fixed values.
+STAND_INS = ((r"\p{L}", "b"), (r"\p{N}", "0"), (None, ""))
+
+
+@lru_cache(maxsize=1)
+def reclassified() -> dict[int, str]:
+    """Characters that the two regular-expression libraries put into different classes.
+
+    They follow different versions of Unicode. Each such character is given with the
+    stand-in of the class that the encoder's library has it in.
+    """
+    import regex
+    import tiktoken
+
+    every = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c <= 0xDFFF)
+    single = {bytes([k]): k for k in range(256)}
+    there: dict[str, str] = {}
+    here: dict[str, str] = {}
+    for name, stand_in in STAND_INS[:-1]:
+        one = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={})
+        there |= dict.fromkeys(one.decode_bytes(one.encode_ordinary(every)).decode(), stand_in)
+        here |= dict.fromkeys(regex.findall(name, every), stand_in)
+    other = STAND_INS[-1][1]
+    return {ord(c): there.get(c, other) for c in there.keys() | here.keys() if there.get(c) != here.get(c)}
+
+
+@lru_cache(maxsize=2)
+def _splitter(pattern: str):
+    import regex
+
+    moved = reclassified()
+    return regex.compile(pattern), frozenset(map(chr, moved)), moved
+
+
+def words_of(text: str | None, pattern: str) -> list[str]:
+    """Every match of the pattern, as the encoder's library would find it."""
+    words, apart, moved = _splitter(pattern)
+    if not text:
+        return []
+    if text.isascii() or apart.isdisjoint(text):
+        return words.findall(text)
+    return [text[m.start() : m.end()] for m in words.finditer(text.translate(moved))]
 
 
 class Numbers(dict):
@@ -112,79 +181,146 @@ class Numbers(dict):
         return number
 
 
-def _places(numbers: np.ndarray, distinct: int) -> bytes:
-    return zlib.compress(numbers.astype("<u2" if distinct <= 1 << 16 else "<u4").tobytes(), 1)
+def pack(data: bytes) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
-def _unpacked_places(places: bytes, distinct: int) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(places), "<u2" if distinct <= 1 << 16 else "<u4")
 
+def unpack(data: bytes) -> bytes:
+    import zstandard
 
-def _gather(split: Callable[[object], list], as_bytes: Callable[[object], bytes], positions: int):
-    """Batches of ``(doc_id, value)`` to blocks; ``split`` cuts a value into what stands at its positions."""
+    return zstandard.ZstdDecompressor().decompress(data)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 33
-        ids: list = []
-        ends: list[int] = []
-        parts: list[np.ndarray] = []
-        numbers = Numbers()
+def pack_list(values: list[bytes]) -> bytes:
+    lengths = np.fromiter(map(len, values), "<u4", len(values)).tobytes()
+    return pack(np.uint32(len(values)).tobytes() + lengths + b"".join(values))
+
+
+def unpack_list(data: bytes) -> list[bytes]:
+    data = unpack(data)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = (np.frombuffer(data, "<u4", n, 4).astype(np.int64).cumsum() + 4 * (n + 1)).tolist()
+    return [data[start:end] for start, end in zip([4 * (n + 1), *ends], ends)]
+
+
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, all lowest bytes first: small numbers leave the other planes empty."""
+    return pack(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(unpack(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
 
-        def block() -> pa.RecordBatch:
-            places = np.concatenate([np.zeros(0, np.uint32), *parts])
-            row = [[number], [ids], [ends], [_places(places, len(numbers))], [[as_bytes(x) for x in numbers]]]
-            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _BLOCK)], schema=_BLOCK)
+def _most_frequent_first(places: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places under numbers by falling frequency, and the old numbers in that order."""
+    order = np.argsort(-np.bincount(places, minlength=distinct), kind="stable")
+    number = np.empty(distinct, np.uint32)
+    number[order] = np.arange(distinct)
+    return number[places], order
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _first_number() -> int:
+    """Blocks of a task are numbered from here on."""
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId() << 33
+
+
+def _gather_words(pattern: str, positions: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _first_number()
+        ids, ends, parts, numbers = [], [], [], Numbers()
+
+        def row() -> pa.RecordBatch:
+            words = list(numbers)
+            places, order = _most_frequent_first(np.concatenate(parts), len(words))
+            listed = pack_list([words[k].encode() for k in order.tolist()])
+            return _batch([(block, ids, ends, pack_numbers(places), len(words), listed)], _BLOCK)
 
         for batch in batches:
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                things = split(value)
-                parts.append(np.fromiter(map(numbers.__getitem__, things), np.uint32, len(things)))
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text, pattern)
+                parts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
                 ids.append(doc_id)
-                ends.append((ends[-1] if ends else 0) + len(things))
+                ends.append((ends[-1] if ends else 0) + len(words))
                 if ends[-1] >= positions:
-                    yield block()
-                    number, ids, ends, parts, numbers = number + 1, [], [], [], Numbers()
+                    yield row()
+                    block, ids, ends, parts, numbers = block + 1, [], [], [], Numbers()
         if ids:
-            yield block()
+            yield row()
 
     return run
 
 
-def _in_place(found: pa.Table, column: str) -> list:
-    """What was found for a block, at its number."""
-    table: list = [None] * found.num_rows
-    for number, value in zip(found["number"].to_pylist(), found[column].to_pylist(), strict=True):
-        table[number] = value
-    return table
+def _deal(buckets: int):
+    """A block's words to its shares of the buckets, in the order of their numbers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = unpack_list(listed)
+                bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+                rows = [
+                    (block, int(bucket[some[0]]), pack_numbers(some), pack_list([words[k] for k in some.tolist()]))
+                    for some in np.split(order, cuts)
+                    if len(some)
+                ]
+                yield _batch(rows, _SHARE)
 
-def _documents(block: pa.Table, distinct: int) -> Iterator[tuple[int | None, list[int]]]:
-    """Each document of a block with the numbers that stand at its positions."""
-    for row in block.select(["ids", "ends", "places"]).to_pylist():
-        places, start = _unpacked_places(row["places"], distinct).tolist(), 0
-        for doc_id, end in zip(row["ids"], row["ends"], strict=True):
-            yield doc_id, places[start:end]
-            start = end
+    return run
 
 
-def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
-    return pa.table([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
+def _encode_buckets(encode_one: Callable[[bytes], list[int]]):
+    """Shares, bucket after bucket, with the ids of their words for the words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, known = None, {}
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                if row["bucket"] != bucket:
+                    bucket, known = row["bucket"], {}
+                ids = []
+                for word in unpack_list(row["words"]):
+                    found = known.get(word)
+                    if found is None:
+                        found = known[word] = np.array(encode_one(word), "<u4").tobytes()
+                    ids.append(found)
+                rows.append((row["block"], bucket, row["numbers"], pack_list(ids)))
+            yield _batch(rows, _SHARE)
 
-def _words_of(pattern: str) -> Callable[[str | None], list[str]]:
-    def split(text: str | None) -> list[str]:
-        import regex
+    return run
 
-        return regex.findall(pattern, text) if text else []
 
-    return split
+def _documents(places: list[int], ids: list, ends: list[int]) -> Iterator[tuple[int | None, list[int]]]:
+    start = 0
+    for doc_id, end in zip(ids, ends, strict=True):
+        yield doc_id, places[start:end]
+        start = end
 
 
-def _exploded(blocks: DataFrame) -> DataFrame:
-    return blocks.select("block", F.posexplode("distinct").alias("number", "thing"))
+def _encoded_documents(blocks: pa.Table, shares: pa.Table) -> pa.Table:
+    """Documents of one block, by the ids at their positions."""
+    (block,) = blocks.to_pylist()
+    table: list[bytes] = [b""] * block["n_words"]
+    for share in shares.to_pylist():
+        for number, ids in zip(unpack_numbers(share["numbers"]).tolist(), unpack_list(share["words"]), strict=True):
+            table[number] = ids
+    rows = []
+    for doc_id, places in _documents(unpack_numbers(block["places"]).tolist(), block["ids"], block["ends"]):
+        ids = b"".join(map(table.__getitem__, places))
+        rows.append((doc_id, len(ids) // 4, ids))
+    return pa.Table.from_batches([_batch(rows, _ENCODED)])
 
 
 def encode(
@@ -194,6 +330,7 @@ def encode(
     path: str | None = None,
     pattern: str | None = None,
     positions: int = BLOCK_POSITIONS,
+    bucket_words: int = BUCKET_WORDS,
 ) -> DataFrame:
     """``(doc_id, n_tokens, ids)``, a row per row; ids are little-endian unsigned 32-bit numbers.
 
@@ -204,42 +341,102 @@ def encode(
     """
     import public_tokenizers
 
-    path = path or ranks_path()
-    split = _words_of(pattern or public_tokenizers.PATTERN)
-    blocks = stored(
-        docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-            _gather(split, str.encode, positions), _BLOCK_SQL
-        ),
-        "bpe-blocks",
+    path, pattern = path or ranks_path(), pattern or public_tokenizers.PATTERN
+    texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    blocks = stored(texts.mapInArrow(_gather_words(pattern, positions), _BLOCK_SQL), "bpe-blocks")
+    entries = blocks.agg(F.sum("n_words")).first()[0] or 0
+    shares = (
+        blocks.select("block", "words")
+        .mapInArrow(_deal(max(1, -(-entries // bucket_words))), _SHARE_SQL)
+        .repartition("bucket")
+        .sortWithinPartitions("bucket", "block")
+        .mapInArrow(_encode_buckets(partial(encode_word, path=path, pattern=pattern)), _SHARE_SQL)
     )
+    left = blocks.select("block", "ids", "ends", "places", "n_words").toDF("block", "ids", "ends", "places", "n_words")
+    return left.groupBy("block").cogroup(shares.groupBy("block")).applyInArrow(_encoded_documents, _ENCODED_SQL)
 
-    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = token_ranks(path)
-        for batch in batches:
-            ids = [np.array(encode_word(w, ranks), "<u4").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["thing", "value"])
 
-    words = _exploded(blocks)
-    encoded = words.select("thing").distinct().mapInArrow(encode_words, "thing binary, value binary")
-    found = words.join(encoded, "thing").select("block", "number", "value")
+def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """``(id, value)``: the bytes of every token of a vocabulary file."""
+    tokens, ids = zip(*token_ranks(path or ranks_path()).items(), strict=True)
+    return spark.createDataFrame(pa.table([pa.array(ids, pa.int64()), pa.array(tokens, pa.binary())], names=["id", "value"]))
 
-    def put_together(block: pa.Table, found: pa.Table) -> pa.Table:
-        table, rows = _in_place(found, "value"), []
-        for doc_id, places in _documents(block, len(table)):
-            ids = b"".join(map(table.__getitem__, places))
-            rows.append((doc_id, len(ids) // 4, ids))
-        return _table(rows, _ENCODED)
 
-    left = blocks.select("block", "ids", "ends", "places").toDF("block", "ids", "ends", "places")
-    return left.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(put_together, _ENCODED_SQL)
+def _gather_ids(positions: int):
+    """Blocks of documents: a row with their positions, and a row for each distinct id."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _first_number()
+        docs, ends, parts = [], [], []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            distinct, places = np.unique(np.concatenate(parts), return_inverse=True)
+            yield _batch([(block, len(distinct), None, docs, ends, places.astype("<u4").tobytes())], _TOKENS)
+            n = len(distinct)
+            nothing = [pa.nulls(n, f.type) for f in list(_TOKENS)[3:]]
+            number = pa.array(np.arange(n, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block, np.int64)), number, pa.array(distinct.astype(np.int64)), *nothing], schema=_TOKENS
+            )
 
-def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """``(id, value)``: the bytes of every token of a vocabulary file."""
-    rows = [(rank, token) for token, rank in token_ranks(path or ranks_path()).items()]
-    return spark.createDataFrame(
-        pa.table([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["id", "value"])
-    )
+        for batch in batches:
+            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts.append(np.frombuffer(ids or b"", "<u4"))
+                docs.append(doc_id)
+                ends.append((ends[-1] if ends else 0) + len(parts[-1]))
+                if ends[-1] >= positions:
+                    yield from rows()
+                    block, docs, ends, parts = block + 1, [], [], []
+        if docs:
+            yield from rows()
+
+    return run
+
+
+class _OpenBlock:
+    """Rows of a block as they come in."""
+
+    def __init__(self):
+        self.head, self.numbers, self.ids, self.values, self.found = None, [], [], [], 0
+
+    def complete(self) -> bool:
+        return self.head is not None and self.found == self.head["number"]
+
+    def documents(self) -> pa.RecordBatch:
+        ids: list[bytes] = [b""] * self.found
+        values: list[bytes | None] = [None] * self.found
+        for number, token, value in zip(self.numbers, self.ids, self.values, strict=True):
+            ids[number], values[number] = token.to_bytes(4, "little"), value
+        places, rows = np.frombuffer(self.head["places"], "<u4").tolist(), []
+        lacking = None in values
+        for doc_id, own in _documents(places, self.head["doc_ids"], self.head["ends"]):
+            parts = [values[k] for k in own]
+            decoded = None if lacking and None in parts else b"".join(parts)
+            rows.append((doc_id, len(own), b"".join(map(ids.__getitem__, own)), decoded))
+        return _batch(rows, _DECODED)
+
+
+def _decoded_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of the blocks that a task reads. Rows may come in any order; a block has said how many it has."""
+    blocks: dict[int, _OpenBlock] = {}
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("block", "number", "id", "value"))
+        heads = batch.column("places").is_valid().to_pylist()
+        for k, (head, block, number, token, value) in enumerate(zip(heads, *columns, strict=True)):
+            one = blocks.get(block)
+            if one is None:
+                one = blocks[block] = _OpenBlock()
+            if head:
+                one.head = batch.slice(k, 1).to_pylist()[0]
+            else:
+                one.numbers.append(number)
+                one.ids.append(token)
+                one.values.append(value)
+                one.found += 1
+            if one.complete():
+                yield blocks.pop(block).documents()
+    if blocks:
+        raise RuntimeError("rows of a block were dealt to several tasks")
 
 
 def decode(
@@ -251,37 +448,14 @@ def decode(
 ) -> DataFrame:
     """``(doc_id, n_tokens, ids, decoded)``: the bytes that each row's ids stand for.
 
-    The table of token bytes is joined by id; it has as many rows as the vocabulary
-    file, which bounds its broadcast. A row with an id that the vocabulary lacks has
-    null as ``decoded``; no ids give no bytes, null ids count as none.
+    The distinct ids of a block join the table of token bytes, which has as many rows
+    as the vocabulary file; that bounds its broadcast. A broadcast join moves no row
+    to another task, so a block's rows are together behind it, and nothing is shuffled.
+    A row with an id that the vocabulary lacks has null as ``decoded``; no ids give no
+    bytes, null ids count as none, and no rows give no rows.
     """
-
-    def split(ids: bytes | None) -> list[int]:
-        return np.frombuffer(ids or b"", "<u4").tolist()
-
-    blocks = stored(
-        encoded.select(F.col(id_col).cast("long"), F.col(ids_col)).mapInArrow(
-            _gather(split, lambda token: token.to_bytes(4, "big"), positions), _BLOCK_SQL
-        ),
-        "bpe-id-blocks",
+    rows = encoded.select(F.col(id_col).cast("long"), F.col(ids_col)).mapInArrow(_gather_ids(positions), _TOKENS_SQL)
+    found = rows.join(F.broadcast(token_bytes(encoded.sparkSession, path)), "id", "left")
+    return found.select("block", "number", "id", "value", "doc_ids", "ends", "places").mapInArrow(
+        _decoded_documents, _DECODED_SQL
     )
-    token = F.conv(F.hex("thing"), 16, 10).cast("long")
-    table = F.broadcast(token_bytes(encoded.sparkSession, path))
-    found = (
-        _exploded(blocks)
-        .withColumn("id", token)
-        .join(table, "id", "left")
-        .select("block", "number", "thing", "value")
-    )
-
-    def put_together(block: pa.Table, found: pa.Table) -> pa.Table:
-        table, rows = _in_place(found, "value"), []
-        own = [thing[::-1] for thing in _in_place(found, "thing")]
-        for doc_id, places in _documents(block, len(table)):
-            parts = [table[k] for k in places]
-            ids = b"".join(map(own.__getitem__, places))
-            rows.append((doc_id, len(places), ids, None if None in parts else b"".join(parts)))
-        return _table(rows, _DECODED)
-
-    left = blocks.select("block", "ids", "ends", "places").toDF("block", "ids", "ends", "places")
-    return left.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(put_together, _DECODED_SQL)
