@@ -184,7 +184,7 @@ def in_order(leaves: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 
 def witnesses(nodes: DataFrame, block_levels: int) -> tuple[DataFrame, DataFrame]:
-    """``(row, tree, path)`` for each of ``(tree, position, n, row, digest)``, and ``(tree, root)``.
+    """``(tree, row, root, path)`` for each of ``(tree, position, n, row, digest)``, and ``(tree, root)``.
 
     Every round appends the roots of the blocks of the round before.
     """
@@ -204,10 +204,11 @@ def witnesses(nodes: DataFrame, block_levels: int) -> tuple[DataFrame, DataFrame
             F.col("block").alias("row"), "digest",
         )
     last = rounds[-1]
-    found = last.select("tree", "row", "path")
+    found = last.select("tree", "row", "root", "path")
     for done in reversed(rounds[:-1]):
-        above = found.select("tree", F.col("row").alias("block"), F.col("path").alias("above"))
-        found = done.join(above, ["tree", "block"]).select("tree", "row", F.concat("path", "above").alias("path"))
+        above = found.select("tree", F.col("row").alias("block"), "root", F.col("path").alias("above"))
+        found = done.drop("root").join(above, ["tree", "block"])
+        found = found.select("tree", "row", "root", F.concat("path", "above").alias("path"))
     return found, last.groupBy("tree").agg(F.first("root").alias("root"))
 
 
@@ -262,13 +263,13 @@ def manifest(
         F.lit("").alias("tree"), F.col("tree").alias("key"), F.col("root").alias("digest"), F.xxhash64("tree").alias("row")
     )
     tops = in_order(tops, [F.col("key")], "manifest-tops")
-    above, root = witnesses(positioned(tops).select("tree", "position", "n", F.col("id").alias("row"), "digest"), block_levels)
-    trees = tops.select(F.col("key").alias("tree"), F.col("digest").alias("subroot"), F.col("id").alias("row"))
-    trees = trees.join(above.select("row", F.col("path").alias("above")), "row").drop("row")
-    trees = trees.withColumn("all", F.lit("")).join(root.select(F.col("tree").alias("all"), "root"), "all").drop("all")
+    above, _ = witnesses(positioned(tops).select("tree", "position", "n", F.col("id").alias("row"), "digest"), block_levels)
+    trees = tops.select(F.col("key").alias("tree"), F.col("id").alias("row")).join(
+        above.select("row", "root", F.col("path").alias("above")), "row"
+    )
     return (
-        leaves.join(found.select("row", "path"), "row")
-        .join(trees, "tree")
+        leaves.join(found.select("row", F.col("root").alias("subroot"), "path"), "row")
+        .join(trees.drop("row"), "tree")
         .select(
             "doc_id", F.col("digest").alias("leaf"), "subroot", "root", F.concat("path", "above").alias("path"),
             *[F.col(name).alias(as_name) for name, as_name in zip(kept, extra, strict=True)],
