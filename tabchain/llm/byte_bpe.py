@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabchain.llm.common import stored
+from tabchain.session import scratch_path
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Positions of a block: it ends with the document that reaches so many.
-BLOCK_POSITIONS = 4_000_000
+BLOCK_POSITIONS = 2_000_000
 #: Distinct words of all blocks together that a bucket has on average.
 BUCKET_WORDS = 400_000
 #: Bytes of a word up to which the library encodes it; it overflows its stack on very long ones.
@@ -302,10 +302,10 @@ def _encode_buckets(encode_one: Callable[[bytes], list[int]]):
     return run
 
 
-def _documents(places: list[int], ids: list, ends: list[int]) -> Iterator[tuple[int | None, list[int]]]:
+def _documents(places: np.ndarray, ids: list, ends: list[int]) -> Iterator[tuple[int | None, list[int]]]:
     start = 0
     for doc_id, end in zip(ids, ends, strict=True):
-        yield doc_id, places[start:end]
+        yield doc_id, places[start:end].tolist()
         start = end
 
 
@@ -317,7 +317,7 @@ def _encoded_documents(blocks: pa.Table, shares: pa.Table) -> pa.Table:
         for number, ids in zip(unpack_numbers(share["numbers"]).tolist(), unpack_list(share["words"]), strict=True):
             table[number] = ids
     rows = []
-    for doc_id, places in _documents(unpack_numbers(block["places"]).tolist(), block["ids"], block["ends"]):
+    for doc_id, places in _documents(unpack_numbers(block["places"]), block["ids"], block["ends"]):
         ids = b"".join(map(table.__getitem__, places))
         rows.append((doc_id, len(ids) // 4, ids))
     return pa.Table.from_batches([_batch(rows, _ENCODED)])
@@ -343,7 +343,7 @@ def encode(
 
     path, pattern = path or ranks_path(), pattern or public_tokenizers.PATTERN
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    blocks = stored(texts.mapInArrow(_gather_words(pattern, positions), _BLOCK_SQL), "bpe-blocks")
+    blocks = stored_in_buckets(texts.mapInArrow(_gather_words(pattern, positions), _BLOCK_SQL), "bpe_blocks", "block")
     entries = blocks.agg(F.sum("n_words")).first()[0] or 0
     shares = (
         blocks.select("block", "words")
@@ -352,10 +352,27 @@ def encode(
         .sortWithinPartitions("bucket", "block")
         .mapInArrow(_encode_buckets(partial(encode_word, path=path, pattern=pattern)), _SHARE_SQL)
     )
-    left = blocks.select("block", "ids", "ends", "places", "n_words").toDF("block", "ids", "ends", "places", "n_words")
+    columns = ["block", "ids", "ends", "places", "n_words"]
+    left = blocks.select(*columns).toDF(*columns)
     return left.groupBy("block").cogroup(shares.groupBy("block")).applyInArrow(_encoded_documents, _ENCODED_SQL)
 
 
+def stored_in_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Rows written once to the shared folder in buckets of a column and read back.
+
+    What is joined or grouped by that column later need not shuffle them again.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    rows = spark.table(table)
+    rows.schema  # noqa: B018 - resolves the files, before the catalog forgets the name; the files stay
+    spark.sql(f"DROP TABLE {table}")
+    return rows
+
+
 def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
     """``(id, value)``: the bytes of every token of a vocabulary file."""
     tokens, ids = zip(*token_ranks(path or ranks_path()).items(), strict=True)
@@ -407,7 +424,7 @@ class _OpenBlock:
         values: list[bytes | None] = [None] * self.found
         for number, token, value in zip(self.numbers, self.ids, self.values, strict=True):
             ids[number], values[number] = token.to_bytes(4, "little"), value
-        places, rows = np.frombuffer(self.head["places"], "<u4").tolist(), []
+        places, rows = np.frombuffer(self.head["places"], "<u4"), []
         lacking = None in values
         for doc_id, own in _documents(places, self.head["doc_ids"], self.head["ends"]):
             parts = [values[k] for k in own]
