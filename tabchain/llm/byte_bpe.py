@@ -29,8 +29,12 @@ from pyspark.sql import functions as F
 from tabchain.session import scratch_path
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
-#: Positions of a block: it ends with the document that reaches so many.
-BLOCK_POSITIONS = 2_000_000
+#: Positions of a block: it ends with the document that reaches so many. Larger blocks
+#: of words repeat fewer of them; blocks of ids only have to outnumber the vocabulary.
+BLOCK_POSITIONS = 1_000_000
+ID_BLOCK_POSITIONS = 500_000
+#: Documents of a batch that are Python objects at a time.
+ROWS_AT_ONCE = 512
 #: Distinct words of all blocks together that a bucket has on average.
 BUCKET_WORDS = 400_000
 #: Bytes of a word up to which the library encodes it; it overflows its stack on very long ones.
@@ -227,6 +231,14 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of two columns, a few at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+            some = batch.slice(first, ROWS_AT_ONCE)
+            yield from zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)
+
+
 def _first_number() -> int:
     """Blocks of a task are numbered from here on."""
     from pyspark import TaskContext
@@ -245,15 +257,14 @@ def _gather_words(pattern: str, positions: int):
             listed = pack_list([words[k].encode() for k in order.tolist()])
             return _batch([(block, ids, ends, pack_numbers(places), len(words), listed)], _BLOCK)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text, pattern)
-                parts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
-                ids.append(doc_id)
-                ends.append((ends[-1] if ends else 0) + len(words))
-                if ends[-1] >= positions:
-                    yield row()
-                    block, ids, ends, parts, numbers = block + 1, [], [], [], Numbers()
+        for doc_id, text in _rows(batches):
+            words = words_of(text, pattern)
+            parts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+            ids.append(doc_id)
+            ends.append((ends[-1] if ends else 0) + len(words))
+            if ends[-1] >= positions:
+                yield row()
+                block, ids, ends, parts, numbers = block + 1, [], [], [], Numbers()
         if ids:
             yield row()
 
@@ -396,14 +407,13 @@ def _gather_ids(positions: int):
                 [pa.array(np.full(n, block, np.int64)), number, pa.array(distinct.astype(np.int64)), *nothing], schema=_TOKENS
             )
 
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts.append(np.frombuffer(ids or b"", "<u4"))
-                docs.append(doc_id)
-                ends.append((ends[-1] if ends else 0) + len(parts[-1]))
-                if ends[-1] >= positions:
-                    yield from rows()
-                    block, docs, ends, parts = block + 1, [], [], []
+        for doc_id, ids in _rows(batches):
+            parts.append(np.frombuffer(ids or b"", "<u4"))
+            docs.append(doc_id)
+            ends.append((ends[-1] if ends else 0) + len(parts[-1]))
+            if ends[-1] >= positions:
+                yield from rows()
+                block, docs, ends, parts = block + 1, [], [], []
         if docs:
             yield from rows()
 
@@ -461,7 +471,7 @@ def decode(
     path: str | None = None,
     id_col: str = "doc_id",
     ids_col: str = "ids",
-    positions: int = BLOCK_POSITIONS,
+    positions: int = ID_BLOCK_POSITIONS,
 ) -> DataFrame:
     """``(doc_id, n_tokens, ids, decoded)``: the bytes that each row's ids stand for.
 
