@@ -17,6 +17,7 @@ joins the table of token bytes by id.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
@@ -35,8 +36,10 @@ BLOCK_POSITIONS = 1_000_000
 ID_BLOCK_POSITIONS = 500_000
 #: Documents of a batch that are Python objects at a time.
 ROWS_AT_ONCE = 512
+#: Words of a block that are numbered by frequency.
+FREQUENT_WORDS = 4_096
 #: Distinct words of all blocks together that a bucket has on average.
-BUCKET_WORDS = 400_000
+BUCKET_WORDS = 800_000
 #: Bytes of a word up to which the library encodes it; it overflows its stack on very long ones.
 LIBRARY_BYTES = 1_000
 
@@ -159,20 +162,34 @@ def reclassified() -> dict[int, str]:
     return {ord(c): there.get(c, other) for c in there.keys() | here.keys() if there.get(c) != here.get(c)}
 
 
+def ascii_pattern(pattern: str) -> str:
+    """The pattern with the letters and numbers of ASCII for those of Unicode."""
+
+    def replaced(found: re.Match) -> str:
+        plain = found[0].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
+        return plain if plain.startswith("[") else f"[{plain}]"
+
+    return re.sub(r"\[(?:\\.|[^\]\\])*\]|\\p\{[LN]\}", replaced, pattern)
+
+
 @lru_cache(maxsize=2)
 def _splitter(pattern: str):
     import regex
 
+    plain = ascii_pattern(pattern)
     moved = reclassified()
-    return regex.compile(pattern), frozenset(map(chr, moved)), moved
+    unicode = regex.compile(pattern)
+    return unicode, unicode if r"\p" in plain else re.compile(plain, re.ASCII), frozenset(map(chr, moved)), moved
 
 
 def words_of(text: str | None, pattern: str) -> list[str]:
     """Every match of the pattern, as the encoder's library would find it."""
-    words, apart, moved = _splitter(pattern)
+    words, plain_words, apart, moved = _splitter(pattern)
     if not text:
         return []
-    if text.isascii() or apart.isdisjoint(text):
+    if text.isascii():
+        return plain_words.findall(text)
+    if apart.isdisjoint(text):
         return words.findall(text)
     return [text[m.start() : m.end()] for m in words.finditer(text.translate(moved))]
 
@@ -218,12 +235,17 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return np.frombuffer(unpack(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-def _most_frequent_first(places: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places under numbers by falling frequency, and the old numbers in that order."""
-    order = np.argsort(-np.bincount(places, minlength=distinct), kind="stable")
-    number = np.empty(distinct, np.uint32)
-    number[order] = np.arange(distinct)
-    return number[places], order
+def _renumbered(places: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """Places and words under other numbers: the most frequent words first, the rest in their own order.
+
+    Both are shorter once packed: small numbers stand at most places, and neighbours
+    in the list of words begin alike.
+    """
+    order = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable").tolist()
+    order[FREQUENT_WORDS:] = sorted(order[FREQUENT_WORDS:], key=words.__getitem__)
+    number = np.empty(len(words), np.uint32)
+    number[order] = np.arange(len(words))
+    return number[places], [words[k] for k in order]
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -252,10 +274,8 @@ def _gather_words(pattern: str, positions: int):
         ids, ends, parts, numbers = [], [], [], Numbers()
 
         def row() -> pa.RecordBatch:
-            words = list(numbers)
-            places, order = _most_frequent_first(np.concatenate(parts), len(words))
-            listed = pack_list([words[k].encode() for k in order.tolist()])
-            return _batch([(block, ids, ends, pack_numbers(places), len(words), listed)], _BLOCK)
+            places, words = _renumbered(np.concatenate(parts), [word.encode() for word in numbers])
+            return _batch([(block, ids, ends, pack_numbers(places), len(words), pack_list(words))], _BLOCK)
 
         for doc_id, text in _rows(batches):
             words = words_of(text, pattern)
@@ -282,7 +302,7 @@ def _deal(buckets: int):
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order])) + 1
                 rows = [
-                    (block, int(bucket[some[0]]), pack_numbers(some), pack_list([words[k] for k in some.tolist()]))
+                    (block, int(bucket[some[0]]), pack_numbers(np.diff(some, prepend=0)), pack_list([words[k] for k in some.tolist()]))
                     for some in np.split(order, cuts)
                     if len(some)
                 ]
@@ -325,7 +345,7 @@ def _encoded_documents(blocks: pa.Table, shares: pa.Table) -> pa.Table:
     (block,) = blocks.to_pylist()
     table: list[bytes] = [b""] * block["n_words"]
     for share in shares.to_pylist():
-        for number, ids in zip(unpack_numbers(share["numbers"]).tolist(), unpack_list(share["words"]), strict=True):
+        for number, ids in zip(unpack_numbers(share["numbers"]).cumsum().tolist(), unpack_list(share["words"]), strict=True):
             table[number] = ids
     rows = []
     for doc_id, places in _documents(unpack_numbers(block["places"]), block["ids"], block["ends"]):

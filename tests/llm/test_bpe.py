@@ -53,6 +53,17 @@ def test_any_text_has_the_librarys_ids(text):
     assert own(text) == expected(text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" 'sltverd\n"), st.characters(max_codepoint=0x7F)), max_size=60))
+def test_plain_texts_have_the_librarys_ids(text):
+    assert own(text) == expected(text)
+
+
+def test_pattern_for_plain_texts():
+    assert byte_bpe.ascii_pattern(r" ?\p{L}+|[^\s\p{L}\p{N}]|\p{Lu}|[\]\p{N}]") == r" ?[A-Za-z]+|[^\sA-Za-z0-9]|\p{Lu}|[\]0-9]"
+    assert words_of("Ab1 é", r"\p{Lu}|\p{N}") == ["A", "1"]
+
+
 def test_every_character_has_the_librarys_class():
     moved = "".join(map(chr, reclassified()))
     assert own(moved) == expected(moved)
