@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tabchain.operators.grid_join import grid_join
 from tabchain.operators.joins import quoted, spread_join, table_join
 
 # Aggregates and comparisons of the steps and the generator.
@@ -173,8 +174,11 @@ def join(
     how: str = "inner",
     match_null_keys: bool = True,
     spread_by: list[str] | None = None,
+    grid: bool = False,
 ) -> DataFrame:
-    """Join with a registered table; ``spread_by`` salts a skewed left side."""
+    """Join with a registered table; ``spread_by`` salts a skewed left side, ``grid`` spreads keys hot on either or both."""
+    if grid:
+        return grid_join(inter, tables[table], on, how, match_null_keys)
     if spread_by:
         return spread_join(inter, tables[table], _list(on), spread_by, how, match_null_keys=match_null_keys)
     return table_join(inter, tables[table], on, how, match_null_keys)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabchain.operators.positions import numbered
@@ -248,7 +250,38 @@ def sql_text(spark, d):
     return run_sql(spark, _SQL, _tables(spark, d, "part"))
 
 
+#: Join types, and whether NULL keys match.
+GRID_JOINS = (("inner", True), ("left", False), ("right", True), ("outer", True))
+
+
+def grid_join_types(spark, d):
+    """Customers and suppliers by a key of which a third on either side is one value and a third is NULL, joined in four ways."""
+    key = lambda c, n: F.when(F.col(c) % n == 0, None).when(F.col(c) % n == 1, F.lit(0)).otherwise(F.col(c)).alias("k")
+    t = {
+        "customer": table(spark, d, "customer").select(key("c_custkey", 8), "c_custkey"),
+        "supplier": table(spark, d, "supplier").select(key("s_suppkey", 8), "s_suppkey"),
+    }
+    joined = [
+        chain(t, ("join", {"table": "supplier", "on": "k", "how": how, "grid": True, "match_null_keys": match}, "customer"))
+        .withColumns({"how": F.lit(how), "null_keys": F.lit(match)})
+        for how, match in GRID_JOINS
+    ]
+    return reduce(DataFrame.unionByName, joined)
+
+
+def _grid_sql() -> str:
+    key = lambda c: f"CASE WHEN {c} % 8 = 0 THEN NULL WHEN {c} % 8 = 1 THEN 0 ELSE {c} END"
+    one = lambda how, match: (
+        f"SELECT coalesce(a.k, b.k) AS k, c_custkey, s_suppkey, '{how}' AS how, {str(match).lower()} AS null_keys "
+        f"FROM a {'FULL' if how == 'outer' else how} JOIN b ON a.k {'IS NOT DISTINCT FROM' if match else '='} b.k"
+    )
+    return f"""
+WITH a AS (SELECT {key('c_custkey')} AS k, c_custkey FROM customer), b AS (SELECT {key('s_suppkey')} AS k, s_suppkey FROM supplier)
+{' UNION ALL '.join(one(how, match) for how, match in GRID_JOINS)}"""
+
+
 QUERIES = {
+    "chain_grid_join": (grid_join_types, _grid_sql()),
     "chain_topk_customers": (topk_customers, TOPK_SQL),
     "chain_filter_select": (filter_select, "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 30 AND l_returnflag = 'R'"),
     "mixed_and_or": (
