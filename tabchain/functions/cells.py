@@ -115,11 +115,34 @@ def empty_table() -> str:
     return table_value("array()", "array()")
 
 
+_JSON_TEXT = r'"(?:[^"\\]++|\\.)*+"'
+
+
+def _json_object(depth: int) -> str:
+    """Pattern of a JSON object with objects in it to a depth."""
+    inner = f"|{_json_object(depth - 1)}" if depth else ""
+    return rf'\{{(?:[^"{{}}]++|{_JSON_TEXT}{inner})*+\}}'
+
+
+#: Depth of objects in a cell whose numbers are left alone.
+OBJECT_DEPTH = 4
+#: All up to the next number that is a cell: texts and objects are stepped over as a
+#: whole, so nothing in them is taken for a number. Then the number, as JSON writes it.
+_NUMBER_CELL = (
+    rf'\G((?:\A\s*+\{{|[^"{{0-9-]++|{_JSON_TEXT}|{_json_object(OBJECT_DEPTH)})*+)'
+    r"(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+)(?=\s*+[,\]}])"
+)
+#: An array within a row.
+_ARRAY_CELL = r"\[[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\[[^\[\]]*+\["
+
+
 def table_from_split_json(text: str) -> str:
     """Nested table from split-oriented JSON; broken JSON gives NULL.
 
-    Cells keep the JSON literal as text, without type inference. Floats that
-    the JSON reader prints in exponent form are printed plain again.
+    Cells keep the JSON literal as text, without type inference: numbers become texts
+    before the JSON is read, so ``1.10``, ``1e5`` and numbers of any length stay as they
+    stand. Objects are cells as the JSON reader prints them. So is every number of a
+    table with an array in a cell, where only exponents are printed plain again.
     """
     is_exponent = lambda x: f"{x} RLIKE '^-?[0-9][.][0-9]+E-?[0-9]+$'"
     plain = lambda rows: (
@@ -130,9 +153,15 @@ def table_from_split_json(text: str) -> str:
         )
         + f", {rows})"
     )
-    return let(
-        f"from_json({text}, {lit(SPLIT_JSON_DDL)})",
-        lambda t: f"if({t}.columns IS NOT NULL AND {t}.data IS NOT NULL, {table_value(f'{t}.columns', plain(f'{t}.data'))}, NULL)",
+    read = lambda json: f"from_json({json}, {lit(SPLIT_JSON_DDL)})"
+    made = lambda rows: lambda t: (
+        f"if({t}.columns IS NOT NULL AND {t}.data IS NOT NULL, {table_value(f'{t}.columns', rows(f'{t}.data'))}, NULL)"
+    )
+    literals = f"regexp_replace({text}, {lit(_NUMBER_CELL)}, {lit('$1"$2"')})"
+    bare = f"regexp_replace(regexp_replace(ltrim({text}), {lit(_JSON_TEXT)}, ''), {lit('(?!^)' + _json_object(OBJECT_DEPTH))}, '')"
+    return (
+        f"if(regexp_like({bare}, {lit(_ARRAY_CELL)}), "
+        f"{let(read(text), made(plain))}, {let(read(literals), made(lambda rows: rows))})"
     )
 
 

@@ -77,7 +77,36 @@ def test_split_json(value):
     assert rows == [["a & b", "10", None], ["01", "100000000.0", "1.0E8x"]]
 
 
-@pytest.mark.parametrize("json", ["not json", '{"columns":["a"]}', '{"data":[["a"]]}'])
+@pytest.mark.parametrize(
+    "literal",
+    ["1.10", "0.1000", "1e5", "12345678.123456789012", "-0", "-0.50", "1E-7", "100000000.0", "9" * 60, "true", "0", "12", "1e400", "-1.0E+05"],
+)
+def test_json_literals_stay_as_they_stand(value, literal):
+    json = f'{{"columns": ["a", 1.50], "index": [0], "data": [[{literal}, "x, {literal}, y"], [ {literal} , {literal}]]}}'
+    columns, rows = as_table(value(cells.table_from_split_json("s"), S, (json,)))
+    assert columns == ["a", "1.50"] and rows == [[literal, f"x, {literal}, y"], [literal, literal]]
+
+
+def test_json_texts_and_objects_are_no_numbers(value):
+    json = r'{"columns":["a"],"data":[["[1, 2]","\"3\",4,"," 5 ","1.0E8"],[{"x":1,"y":[2,{"z":-3}]},"{",6.0,"\\",7e1],[null,false,"",{},8]]}'
+    _, rows = as_table(value(cells.table_from_split_json("s"), S, (json,)))
+    assert rows == [["[1, 2]", '"3",4,', " 5 ", "1.0E8"], ['{"x":1,"y":[2,{"z":-3}]}', "{", "6.0", "\\", "7e1"], [None, "false", "", "{}", "8"]]
+
+
+def test_json_with_arrays_as_cells(value):
+    _, rows = as_table(value(cells.table_from_split_json("s"), S, ('{"columns":["a","b"],"data":[[[1,2],"[["],[3,100000000.0]]}',)))
+    assert rows == [["[1,2]", "[["], ["3", "100000000.0"]]
+
+
+def test_long_json(value):
+    rows = [[str(k), f'"text {k}"'] for k in range(20_000)]
+    json = '{"columns":["a","b"],"data":[' + ",".join(f"[{a},{b}]" for a, b in rows) + ']}'
+    assert as_table(value(cells.table_from_split_json("s"), S, (json,)))[1] == [[a, b.strip('"')] for a, b in rows]
+    texts = '{"columns":["a"],"data":[' + ",".join(['["x"]'] * 20_000) + "]}"
+    assert len(as_table(value(cells.table_from_split_json("s"), S, (texts,)))[1]) == 20_000
+
+
+@pytest.mark.parametrize("json", ['{"columns":["a"],"data":[[01]]}', '{"columns":["a"],"data":[[1.]]}', '{"columns":["a"],"data":[[--1]]}', '{"columns":["a"],"data":[[1 2]]}', "not json", '{"columns":["a"]}', '{"data":[["a"]]}'])
 def test_broken_split_json_is_null(value, json):
     assert value(cells.table_from_split_json("s"), S, (json,)) is None
 

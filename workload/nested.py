@@ -241,6 +241,24 @@ SELECT p_partkey, 2, unnest(range(1, 6))::INTEGER, unnest(['p_name', '7', 'p_siz
        unnest([p_type, '{"x":1}', '12500000.0', 'false', p_partkey::VARCHAR]) FROM part"""
 
 
+def json_literals(spark, d):
+    """Numbers as JSON may write them, in cells beside texts that look like them."""
+    price = F.col("l_extendedprice").cast("decimal(15,2)").cast("string")
+    json = F.concat(
+        F.lit('{"columns":["a","b"],"data":[['), price, F.lit("0,1e"), F.col("l_linenumber").cast("string"), F.lit('],["'), price,
+        F.lit(',5.0","'), price, F.lit('"],[12345678.12345678901'), F.col("l_orderkey").cast("string"), F.lit(",-0.10]]}"),
+    )
+    tables = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", json.alias("json"))
+    rows = tables.selectExpr("l_orderkey", "l_linenumber", "l_partkey", f"{table_from_split_json('json')} AS t")
+    return rows.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "array_join(transform(t.rows, r -> array_join(r, '|')), ';') AS cells")
+
+
+_PRICE = "l_extendedprice::DECIMAL(15,2)::VARCHAR"
+JSON_LITERALS_SQL = f"""
+SELECT l_orderkey, l_linenumber, l_partkey, {_PRICE} || '0|1e' || l_linenumber || ';' || {_PRICE} || ',5.0|' || {_PRICE} ||
+  ';12345678.12345678901' || l_orderkey || '|-0.10' AS cells FROM lineitem"""
+
+
 def _dirty(spark, d) -> DataFrame:
     """Order blocks with repeated names and NULL cells."""
     holes = "transform(table.rows, r -> transform(r, (x, i) -> if(i != 2 OR x != 'O', x, NULL)))"
@@ -351,6 +369,7 @@ QUERIES = {
     "parse_rejects": (parse_rejects, REJECTS_SQL),
     "fill_from_text": (fill_missing, FILL_SQL),
     "split_json_cells": (split_json, SPLIT_JSON_SQL),
+    "json_literals": (json_literals, JSON_LITERALS_SQL),
     "clean_cells": (clean_cells, _clean_sql()),
     "dedup_columns": (dedup_columns, f"SELECT DISTINCT o_orderkey // {q.SINGLE_ROWS} AS sample_id, 'key -1,who,key -2,date' AS columns FROM orders"),
     "table_descriptor": (
