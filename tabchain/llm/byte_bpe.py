@@ -39,7 +39,7 @@ ROWS_AT_ONCE = 512
 #: Words of a block that are numbered by frequency.
 FREQUENT_WORDS = 4_096
 #: Distinct words of all blocks together that a bucket has on average.
-BUCKET_WORDS = 800_000
+BUCKET_WORDS = 400_000
 #: Bytes of a word up to which the library encodes it; it overflows its stack on very long ones.
 LIBRARY_BYTES = 1_000
 
@@ -340,20 +340,30 @@ def _documents(places: np.ndarray, ids: list, ends: list[int]) -> Iterator[tuple
         start = end
 
 
-def _encoded_documents(blocks: pa.Table, shares: pa.Table) -> pa.Table:
+def _put_together(blocks: pa.Table, shares: pa.Table) -> Iterator[tuple[int | None, bytes]]:
     """Documents of one block, by the ids at their positions."""
     (block,) = blocks.to_pylist()
     table: list[bytes] = [b""] * block["n_words"]
     for share in shares.to_pylist():
         for number, ids in zip(unpack_numbers(share["numbers"]).cumsum().tolist(), unpack_list(share["words"]), strict=True):
             table[number] = ids
-    rows = []
     for doc_id, places in _documents(unpack_numbers(block["places"]), block["ids"], block["ends"]):
-        ids = b"".join(map(table.__getitem__, places))
-        rows.append((doc_id, len(ids) // 4, ids))
+        yield doc_id, b"".join(map(table.__getitem__, places))
+
+
+def _encoded_documents(blocks: pa.Table, shares: pa.Table) -> pa.Table:
+    rows = [(doc_id, len(ids) // 4, ids) for doc_id, ids in _put_together(blocks, shares)]
     return pa.Table.from_batches([_batch(rows, _ENCODED)])
 
 
+def _encoded_id_block(blocks: pa.Table, shares: pa.Table) -> pa.Table:
+    """A block of words as a block of ids."""
+    docs, parts = zip(*_put_together(blocks, shares), strict=True)
+    parts = [np.frombuffer(ids, "<u4") for ids in parts]
+    ends = np.cumsum([len(x) for x in parts]).tolist()
+    return pa.Table.from_batches(_id_block(blocks["block"][0].as_py(), list(docs), ends, parts))
+
+
 def encode(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -370,6 +380,21 @@ def encode(
     have no ids. Rows that repeat an id or a text, or have no id, are rows of their
     own. Other columns are ignored, whatever their names. No rows give no rows.
     """
+    return _encoded(docs, _encoded_documents, _ENCODED_SQL, id_col, text_col, path, pattern, positions, bucket_words)
+
+
+def _encoded(
+    docs: DataFrame,
+    work: Callable[[pa.Table, pa.Table], pa.Table],
+    schema: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    path: str | None = None,
+    pattern: str | None = None,
+    positions: int = BLOCK_POSITIONS,
+    bucket_words: int = BUCKET_WORDS,
+) -> DataFrame:
+    """What ``work`` makes of each block and its encoded words."""
     import public_tokenizers
 
     path, pattern = path or ranks_path(), pattern or public_tokenizers.PATTERN
@@ -385,7 +410,7 @@ def encode(
     )
     columns = ["block", "ids", "ends", "places", "n_words"]
     left = blocks.select(*columns).toDF(*columns)
-    return left.groupBy("block").cogroup(shares.groupBy("block")).applyInArrow(_encoded_documents, _ENCODED_SQL)
+    return left.groupBy("block").cogroup(shares.groupBy("block")).applyInArrow(work, schema)
 
 
 def stored_in_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
@@ -410,32 +435,33 @@ def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.createDataFrame(pa.table([pa.array(ids, pa.int64()), pa.array(tokens, pa.binary())], names=["id", "value"]))
 
 
+def _id_block(block: int, docs: list, ends: list[int], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row with the positions of a block's documents, and a row for each distinct id."""
+    distinct, places = np.unique(np.concatenate(parts), return_inverse=True)
+    yield _batch([(block, len(distinct), None, docs, ends, places.astype("<u4").tobytes())], _TOKENS)
+    n = len(distinct)
+    nothing = [pa.nulls(n, f.type) for f in list(_TOKENS)[3:]]
+    number = pa.array(np.arange(n, dtype=np.int64))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, block, np.int64)), number, pa.array(distinct.astype(np.int64)), *nothing], schema=_TOKENS
+    )
+
+
 def _gather_ids(positions: int):
-    """Blocks of documents: a row with their positions, and a row for each distinct id."""
+    """Blocks of documents, as their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _first_number()
         docs, ends, parts = [], [], []
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            distinct, places = np.unique(np.concatenate(parts), return_inverse=True)
-            yield _batch([(block, len(distinct), None, docs, ends, places.astype("<u4").tobytes())], _TOKENS)
-            n = len(distinct)
-            nothing = [pa.nulls(n, f.type) for f in list(_TOKENS)[3:]]
-            number = pa.array(np.arange(n, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block, np.int64)), number, pa.array(distinct.astype(np.int64)), *nothing], schema=_TOKENS
-            )
-
         for doc_id, ids in _rows(batches):
             parts.append(np.frombuffer(ids or b"", "<u4"))
             docs.append(doc_id)
             ends.append((ends[-1] if ends else 0) + len(parts[-1]))
             if ends[-1] >= positions:
-                yield from rows()
+                yield from _id_block(block, docs, ends, parts)
                 block, docs, ends, parts = block + 1, [], [], []
         if docs:
-            yield from rows()
+            yield from _id_block(block, docs, ends, parts)
 
     return run
 
@@ -501,8 +527,17 @@ def decode(
     A row with an id that the vocabulary lacks has null as ``decoded``; no ids give no
     bytes, null ids count as none, and no rows give no rows.
     """
-    rows = encoded.select(F.col(id_col).cast("long"), F.col(ids_col)).mapInArrow(_gather_ids(positions), _TOKENS_SQL)
-    found = rows.join(F.broadcast(token_bytes(encoded.sparkSession, path)), "id", "left")
+    rows = encoded.select(F.col(id_col).cast("long"), F.col(ids_col))
+    return _decoded(rows.mapInArrow(_gather_ids(positions), _TOKENS_SQL), path)
+
+
+def encode_and_decode(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
+    """``decode(encode(docs))``, with blocks of ids made where the blocks of words are put together."""
+    return _decoded(_encoded(docs, _encoded_id_block, _TOKENS_SQL, path=path, **options), path)
+
+
+def _decoded(rows: DataFrame, path: str | None) -> DataFrame:
+    found = rows.join(F.broadcast(token_bytes(rows.sparkSession, path)), "id", "left")
     return found.select("block", "number", "id", "value", "doc_ids", "ends", "places").mapInArrow(
         _decoded_documents, _DECODED_SQL
     )

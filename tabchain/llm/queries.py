@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabchain.llm import oracles
-from tabchain.llm.byte_bpe import decode, encode
+from tabchain.llm.byte_bpe import encode_and_decode
 from tabchain.llm.common import documents, id_bucket
 from tabchain.llm.decontaminate import find_leaks
 from tabchain.llm.exact_dedup import exact_dedup
@@ -123,8 +123,7 @@ def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    decoded = decode(encode(documents(spark, folder)))
-    return decoded.select(
+    return encode_and_decode(documents(spark, folder)).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 
 from tabchain.llm import byte_bpe
 from tabchain.llm.byte_bpe import (
-    decode, encode, encode_word, merged, pack_list, pack_numbers, ranks_path, reclassified, token_bytes, token_ranks,
+    decode, encode, encode_and_decode, encode_word, merged, pack_list, pack_numbers, ranks_path, reclassified, token_bytes, token_ranks,
     unpack_list, unpack_numbers, words_of,
 )
 from tabchain.llm.queries import QUERIES
@@ -94,7 +94,9 @@ def test_packing_round_trip(values, numbers):
 def test_rows_are_encoded_and_decoded(spark, positions, bucket_words):
     docs = rows(spark)
     found = decode(encode(docs, positions=positions, bucket_words=bucket_words), positions=positions).collect()
-    got = sorted((str(r.doc_id), r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in found)
+    at_once = encode_and_decode(docs, positions=positions, bucket_words=bucket_words).collect()
+    got, same = (sorted((str(r.doc_id), r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in x) for x in (found, at_once))
+    assert got == same
     want = []
     for r in docs.collect():
         ids = expected(r.text)
@@ -104,6 +106,7 @@ def test_rows_are_encoded_and_decoded(spark, positions, bucket_words):
 
 def test_no_rows(spark):
     assert decode(encode(rows(spark).limit(0))).count() == 0
+    assert encode_and_decode(rows(spark).limit(0)).count() == 0
 
 
 def test_ids_outside_the_vocabulary_and_null_ids(spark):
