@@ -66,3 +66,22 @@ def struct(**fields: str) -> str:
 def tail(array: str) -> str:
     """All elements but the first."""
     return f"slice({array}, 2, greatest(size({array}) - 1, 0))"
+
+
+# Fixed value: what counts as a number in a cell.
+NUMBER_PATTERN = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+_WHOLE_PATTERN = "^[+-]?[0-9]{1,38}$"
+
+
+def is_number(text: str) -> str:
+    return f"coalesce({text} RLIKE {lit(NUMBER_PATTERN)}, false)"
+
+
+def number_comparison(left: str, op: str, right: str) -> str:
+    """Two number texts compared: whole numbers of up to 38 digits exactly, others as doubles."""
+    whole = f"({left} RLIKE {lit(_WHOLE_PATTERN)} AND {right} RLIKE {lit(_WHOLE_PATTERN)})"
+    cast = lambda text, kind: f"try_cast({text} AS {kind})"
+    return (
+        f"if({whole}, {cast(left, 'decimal(38,0)')} {op} {cast(right, 'decimal(38,0)')}, "
+        f"{cast(left, 'double')} {op} {cast(right, 'double')})"
+    )

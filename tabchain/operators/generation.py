@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabchain.functions.draws import draw, draw_below, draw_item
-from tabchain.functions.sqltext import exists, fold, let, lit, struct, transform, where
+from tabchain.functions.sqltext import exists, fold, is_number, let, lit, number_comparison, struct, transform, where
 from tabchain.functions.tables import column_position, join_tables
 from tabchain.operators.joins import spread_join
 from tabchain.operators.steps import AGGREGATES, CONNECTORS, NUMERIC_OPS, STRING_OPS
@@ -22,15 +22,10 @@ CONDITION_DDL = (
     "array<struct<col:string,owner:int,pos:int,agg:string,op:string,"
     "val:string,is_num:boolean,connector:string>>"
 )
-NUMBER_PATTERN = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 #: Exact type of generated aggregates: sums do not depend on the row order.
 RESULT_TYPE = "decimal(28,4)"
 
 
-def is_number(text: str) -> str:
-    return f"coalesce({text} RLIKE {lit(NUMBER_PATTERN)}, false)"
-
-
 def with_query_numbers(df: DataFrame, per_table: int, name: str = "query_no") -> DataFrame:
     """Each table row ``per_table`` times."""
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(per_table - 1))))
@@ -186,11 +181,17 @@ def holds_all(conditions: str, holds) -> str:
     return fold(conditions, struct(done="false", open="true"), merge, lambda s: f"{s}.done")
 
 
+def _compare_numbers(left: str, op: str, right: str) -> str:
+    cases = " ".join(f"WHEN '{o}' THEN {number_comparison(left, o, right)}" for o in NUMERIC_OPS)
+    return f"if({is_number(left)}, CASE {op} {cases} END, NULL)"
+
+
 def _cells_hold(row: str):
-    return lambda c: (
-        f"if({c}.is_num, "
-        + _compare(f"try_cast(get({row}, {c}.pos) AS double)", f"{c}.op", f"try_cast({c}.val AS double)")
-        + f", {_compare(f'get({row}, {c}.pos)', f'{c}.op', f'{c}.val')})"
+    return lambda c: let(
+        f"get({row}, {c}.pos)",
+        lambda cell: (
+            f"if({c}.is_num, {_compare_numbers(cell, f'{c}.op', f'{c}.val')}, {_compare(cell, f'{c}.op', f'{c}.val')})"
+        ),
     )
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabchain.functions.draws import DRAW_BITS, draw
+from tabchain.operators.joins import quoted
 from tabchain.session import cut_lineage
 
 #: Bits of the shuffle hash that name a bucket: 65,536 buckets at most, which
@@ -47,32 +46,23 @@ def with_shuffled_position(df: DataFrame, id_col: str, seed: int = 0, name: str
     )
 
 
+def _sortable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _sortable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_sortable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def with_position(df: DataFrame, order: str | list[str], name: str = "pos") -> DataFrame:
-    """0-based position of each row in the order of unique columns.
+    """0-based position of each row in the order of columns, every row once.
 
-    Only the order columns are sorted. Their sorted form is checkpointed, so
-    the partition numbers that the positions rest on cannot change, and the
-    positions are joined back to the rows.
+    Rows that are equal in them follow by their other columns, as far as those can be
+    sorted; whole copies are interchangeable.
     """
     columns = [order] if isinstance(order, str) else list(order)
-    ordered = (
-        df.select(*columns)
-        .repartitionByRange(*columns)
-        .sortWithinPartitions(*columns)
-        .withColumn("_id", F.monotonically_increasing_id())
-    )
-    ordered = cut_lineage(ordered)
-    part = F.shiftright("_id", _ROW_BITS)
-    counts = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    positions = (
-        ordered.withColumn("_part", part)
-        .join(F.broadcast(_running_offsets(counts, "_part")), "_part")
-        .select(*columns, (F.col("_offset") + F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1)).alias(name))
-    )
-    same = reduce(lambda x, y: x & y, [df[c].eqNullSafe(positions[c]) for c in columns])
-    if df.columns == columns:
-        return positions
-    return df.join(positions, same).select(*[df[c] for c in df.columns], positions[name])
+    ties = [f.name for f in df.schema.fields if f.name not in columns and _sortable(f.dataType)]
+    return numbered(df.orderBy(*[F.col(quoted(c)) for c in [*columns, *ties]]), name)
 
 
 def numbered(ordered: DataFrame, name: str = "pos") -> DataFrame:

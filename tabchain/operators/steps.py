@@ -6,6 +6,8 @@ Catalyst prunes columns and pushes filters through all steps at once.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -240,5 +242,24 @@ def union(inter: DataFrame, tables: Tables, table: str) -> DataFrame:
 
 @step("sql")
 def sql(inter: DataFrame, tables: Tables, query: str) -> DataFrame:
-    """SQL over the registered tables and ``inter``."""
-    return inter.sparkSession.sql(query, **{"inter": inter, **tables}) if "{" in query else inter.sparkSession.sql(query)
+    """SQL over the registered tables and ``inter``, each named in braces.
+
+    Only braces around one of these names stand for a table. Tables are views of
+    that name while the query is analysed.
+    """
+    spark, known, views = inter.sparkSession, {"inter": inter, **tables}, {}
+
+    def view(found: re.Match) -> str:
+        name = found[1]
+        if name not in known:
+            return found[0]
+        if name not in views:
+            views[name] = f"step_{uuid.uuid4().hex}"
+            known[name].createOrReplaceTempView(views[name])
+        return views[name]
+
+    try:
+        return spark.sql(re.sub(r"\{(\w+)\}", view, query))
+    finally:
+        for name in views.values():
+            spark.catalog.dropTempView(name)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tabchain.functions.cells import TABLE_DDL, clean_table, clean_tables, evaluate_once, table_value
-from tabchain.functions.sqltext import fold, forall, let, sort_with, struct, transform, where
+from tabchain.functions.sqltext import fold, forall, is_number, let, number_comparison, sort_with, struct, transform, where
 from tabchain.functions.tables import column_position, join_tables, runs
 
 #: One step: ``columns`` for select, sort keys or the join key; ``op`` and
@@ -38,10 +38,8 @@ def _filter(table: str, step: str) -> str:
     """Rows that compare with the value, as numbers where both are numbers."""
 
     def keep(cell: str) -> str:
-        both = f"(try_cast({cell} AS double) IS NOT NULL AND try_cast({step}.value AS double) IS NOT NULL)"
-        test = lambda op: (
-            f"if({both}, try_cast({cell} AS double) {op} try_cast({step}.value AS double), {cell} {op} {step}.value)"
-        )
+        both = f"({is_number(cell)} AND {is_number(f'{step}.value')})"
+        test = lambda op: f"if({both}, {number_comparison(cell, op, f'{step}.value')}, {cell} {op} {step}.value)"
         cases = " ".join(f"WHEN '{op}' THEN {test(op)}" for op in ("=", "!=", "<", ">", "<=", ">="))
         return f"coalesce(CASE {step}.op {cases} END, false)"
 
@@ -62,8 +60,9 @@ def _sort(table: str, step: str, descending: bool) -> str:
         return let(
             f"get({r}, {at})",
             lambda cell: struct(
-                kind=f"CASE WHEN coalesce({cell}, '') = '' THEN 2 WHEN try_cast({cell} AS double) IS NULL THEN 1 ELSE 0 END",
-                number=f"try_cast({cell} AS double)",
+                kind=f"CASE WHEN coalesce({cell}, '') = '' THEN 2 WHEN {is_number(cell)} THEN 0 ELSE 1 END",
+                number=f"if({is_number(cell)}, try_cast({cell} AS double), NULL)",
+                whole=f"if({is_number(cell)}, try_cast({cell} AS decimal(38,0)), NULL)",
                 text=cell,
                 i=i,
                 r=r,
@@ -73,6 +72,7 @@ def _sort(table: str, step: str, descending: bool) -> str:
     order = lambda x, y: (
         f"CASE WHEN {x}.kind != {y}.kind THEN {x}.kind - {y}.kind "
         f"WHEN {x}.number < {y}.number THEN {before} WHEN {x}.number > {y}.number THEN {after} "
+        f"WHEN {x}.kind = 0 AND {x}.whole < {y}.whole THEN {before} WHEN {x}.kind = 0 AND {x}.whole > {y}.whole THEN {after} "
         f"WHEN {x}.kind = 1 AND {x}.text < {y}.text THEN {before} WHEN {x}.kind = 1 AND {x}.text > {y}.text THEN {after} "
         f"ELSE {x}.i - {y}.i END"
     )

@@ -136,6 +136,13 @@ def test_sql_step_reads_inter(tables):
     assert rows(got) == [(3,)]
 
 
+def test_sql_step_binds_names_only(spark, tables):
+    query = "SELECT '{' AS a, '{other}' AS b, count(*) AS n FROM {inter} JOIN {person} USING (personId)"
+    assert rows(chain(tables, ("filter", {"where": "grade > 1"}, "votes"), ("sql", {"query": query}))) == [("{", "{other}", 2)]
+    assert rows(chain(tables, ("sql", {"query": "SELECT 1 AS x"}, "votes"))) == [(1,)]
+    assert not [v.name for v in spark.catalog.listTables() if v.name.startswith("step_")]
+
+
 def test_mixed_connectors_follow_sql_precedence(spark):
     df = spark.range(8).selectExpr("id", "id & 1 = 1 AS a", "id & 2 = 2 AS b", "id & 4 = 4 AS c")
     built = df.where(conjunction([F.col("a"), F.col("b"), F.col("c")], ["OR", "AND"]))
@@ -246,3 +253,13 @@ def test_steps_on_headers_with_dots_and_backticks(spark):
     assert sorted(run("argmax", column="Pts.", by="x`y", tie="Pts.", group=["No."]), key=str) == [("a", 1, 2.0), ("b", 3, 4.0), (None, 2, 2.0)]
     assert run("aggregate", by="No.", aggs={"n": "sum(`Pts.`)"})
     assert run("add_column", name="z", split="No.", separator="x")[0][-1] == "a"
+
+
+def test_cells_that_only_look_like_numbers(spark):
+    """Numbers are what numbers look like in a cell, and whole ones compare exactly."""
+    table = (["k"], [["3f"], ["2d"], ["9007199254740993"], ["9007199254740992"], ["NaN"], ["1e2"], ["0x1"]])
+    run = lambda *step: [r[0] for r in run_one(spark, [table], step)[1]]
+    assert run("filter", ["k"], "=", "9007199254740993", 0, 0) == ["9007199254740993"]
+    assert run("filter", ["k"], "<", "9007199254740993", 0, 0) == ["3f", "2d", "9007199254740992", "1e2", "0x1"]
+    assert run("filter", ["k"], ">", "1", 0, 0) == ["3f", "2d", "9007199254740993", "9007199254740992", "NaN", "1e2"]
+    assert run("sort_desc", ["k"], "", "", 0, 0) == ["9007199254740993", "9007199254740992", "1e2", "NaN", "3f", "2d", "0x1"]

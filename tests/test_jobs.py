@@ -230,6 +230,16 @@ def test_positions_are_dense(spark):
     assert sorted(r.pos for r in part.collect()) == [710, 711, 712, 713, 714]
 
 
+def test_positions_of_equal_keys(spark):
+    """Each row once, equal keys in the order of the other columns, whole copies next to each other."""
+    rows = [(1, "b", {"x": 1}), (1, "a", None), (None, "z", None), (2, "c", None), (2, "c", None)]
+    df = spark.createDataFrame(rows, "`k.1` int, v string, m map<string,int>").repartition(3)
+    made = positions.with_position(df, "k.1")
+    assert made.columns == ["k.1", "v", "m", "pos"]
+    assert [(r["k.1"], r.v) for r in sorted(made.collect(), key=lambda r: r.pos)] == [(None, "z"), (1, "a"), (1, "b"), (2, "c"), (2, "c")]
+    assert sorted(r.pos for r in made.collect()) == list(range(5))
+
+
 def test_whole_shuffle_is_numbered(spark):
     """Every row, over several sorted partitions and with rows that are no multiple of them."""
     from tabchain.operators import positions
