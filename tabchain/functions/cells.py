@@ -99,7 +99,8 @@ def cell_text(column: str, data_type: T.DataType) -> str:
 
 def text_cells(schema: T.StructType, columns: list[str]) -> str:
     """The named columns of a typed DataFrame as one array of cell texts."""
-    return f"array({', '.join(cell_text(f'`{c}`', schema[c].dataType) for c in columns)})"
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    return f"array({', '.join(cell_text(quoted(c), schema[c].dataType) for c in columns)})"
 
 
 def text_array(texts: list[str] | tuple[str, ...]) -> str:

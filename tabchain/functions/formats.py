@@ -43,18 +43,23 @@ def _html_cells(cells: str, tag: str) -> str:
     return f"array_join({transform(cells, one)}, '')"
 
 
+def html_head(columns: str) -> str:
+    """All of an HTML table before its rows."""
+    return f"concat({lit(HTML_START)}, {_html_cells(columns, 'th')}, {lit(HTML_BODY)})"
+
+
+def html_row(cells: str, number: str) -> str:
+    return (
+        f"concat({lit('    <tr>' + chr(10) + '      <th>')}, CAST({number} AS string), {lit('</th>' + chr(10))}, "
+        f"{_html_cells(cells, 'td')}, {lit('    </tr>' + chr(10))})"
+    )
+
+
 def html_table(table: str) -> str:
     """HTML table with a leading 0-based index column."""
-    row = lambda r, i: (
-        f"concat({lit('    <tr>' + chr(10) + '      <th>')}, CAST({i} AS string), {lit('</th>' + chr(10))}, "
-        f"{_html_cells(r, 'td')}, {lit('    </tr>' + chr(10))})"
-    )
     return let(
         table,
-        lambda t: (
-            f"concat({lit(HTML_START)}, {_html_cells(f'{t}.columns', 'th')}, {lit(HTML_BODY)}, "
-            f"array_join({transform(f'{t}.rows', row)}, ''), {lit(HTML_END)})"
-        ),
+        lambda t: f"concat({html_head(f'{t}.columns')}, array_join({transform(f'{t}.rows', html_row)}, ''), {lit(HTML_END)})",
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("chains", "nested", "texts", "generated", "corpus_jobs", "checked", "lossless", "flat")
+MODULES = ("chains", "nested", "texts", "generated", "corpus_jobs", "checked", "lossless", "flat", "large_tables")
 
 
 def all_queries() -> dict:
