@@ -30,10 +30,15 @@ from pyspark.sql import functions as F
 from tabchain.session import scratch_path
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
-#: Positions of a block: it ends with the document that reaches so many. Larger blocks
-#: of words repeat fewer of them; blocks of ids only have to outnumber the vocabulary.
-BLOCK_POSITIONS = 1_000_000
+#: Distinct words of a block, and positions of it: it ends with the document that
+#: reaches either. Its positions are kept in parts, which are handled one by one.
+BLOCK_WORDS = 400_000
+BLOCK_POSITIONS = 8_000_000
+PART_POSITIONS = 1_000_000
+#: Positions of a block of ids, which only has to outnumber the vocabulary.
 ID_BLOCK_POSITIONS = 500_000
+#: Bits of a block's number within its task, and of a part's within its block.
+NUMBER_BITS = 16
 #: Documents of a batch that are Python objects at a time.
 ROWS_AT_ONCE = 512
 #: Words of a block that are numbered by frequency.
@@ -46,6 +51,7 @@ LIBRARY_BYTES = 1_000
 _BLOCK = pa.schema(
     [
         ("block", pa.int64()),
+        ("part", pa.int64()),
         ("ids", pa.list_(pa.int64())),
         ("ends", pa.list_(pa.int64())),
         ("places", pa.binary()),
@@ -53,7 +59,7 @@ _BLOCK = pa.schema(
         ("words", pa.binary()),
     ]
 )
-_BLOCK_SQL = "block long, ids array<long>, ends array<long>, places binary, n_words long, words binary"
+_BLOCK_SQL = "block long, part long, ids array<long>, ends array<long>, places binary, n_words long, words binary"
 _SHARE = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("numbers", pa.binary()), ("words", pa.binary())])
 _SHARE_SQL = "block long, bucket long, numbers binary, words binary"
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -265,28 +271,47 @@ def _first_number() -> int:
     """Blocks of a task are numbered from here on."""
     from pyspark import TaskContext
 
-    return TaskContext.get().partitionId() << 33
+    return TaskContext.get().partitionId() << NUMBER_BITS
 
 
-def _gather_words(pattern: str, positions: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _first_number()
-        ids, ends, parts, numbers = [], [], [], Numbers()
+class _WordBlock:
+    """Documents of a block as they come in, in parts."""
+
+    def __init__(self, number: int, part_positions: int):
+        self.number, self.part_positions = number, part_positions
+        self.numbers, self.positions = Numbers(), 0
+        self.parts: list[tuple[list, list[int], list[np.ndarray]]] = []
+
+    def add(self, doc_id: int | None, words: list[str]) -> None:
+        full = self.parts and self.parts[-1][1][-1] >= self.part_positions
+        if not self.parts or full and len(self.parts) < 1 << NUMBER_BITS:
+            self.parts.append(([], [], []))
+        ids, ends, places = self.parts[-1]
+        ids.append(doc_id)
+        ends.append((ends[-1] if ends else 0) + len(words))
+        places.append(np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words)))
+        self.positions += len(words)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """A row per part; the first one has the words."""
+        cuts = np.cumsum([ends[-1] for _, ends, _ in self.parts])[:-1]
+        every = np.concatenate([x for _, _, places in self.parts for x in places])
+        places, words = _renumbered(every, [word.encode() for word in self.numbers])
+        for k, ((ids, ends, _), own) in enumerate(zip(self.parts, np.split(places, cuts), strict=True)):
+            listed = None if k else pack_list(words)
+            yield _batch([(self.number, k, ids, ends, pack_numbers(own), len(words), listed)], _BLOCK)
 
-        def row() -> pa.RecordBatch:
-            places, words = _renumbered(np.concatenate(parts), [word.encode() for word in numbers])
-            return _batch([(block, ids, ends, pack_numbers(places), len(words), pack_list(words))], _BLOCK)
 
+def _gather_words(pattern: str, positions: int, part_positions: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _WordBlock(_first_number(), part_positions)
         for doc_id, text in _rows(batches):
-            words = words_of(text, pattern)
-            parts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
-            ids.append(doc_id)
-            ends.append((ends[-1] if ends else 0) + len(words))
-            if ends[-1] >= positions:
-                yield row()
-                block, ids, ends, parts, numbers = block + 1, [], [], [], Numbers()
-        if ids:
-            yield row()
+            block.add(doc_id, words_of(text, pattern))
+            if block.positions >= positions or len(block.numbers) >= BLOCK_WORDS:
+                yield from block.rows()
+                block = _WordBlock(block.number + 1, part_positions)
+        if block.parts:
+            yield from block.rows()
 
     return run
 
@@ -340,28 +365,34 @@ def _documents(places: np.ndarray, ids: list, ends: list[int]) -> Iterator[tuple
         start = end
 
 
-def _put_together(blocks: pa.Table, shares: pa.Table) -> Iterator[tuple[int | None, bytes]]:
-    """Documents of one block, by the ids at their positions."""
-    (block,) = blocks.to_pylist()
-    table: list[bytes] = [b""] * block["n_words"]
-    for share in shares.to_pylist():
+def _put_together(parts: pa.Table, shares: pa.Table) -> Iterator[tuple[int, list[tuple[int | None, bytes]]]]:
+    """Documents of a block, part by part, with the ids at their positions."""
+    table: list[bytes] = [b""] * parts["n_words"][0].as_py()
+    for k in range(shares.num_rows):
+        (share,) = shares.slice(k, 1).to_pylist()
         for number, ids in zip(unpack_numbers(share["numbers"]).cumsum().tolist(), unpack_list(share["words"]), strict=True):
             table[number] = ids
-    for doc_id, places in _documents(unpack_numbers(block["places"]), block["ids"], block["ends"]):
-        yield doc_id, b"".join(map(table.__getitem__, places))
+    for k in range(parts.num_rows):
+        (part,) = parts.slice(k, 1).to_pylist()
+        places = _documents(unpack_numbers(part["places"]), part["ids"], part["ends"])
+        yield part["part"], [(doc_id, b"".join(map(table.__getitem__, own))) for doc_id, own in places]
 
 
-def _encoded_documents(blocks: pa.Table, shares: pa.Table) -> pa.Table:
-    rows = [(doc_id, len(ids) // 4, ids) for doc_id, ids in _put_together(blocks, shares)]
-    return pa.Table.from_batches([_batch(rows, _ENCODED)])
+def _encoded_documents(parts: pa.Table, shares: pa.Table) -> pa.Table:
+    return pa.Table.from_batches(
+        _batch([(doc_id, len(ids) // 4, ids) for doc_id, ids in docs], _ENCODED) for _, docs in _put_together(parts, shares)
+    )
 
 
-def _encoded_id_block(blocks: pa.Table, shares: pa.Table) -> pa.Table:
-    """A block of words as a block of ids."""
-    docs, parts = zip(*_put_together(blocks, shares), strict=True)
-    parts = [np.frombuffer(ids, "<u4") for ids in parts]
-    ends = np.cumsum([len(x) for x in parts]).tolist()
-    return pa.Table.from_batches(_id_block(blocks["block"][0].as_py(), list(docs), ends, parts))
+def _encoded_id_blocks(parts: pa.Table, shares: pa.Table) -> pa.Table:
+    """Each part of a block of words as a block of ids."""
+    first = parts["block"][0].as_py() << NUMBER_BITS
+    found = []
+    for number, docs in _put_together(parts, shares):
+        ids = [np.frombuffer(x, "<u4") for _, x in docs]
+        ends = np.cumsum([len(x) for x in ids]).tolist()
+        found += _id_block(first + number, [doc_id for doc_id, _ in docs], ends, ids)
+    return pa.Table.from_batches(found)
 
 
 def encode(
@@ -371,6 +402,7 @@ def encode(
     path: str | None = None,
     pattern: str | None = None,
     positions: int = BLOCK_POSITIONS,
+    part_positions: int = PART_POSITIONS,
     bucket_words: int = BUCKET_WORDS,
 ) -> DataFrame:
     """``(doc_id, n_tokens, ids)``, a row per row; ids are little-endian unsigned 32-bit numbers.
@@ -380,7 +412,9 @@ def encode(
     have no ids. Rows that repeat an id or a text, or have no id, are rows of their
     own. Other columns are ignored, whatever their names. No rows give no rows.
     """
-    return _encoded(docs, _encoded_documents, _ENCODED_SQL, id_col, text_col, path, pattern, positions, bucket_words)
+    return _encoded(
+        docs, _encoded_documents, _ENCODED_SQL, id_col, text_col, path, pattern, positions, part_positions, bucket_words
+    )
 
 
 def _encoded(
@@ -392,6 +426,7 @@ def _encoded(
     path: str | None = None,
     pattern: str | None = None,
     positions: int = BLOCK_POSITIONS,
+    part_positions: int = PART_POSITIONS,
     bucket_words: int = BUCKET_WORDS,
 ) -> DataFrame:
     """What ``work`` makes of each block and its encoded words."""
@@ -399,16 +434,17 @@ def _encoded(
 
     path, pattern = path or ranks_path(), pattern or public_tokenizers.PATTERN
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    blocks = stored_in_buckets(texts.mapInArrow(_gather_words(pattern, positions), _BLOCK_SQL), "bpe_blocks", "block")
-    entries = blocks.agg(F.sum("n_words")).first()[0] or 0
+    blocks = stored_in_buckets(texts.mapInArrow(_gather_words(pattern, positions, part_positions), _BLOCK_SQL), "bpe_blocks", "block")
+    listed = blocks.where("words IS NOT NULL")
+    entries = listed.agg(F.sum("n_words")).first()[0] or 0
     shares = (
-        blocks.select("block", "words")
+        listed.select("block", "words")
         .mapInArrow(_deal(max(1, -(-entries // bucket_words))), _SHARE_SQL)
         .repartition("bucket")
         .sortWithinPartitions("bucket", "block")
         .mapInArrow(_encode_buckets(partial(encode_word, path=path, pattern=pattern)), _SHARE_SQL)
     )
-    columns = ["block", "ids", "ends", "places", "n_words"]
+    columns = ["block", "part", "ids", "ends", "places", "n_words"]
     left = blocks.select(*columns).toDF(*columns)
     return left.groupBy("block").cogroup(shares.groupBy("block")).applyInArrow(work, schema)
 
@@ -533,7 +569,7 @@ def decode(
 
 def encode_and_decode(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     """``decode(encode(docs))``, with blocks of ids made where the blocks of words are put together."""
-    return _decoded(_encoded(docs, _encoded_id_block, _TOKENS_SQL, path=path, **options), path)
+    return _decoded(_encoded(docs, _encoded_id_blocks, _TOKENS_SQL, path=path, **options), path)
 
 
 def _decoded(rows: DataFrame, path: str | None) -> DataFrame:

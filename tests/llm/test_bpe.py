@@ -90,11 +90,12 @@ def test_packing_round_trip(values, numbers):
     assert unpack_numbers(pack_numbers(np.array(numbers, np.uint32))).tolist() == numbers
 
 
-@pytest.mark.parametrize(("positions", "bucket_words"), [(1, 1), (500, 40), (4_000_000, 400_000)])
-def test_rows_are_encoded_and_decoded(spark, positions, bucket_words):
+@pytest.mark.parametrize(("positions", "parts", "bucket_words"), [(1, 1, 1), (7000, 20, 40), (8_000_000, 1_000_000, 400_000)])
+def test_rows_are_encoded_and_decoded(spark, positions, parts, bucket_words):
     docs = rows(spark)
-    found = decode(encode(docs, positions=positions, bucket_words=bucket_words), positions=positions).collect()
-    at_once = encode_and_decode(docs, positions=positions, bucket_words=bucket_words).collect()
+    sizes = {"positions": positions, "part_positions": parts, "bucket_words": bucket_words}
+    found = decode(encode(docs, **sizes), positions=positions).collect()
+    at_once = encode_and_decode(docs, **sizes).collect()
     got, same = (sorted((str(r.doc_id), r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in x) for x in (found, at_once))
     assert got == same
     want = []
@@ -134,6 +135,7 @@ def test_every_distinct_word_is_encoded_once(spark, tmp_path, monkeypatch):
 
     run = byte_bpe._encode_buckets
     monkeypatch.setattr(byte_bpe, "_encode_buckets", lambda encode_one: run(noted))
+    monkeypatch.setattr(byte_bpe, "BLOCK_WORDS", 6)
     assert sum(r.n_tokens for r in encode(docs, positions=30, bucket_words=3).collect()) == 60 * 5
     words = open(log, "rb").read().split(b"\n")[:-1]
     assert sorted(words) == sorted({f" {k}".encode() for k in range(7)} | {b"the", b" cat", b" number", b" sat"})
