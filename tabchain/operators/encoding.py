@@ -22,8 +22,8 @@ MASKED_LABEL = -100
 
 MAX_LENGTH = 1024
 VOCABULARY_SIZE = 32_000
-#: Largest vocabulary that is sent to the tasks.
-MAX_VOCABULARY = 1_000_000
+#: Largest vocabulary that is sent to the executors, in tokens and in bytes.
+MAX_VOCABULARY, MAX_VOCABULARY_BYTES = 1_000_000, 64 << 20
 
 
 def tokens(text: str) -> Column:
@@ -60,7 +60,10 @@ def attention_mask(n_tokens: Column, max_length: int) -> Column:
 
 
 def _vocabulary_lists(vocab: DataFrame) -> tuple[list[str], list[int]]:
-    """Tokens and ids on the driver; a table beyond the bound is an error."""
+    """Tokens and ids on the driver; a table beyond the bounds is an error."""
+    size = vocab.agg(F.sum(F.octet_length("token"))).first()[0] or 0
+    if size > MAX_VOCABULARY_BYTES:
+        raise ValueError(f"a vocabulary has at most {MAX_VOCABULARY_BYTES} bytes, not {size}")
     rows = vocab.select("token", "token_id").limit(MAX_VOCABULARY + 1).collect()
     if len(rows) > MAX_VOCABULARY:
         raise ValueError(f"a vocabulary has at most {MAX_VOCABULARY} tokens")
@@ -78,8 +81,17 @@ def _look_up(df: DataFrame, columns: list[str], keys: pa.Array, values: pa.Array
     schema = T.StructType(
         [T.StructField(f.name, T.ArrayType(element)) if f.name in columns else f for f in df.schema]
     )
+    sink = pa.BufferOutputStream()
+    table = pa.table({"key": keys, "value": values})
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    # Once to each executor, not with every task.
+    sent = df.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with pa.ipc.open_stream(sent.value) as reader:
+            received = reader.read_all()
+        keys, values = (received[c].combine_chunks() for c in ("key", "value"))
         for batch in batches:
             arrays = list(batch.columns)
             for i in places:

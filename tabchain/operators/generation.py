@@ -22,8 +22,10 @@ CONDITION_DDL = (
     "array<struct<col:string,owner:int,pos:int,agg:string,op:string,"
     "val:string,is_num:boolean,connector:string>>"
 )
-#: Exact type of generated aggregates: sums do not depend on the row order.
-RESULT_TYPE = "decimal(28,4)"
+#: Exact type of cells and of their sums, least and greatest values: they do not depend on the row order.
+RESULT_TYPE = "decimal(38,10)"
+#: Places of a generated mean.
+MEAN_PLACES = 4
 
 
 def with_query_numbers(df: DataFrame, per_table: int, name: str = "query_no") -> DataFrame:
@@ -283,8 +285,8 @@ def _aggregate_result() -> Column:
     only = lambda *names: F.when(F.col("agg").isin(*names), F.col("number"))
     return (
         F.when(F.col("agg") == "COUNT", F.count("cell").cast(RESULT_TYPE))
-        .when(F.col("agg") == "SUM", F.sum(only("SUM")).cast(RESULT_TYPE))
-        .when(F.col("agg") == "AVG", F.round(F.avg(only("AVG")), 4).cast(RESULT_TYPE))
+        .when(F.col("agg") == "SUM", F.try_sum(only("SUM")).cast(RESULT_TYPE))
+        .when(F.col("agg") == "AVG", F.round(F.try_avg(only("AVG")), MEAN_PLACES).cast(RESULT_TYPE))
         .when(F.col("agg") == "MAX", F.max(only("MAX")))
         .otherwise(F.min(only("MIN", "")))
     )

@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabchain.operators.grid_join import grid_join
 from tabchain.operators.joins import quoted, spread_join, table_join
@@ -216,23 +216,19 @@ def tail(inter: DataFrame, tables: Tables, n: int, by: str) -> DataFrame:
 
 @step("argmax")
 def argmax(inter: DataFrame, tables: Tables, column: str, by: str, tie: str, group: list[str] | None = None) -> DataFrame:
-    """Value of ``column`` where ``by`` is greatest; least ``tie`` of any type wins."""
-    keys = group or []
-    value, order, last = _named(inter, by), _named(inter, tie), [_named(inter, k) for k in keys]
-    rows = inter.where(value.isNotNull())
-    best = rows.groupBy(*last).agg(F.max(value).alias("_best"))
-    if keys:
-        first = table_join(rows, best, keys)
-    else:
-        first = rows.withColumn("_best", best.scalar())
-    return (
-        first.where(value == F.col("_best"))
-        .groupBy(*last)
-        .agg(
-            F.min_by(_named(inter, column), F.struct(order.isNull(), order)).alias(column),
-            F.max(value).alias(by),
-        )
-    )
+    """Value of ``column`` where ``by`` is greatest; least ``tie`` of any type wins.
+
+    Each task keeps its first row, per group if there are groups, before any is
+    shuffled. No row with a ``by`` gives no row.
+    """
+    keys = [_named(inter, k) for k in group or []]
+    order = [_named(inter, by).desc(), _named(inter, tie).asc_nulls_last()]
+    rows = inter.where(_named(inter, by).isNotNull())
+    wanted = [*keys, _named(inter, column).alias(column), _named(inter, by).alias(by)]
+    if not keys:
+        return rows.orderBy(*order).limit(1).select(*wanted)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_place", place).where(F.col("_place") == 1).select(*wanted)
 
 
 @step("union")

@@ -47,14 +47,26 @@ def format_multi_table(
     :func:`format_rejects`.
     """
     good, _ = split_rejects(_filled(df))
+    source, target = _rendered(table_type, null_mode)
+    return good.select(*keep, F.expr(source).alias("source"), F.expr(target).alias("target"))
+
+
+def _rendered(table_type: str, null_mode: str) -> tuple[str, str]:
     render = lambda t: render_table(clean_table(t, null_mode), table_type)
-    return good.select(
-        *keep,
-        F.expr(
-            rendered_source("coalesce(query, '')", transform("tables", render), "table_names")
-        ).alias("source"),
-        F.expr(render("answer")).alias("target"),
-    )
+    return rendered_source("coalesce(query, '')", transform("tables", render), "table_names"), render("answer")
+
+
+def format_outcomes(
+    df: DataFrame, table_type: str, null_mode: str = "empty", keep: tuple[str, ...] = ("sample_id",)
+) -> DataFrame:
+    """``(*keep, source, target, reason)`` of every sample, parsed once.
+
+    What :func:`format_multi_table` makes of the samples that pair, in model form, and
+    a reason instead of texts for the others.
+    """
+    pairs = F.col("reason").isNull()
+    source, target = (F.when(pairs, F.expr(model_text(text))) for text in _rendered(table_type, null_mode))
+    return _filled(df).select(*keep, source.alias("source"), target.alias("target"), "reason")
 
 
 def format_rejects(df: DataFrame) -> DataFrame:

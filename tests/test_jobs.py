@@ -16,7 +16,7 @@ from tabchain.operators.mapping import encode_with
 from tabchain.plans.formatting import format_multi_table, format_rejects, linear_samples, model_pairs
 from tabchain.session import cut_lineage, scratch_path
 from tabchain.sources import corpus, registry
-from tabchain.streaming.format_stream import format_stream, format_stream_rejects, read_samples_stream
+from tabchain.streaming.format_stream import format_stream, format_stream_outcomes, format_stream_rejects, read_outcomes, read_samples_stream
 from workload import corpora
 
 SAMPLE = f"sample_id bigint, query string, table_names array<string>, tables array<{TABLE_DDL}>, answer {TABLE_DDL}"
@@ -464,6 +464,33 @@ def test_stream_outputs_add_up(spark, data, tmp_path):
     assert {(r.sample_id % 7, r.reason) for r in rejects.collect()} == {(0, "missing")}
 
 
+def test_one_stream_with_both_outcomes(spark, data, tmp_path):
+    landing, out, state = (str(tmp_path / n) for n in ("landing", "out", "state"))
+    samples = corpora.multi_samples(spark, data).withColumn("table_names", F.expr("if(sample_id % 7 = 0, NULL, table_names)"))
+    for part in (samples.where("sample_id < 20"), samples.where("sample_id >= 20")):
+        part.coalesce(1).write.mode("append").parquet(landing)
+        stream = read_samples_stream(spark, landing, samples.schema, max_files_per_trigger=1)
+        for _ in range(2):  # the second start finds nothing new
+            format_stream_outcomes(stream, out, state, "markdown", "split").awaitTermination()
+    good, rejects = (read_outcomes(spark, out, outcome) for outcome in ("good", "rejected"))
+    columns = ["sample_id", "split", "source", "target"]
+    batch = model_pairs(format_multi_table(samples, "markdown", keep=("sample_id", "split")))
+    assert rows(good.select(*columns)) == rows(batch.select(*columns))
+    assert {(r.sample_id % 7, r.reason, r.source) for r in rejects.collect()} == {(0, "missing", None)}
+    assert good.count() + rejects.count() == samples.count()
+
+
+def test_generated_constants_keep_ten_places(spark):
+    cells = [("a", 1, ["x", "0.123456789"]), ("a", 2, ["x", "0.000000001"]), ("a", 3, ["y", "1234567890123456789012345.5"])]
+    flat = spark.createDataFrame(cells, "t string, id int, cells array<string>")
+    queries = spark.createDataFrame([("a",)], "t string").selectExpr(
+        "t", "0 AS query_no", "0 AS group_pos", "'SELECT s FROM t GROUP BY g' AS text",
+        "array(named_struct('col', 'g', 'pos', 0, 'agg', ''), named_struct('col', 'n', 'pos', 1, 'agg', 'SUM')) AS items",
+    )
+    made = generation.having_from_groups(flat, queries, "t", "id", 1).first()
+    assert made.n_groups == 2 and made.text.split()[-1] in ("0.12345679", "1234567890123456789012345.5")
+
+
 def test_lower_case_option(spark):
     df = spark.createDataFrame([(1, "WHO", ["T"], [(["A"], [["X"]])], (["A"], [["Y"]]))], SAMPLE)
     assert linear_samples(df, lower_case=True).select("source", "target").first() == (

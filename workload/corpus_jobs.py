@@ -14,7 +14,13 @@ from tabchain.operators.generation import sample_values
 from tabchain.plans.corpus_chain import STEP_DDL, run_corpus_chains
 from tabchain.session import scratch_path
 from tabchain.sources import corpus
-from tabchain.streaming.format_stream import format_stream, format_stream_rejects, read_samples_stream
+from tabchain.streaming.format_stream import (
+    format_stream,
+    format_stream_outcomes,
+    format_stream_rejects,
+    read_outcomes,
+    read_samples_stream,
+)
 from workload import sql_parts as q
 from workload.corpora import (
     multi_samples,
@@ -303,6 +309,22 @@ def stream_rejects(spark, d):
     return both.groupBy("split", "reason").agg(F.count("*").alias("samples"))
 
 
+def stream_outcomes(spark, d):
+    """The same samples by one stream that parses them once: every good text, and the reason of every reject."""
+    landing, out = scratch_path(spark, "landing"), scratch_path(spark, "outcomes")
+    samples = multi_samples(spark, d).withColumn("table_names", F.expr("if(sample_id % 5 = 0, slice(table_names, 1, 1), table_names)"))
+    samples.write.parquet(landing)
+    stream = read_samples_stream(spark, landing, samples.schema)
+    format_stream_outcomes(stream, out, scratch_path(spark, "outcome-state"), "html", "split").awaitTermination()
+    found = [read_outcomes(spark, out, outcome) for outcome in ("good", "rejected")]
+    return found[0].unionByName(found[1]).select("sample_id", "split", "source", "target", "reason")
+
+
+STREAM_OUTCOMES_SQL = f"""
+WITH good AS ({format_multi_sql('html', MODEL_WRAP)})
+SELECT sample_id, {q.SPLIT} AS split, CASE WHEN sample_id % 5 <> 0 THEN source END AS source, CASE WHEN sample_id % 5 <> 0 THEN target END AS target,
+  CASE WHEN sample_id % 5 = 0 THEN 'length mismatch' END AS reason FROM good"""
+
 STREAM_REJECTS_SQL = f"""
 WITH {q.MULTI_CTE}, ids AS (SELECT DISTINCT sample_id FROM s SEMI JOIN c USING (sample_id))
 SELECT {q.SPLIT} AS split, CASE WHEN sample_id % 5 = 0 THEN 'length mismatch' ELSE '' END AS reason, count(*) AS samples FROM ids GROUP BY 1, 2"""
@@ -339,4 +361,5 @@ QUERIES = {
     "chain_pairs": (chain_pairs, CHAIN_PAIRS_SQL),
     "stream_format": (stream_format, format_multi_sql("html", MODEL_WRAP)),
     "stream_rejects": (stream_rejects, STREAM_REJECTS_SQL),
+    "stream_outcomes": (stream_outcomes, STREAM_OUTCOMES_SQL),
 }
