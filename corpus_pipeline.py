@@ -23,30 +23,42 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or of no likely language go."""
+    """Documents without letters or of no likely language go.
+
+    Languages are learned from rows with an id and a language. Without any there is
+    nothing to tell a document's language by, and every row stays.
+    """
     learned = docs.filter((id_bucket(F.col("doc_id"), 3) != 1) & F.col("doc_id").isNotNull())
     pieces, names = training_pieces(learned)
-    return accepted(docs, train(pieces, names) if pieces else None, LEAST_LANGUAGE_SCORE)
+    return accepted(docs, train(pieces, names), LEAST_LANGUAGE_SCORE) if pieces else docs
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks and runs of lines go; ``n_chars`` follows the text."""
-    cleaned = line_dedup(docs, short_runs=True).select(*docs.columns)
+    """Repeated chunks and runs of lines go; ``n_chars`` follows the text.
+
+    Every row stays, and so do all other columns, whatever their names. Null texts
+    stay null.
+    """
+    names = [c if c in ("doc_id", "text") else f"column_{k}" for k, c in enumerate(docs.columns)]
+    cleaned = line_dedup(docs.toDF(*names), short_runs=True).select(*names).toDF(*docs.columns)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five words, similarity 0.8."""
+    """One document of each group of near copies stays: five words, similarity 0.8.
+
+    Texts without words, null ones too, are linked with nothing and stay.
+    """
     return one_per_group(docs, words=5)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of what is left, with a checksum of their ids."""
+    """Pieces of what is left, with a checksum of their ids; a null text is an empty document."""
     return pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
