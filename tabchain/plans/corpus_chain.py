@@ -34,15 +34,27 @@ def _select(table: str, step: str) -> str:
     return let(transform(f"{step}.columns", lambda c: column_position(table, c)), chosen)
 
 
-def _filter(table: str, step: str) -> str:
-    """Rows that compare with the value, as numbers where both are numbers."""
+def cell_holds(cell: str, op: str, value: str) -> str:
+    """Whether a cell compares with a value, as numbers where both are numbers."""
+    both = f"({is_number(cell)} AND {is_number(value)})"
+    test = lambda o: f"if({both}, {number_comparison(cell, o, value)}, {cell} {o} {value})"
+    cases = " ".join(f"WHEN '{o}' THEN {test(o)}" for o in ("=", "!=", "<", ">", "<=", ">="))
+    return f"coalesce(CASE {op} {cases} END, false)"
+
+
+def sort_key(cell: str) -> dict[str, str]:
+    """What cells are sorted by: numbers before texts, empty cells last."""
+    return {
+        "kind": f"CASE WHEN coalesce({cell}, '') = '' THEN 2 WHEN {is_number(cell)} THEN 0 ELSE 1 END",
+        "number": f"if({is_number(cell)}, try_cast({cell} AS double), NULL)",
+        "whole": f"if({is_number(cell)}, try_cast({cell} AS decimal(38,0)), NULL)",
+        "text": cell,
+    }
 
-    def keep(cell: str) -> str:
-        both = f"({is_number(cell)} AND {is_number(f'{step}.value')})"
-        test = lambda op: f"if({both}, {number_comparison(cell, op, f'{step}.value')}, {cell} {op} {step}.value)"
-        cases = " ".join(f"WHEN '{op}' THEN {test(op)}" for op in ("=", "!=", "<", ">", "<=", ">="))
-        return f"coalesce(CASE {step}.op {cases} END, false)"
 
+def _filter(table: str, step: str) -> str:
+    """Rows whose cell holds."""
+    keep = lambda cell: cell_holds(cell, f"{step}.op", f"{step}.value")
     return _with_column(
         table,
         step,
@@ -53,21 +65,11 @@ def _filter(table: str, step: str) -> str:
 
 
 def _sort(table: str, step: str, descending: bool) -> str:
-    """Stable sort on one column: numbers before texts, empty cells last."""
+    """Stable sort on one column."""
     before, after = (1, -1) if descending else (-1, 1)
 
     def keyed(r: str, i: str, at: str) -> str:
-        return let(
-            f"get({r}, {at})",
-            lambda cell: struct(
-                kind=f"CASE WHEN coalesce({cell}, '') = '' THEN 2 WHEN {is_number(cell)} THEN 0 ELSE 1 END",
-                number=f"if({is_number(cell)}, try_cast({cell} AS double), NULL)",
-                whole=f"if({is_number(cell)}, try_cast({cell} AS decimal(38,0)), NULL)",
-                text=cell,
-                i=i,
-                r=r,
-            ),
-        )
+        return let(f"get({r}, {at})", lambda cell: struct(**sort_key(cell), i=i, r=r))
 
     order = lambda x, y: (
         f"CASE WHEN {x}.kind != {y}.kind THEN {x}.kind - {y}.kind "

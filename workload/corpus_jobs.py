@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabchain.functions.cells import table_value, text_array
 from tabchain.functions.linear import linear_table
@@ -12,6 +12,7 @@ from tabchain.operators import positions as pos
 from tabchain.operators.assembly import align, union_sets
 from tabchain.operators.generation import sample_values
 from tabchain.plans.corpus_chain import STEP_DDL, run_corpus_chains
+from tabchain.plans.sample_plans import run_sample_plans
 from tabchain.session import scratch_path
 from tabchain.sources import corpus
 from tabchain.streaming.format_stream import (
@@ -273,6 +274,64 @@ SELECT sample_id, 'col : ' || CASE sample_id % 4 WHEN 0 THEN 'o_orderkey' WHEN 1
 FROM ids LEFT JOIN t USING (sample_id)"""
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows of each sample numbered for the comparison, cells as one text."""
+    n = F.row_number().over(Window.partitionBy("sample_id").orderBy("pos"))
+    return rows.select("sample_id", n.alias("n"), F.array_join("cells", " | ").alias("cells"))
+
+
+def sample_plans(spark, d):
+    """The chains of corpus_chain as plans over flat rows: every last row of every sample."""
+    samples = chain_samples(spark, d)
+    tables = samples.select("sample_id", F.posexplode("tables").alias("t", "table")).withColumn("table_no", F.col("t") + 1)
+    headers = tables.select("sample_id", "table_no", "table.columns")
+    rows = tables.select("sample_id", "table_no", F.posexplode("table.rows").alias("row_no", "cells"))
+    return _placed(run_sample_plans(rows, headers, samples.select("sample_id", "steps"))[0])
+
+
+SAMPLE_PLANS_SQL = f"{CORPUS_CHAIN_SQL.partition('t AS (')[0].rstrip().rstrip(',')} SELECT sample_id, n::INTEGER AS n, cells FROM r"
+
+_ORDER_TABLE = ["o_orderkey", "o_custkey", "o_orderstatus", "o_year"]
+_CUSTOMER_TABLE = ["o_custkey", "c_mktsegment"]
+
+
+def sample_plans_large(spark, d):
+    """Five samples, the orders of each priority beside all customers, with a chain each, of three shapes."""
+    sample = F.substring("o_orderpriority", 1, 1).cast("int").alias("sample_id")
+    year = F.substring(F.col("o_orderdate").cast("string"), 1, 4)
+    orders = table(spark, d, "orders").select(
+        sample, F.lit(1).alias("table_no"), F.col("o_orderkey").alias("row_no"),
+        F.array(F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderstatus"), year).alias("cells"),
+    )
+    ids = spark.range(1, 6).select(F.col("id").cast("int").alias("sample_id"))
+    customers = table(spark, d, "customer").select(
+        F.explode(F.sequence(F.lit(1), F.lit(5))).alias("sample_id"), F.lit(2).alias("table_no"), F.col("c_custkey").alias("row_no"),
+        F.array(F.col("c_custkey").cast("string"), F.col("c_mktsegment")).alias("cells"),
+    )
+    names = lambda columns: F.array(*map(F.lit, columns))
+    headers = ids.select("sample_id", F.explode(F.array(F.struct(F.lit(1).alias("table_no"), names(_ORDER_TABLE).alias("columns")), F.struct(F.lit(2).alias("table_no"), names(_CUSTOMER_TABLE).alias("columns")))).alias("h")).select("sample_id", "h.*")
+    joined = ("join", ["o_custkey"], None, None, None, 2)
+    chains = [
+        (1, [joined, ("aggregate", ["c_mktsegment", "o_orderkey"], "COUNT", None, None, None)]),
+        (2, [joined, ("aggregate", ["o_orderstatus", "o_custkey"], "SUM", None, None, None)]),
+        (3, [("filter", ["o_orderstatus"], "=", "F", None, None), ("top", ["o_custkey"], None, None, 20, None)]),
+        (4, [("filter", ["o_year"], ">=", "1996", None, None), ("top", ["o_orderkey"], None, None, 15, None)]),
+        (5, [("sort_desc", ["o_custkey"], None, None, None, None), ("select", ["o_custkey", "o_orderkey"], None, None, None, None)]),
+    ]
+    steps = spark.createDataFrame(chains, f"sample_id int, steps array<{STEP_DDL}>")
+    return _placed(run_sample_plans(orders.unionByName(customers.withColumn("row_no", F.col("row_no").cast("bigint"))), headers, steps)[0])
+
+
+SAMPLE_LARGE_SQL = """
+WITH o AS (SELECT substr(o_orderpriority, 1, 1)::INTEGER AS s, *, year(o_orderdate)::VARCHAR AS y FROM orders),
+j AS (SELECT o.*, c_mktsegment FROM o JOIN customer ON c_custkey = o_custkey)
+SELECT 1 AS sample_id, row_number() OVER (ORDER BY c_mktsegment)::INTEGER AS n, c_mktsegment || ' | ' || count(*) AS cells FROM j WHERE s = 1 GROUP BY c_mktsegment
+UNION ALL SELECT 2, row_number() OVER (ORDER BY o_orderstatus)::INTEGER, o_orderstatus || ' | ' || sum(o_custkey) FROM j WHERE s = 2 GROUP BY o_orderstatus
+UNION ALL (SELECT 3, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey)::INTEGER AS n, concat_ws(' | ', o_orderkey, o_custkey, o_orderstatus, y) FROM o WHERE s = 3 AND o_orderstatus = 'F' QUALIFY n <= 20)
+UNION ALL (SELECT 4, row_number() OVER (ORDER BY o_orderkey DESC)::INTEGER AS n, concat_ws(' | ', o_orderkey, o_custkey, o_orderstatus, y) FROM o WHERE s = 4 AND y >= '1996' QUALIFY n <= 15)
+UNION ALL SELECT 5, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey)::INTEGER, o_custkey || ' | ' || o_orderkey FROM o WHERE s = 5"""
+
+
 def chain_pairs(spark, d):
     """Truth and prediction pairs saved and scored."""
     path = scratch_path(spark, "pairs")
@@ -358,6 +417,8 @@ QUERIES = {
     "exact_match_by_split": (exact_match_by_split, f"WITH {_IDS} SELECT {q.SPLIT} AS split, {_MATCH_COLUMNS} FROM ids GROUP BY 1"),
     "table_match": (table_match, TABLE_MATCH_SQL),
     "corpus_chain": (corpus_chain, CORPUS_CHAIN_SQL),
+    "sample_plans": (sample_plans, SAMPLE_PLANS_SQL),
+    "sample_plans_large": (sample_plans_large, SAMPLE_LARGE_SQL),
     "chain_pairs": (chain_pairs, CHAIN_PAIRS_SQL),
     "stream_format": (stream_format, format_multi_sql("html", MODEL_WRAP)),
     "stream_rejects": (stream_rejects, STREAM_REJECTS_SQL),
