@@ -31,29 +31,37 @@ def runs(values: str, key: Callable[[str], str], body: Callable[[str, str, str],
 def join_tables(left: str, right: str, name: str) -> str:
     """Inner join of two nested tables on a shared column, or NULL without it.
 
-    Clashing other names get ``_x`` and ``_y``. The right rows are looked up
-    in a map by key, so the work follows the sizes of both sides and of the
-    result, not their product.
+    Clashing other names get ``_x`` and ``_y``. The rows of both sides are sorted
+    together by key, each run of one key gives its pairs, and the pairs are sorted
+    back into the order of the left and the right rows, so the work follows the sizes of both
+    sides and of the result, not their product.
     """
 
     def joined(ctx: str) -> str:
         a, b = f"{ctx}.a", f"{ctx}.b"
         others = lambda row: f"filter({row}, (x, i) -> i != {b})"
-        keyed = transform(
-            f"{right}.rows", lambda r, i: struct(k=f"coalesce(get({r}, {b}), '')", i=i, rest=others(r))
-        )
-        by_key = runs(
-            f"array_sort({keyed})",
-            lambda x: f"{x}.k",
-            lambda v, first, n: struct(k=f"get({v}, {first}).k", rows=f"slice({v}, {first} + 1, {n}).rest"),
-        )
-        found = lambda m, r: f"coalesce(try_element_at({m}, coalesce(get({r}, {a}), '')), array())"
-        rows = let(
-            f"map_from_entries({by_key})",
-            lambda m: "flatten("
-            + transform(f"{left}.rows", lambda r: transform(found(m, r), lambda rest: f"concat({r}, {rest})"))
-            + ")",
+        side = lambda rows, number, at, kept: transform(
+            rows, lambda r, i: struct(k=f"coalesce(get({r}, {at}), '')", side=str(number), i=i, cells=kept(r))
         )
+        both = f"concat({side(f'{left}.rows', 0, a, lambda r: r)}, {side(f'{right}.rows', 1, b, others)})"
+
+        def pairs(v: str, first: str, n: str) -> str:
+            """Pairs of one run, which holds its left rows first."""
+            of = lambda run, number: where(run, lambda x: f"{x}.side = {number}")
+            return let(
+                f"slice({v}, {first} + 1, {n})",
+                lambda run: let(
+                    of(run, 1),
+                    lambda r: "flatten("
+                    + transform(
+                        of(run, 0),
+                        lambda x: transform(r, lambda y: struct(i=f"{x}.i", j=f"{y}.i", cells=f"concat({x}.cells, {y}.cells)")),
+                    )
+                    + ")",
+                ),
+            )
+
+        rows = f"array_sort(flatten({runs(f'array_sort({both})', lambda x: f'{x}.k', pairs)})).cells"
         left_names = transform(
             f"{left}.columns",
             lambda c: f"if({c} != {name} AND array_contains({right}.columns, {c}), concat({c}, '_x'), {c})",
