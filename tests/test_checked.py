@@ -46,8 +46,7 @@ def step_by_step(steps, tables):
     return inter, log
 
 
-@pytest.mark.parametrize("seed", range(6))
-@pytest.mark.parametrize("cut", [False, True])
+@pytest.mark.parametrize(("seed", "cut"), [(0, False), (1, True), (2, False), (3, True)])
 def test_any_chain_equals_running_step_by_step(tables, seed, cut):
     draw = random.Random(seed)
     steps = [Step("filter", {"where": "n >= 0"}, on="t"), *draw.choices(GOOD + BAD + UNPLANNABLE, k=7)]

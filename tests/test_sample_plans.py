@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from tabchain.functions.cells import TABLE_DDL
@@ -60,24 +59,26 @@ def test_steps_of_the_nested_form(spark):
         assert found[k] == nested[k], chain
 
 
-@pytest.mark.parametrize(
-    ("steps", "expected"),
-    [
-        ([step("add_column", ["who", "last"], value=" ", n=1)], (["id", "who", "n", "last"], [["1", "ann", "10", None], ["2", "bob", "9", None], ["3", "ann", "", None], ["4", "", "x", None], ["5", "cid 7", "9.5", "7"]], 0)),
-        ([step("row_mean", ["id", "n"], value="mean"), step("select", ["mean"])], (["mean"], [["5.5"], ["5.5"], ["3"], ["4"], ["7.25"]], 0)),
-        ([step("aggregate", ["who", "id"], op="SUM")], (["who", "SUM(id)"], [["", "4"], ["ann", "4"], ["bob", "2"], ["cid 7", "5"]], 0)),
-        ([step("aggregate", ["who", "n"], op="AVG")], (["who", "AVG(n)"], [["", None], ["ann", "10"], ["bob", "9"], ["cid 7", "9.5"]], 0)),
-        ([step("aggregate", ["who", "n"], op="MEDIAN"), step("select", ["id"])], (["id"], [["1"], ["2"], ["3"], ["4"], ["5"]], 1)),
-        ([step("top", ["n"], n=2), step("select", ["id"])], (["id"], [["1"], ["5"]], 0)),
-        ([step("tail", ["id"], n=2), step("select", ["id"])], (["id"], [["4"], ["5"]], 0)),
-        ([step("top", ["nothing"], n=2), step("select", ["id"])], (["id"], [["1"], ["2"], ["3"], ["4"], ["5"]], 1)),
-        ([step("argmax", ["who", "n"])], (["who"], [["ann"]], 0)),
-        ([step("sort_desc", ["id"]), step("union", table=3), step("select", ["id"])], (["id"], [["5"], ["4"], ["3"], ["2"], ["1"], ["7"]], 0)),
-        ([step("union", table=2), step("limit", n=1)], (["id", "who", "n"], [["1", "ann", "10"]], 1)),
-    ],
-)
-def test_other_steps(spark, steps, expected):
-    assert run(spark, [steps])[0][0] == expected
+OTHER_STEPS = [
+    ([step("add_column", ["who", "last"], value=" ", n=1)], (["id", "who", "n", "last"], [["1", "ann", "10", None], ["2", "bob", "9", None], ["3", "ann", "", None], ["4", "", "x", None], ["5", "cid 7", "9.5", "7"]], 0)),
+    ([step("row_mean", ["id", "n"], value="mean"), step("select", ["mean"])], (["mean"], [["5.5"], ["5.5"], ["3"], ["4"], ["7.25"]], 0)),
+    ([step("aggregate", ["who", "id"], op="SUM")], (["who", "SUM(id)"], [["", "4"], ["ann", "4"], ["bob", "2"], ["cid 7", "5"]], 0)),
+    ([step("aggregate", ["who", "n"], op="AVG")], (["who", "AVG(n)"], [["", None], ["ann", "10"], ["bob", "9"], ["cid 7", "9.5"]], 0)),
+    ([step("aggregate", ["who", "n"], op="MEDIAN"), step("select", ["id"])], (["id"], [["1"], ["2"], ["3"], ["4"], ["5"]], 1)),
+    ([step("top", ["n"], n=2), step("select", ["id"])], (["id"], [["1"], ["5"]], 0)),
+    ([step("tail", ["id"], n=2), step("select", ["id"])], (["id"], [["4"], ["5"]], 0)),
+    ([step("top", ["nothing"], n=2), step("select", ["id"])], (["id"], [["1"], ["2"], ["3"], ["4"], ["5"]], 1)),
+    ([step("argmax", ["who", "n"])], (["who"], [["ann"]], 0)),
+    ([step("sort_desc", ["id"]), step("union", table=3), step("select", ["id"])], (["id"], [["5"], ["4"], ["3"], ["2"], ["1"], ["7"]], 0)),
+    ([step("union", table=2), step("limit", n=1)], (["id", "who", "n"], [["1", "ann", "10"]], 1)),
+]
+
+
+def test_other_steps(spark):
+    """One sample per case, of eleven shapes, in one run."""
+    found, _ = run(spark, [steps for steps, _ in OTHER_STEPS])
+    for k, (steps, expected) in enumerate(OTHER_STEPS):
+        assert found[k] == expected, steps
 
 
 def test_a_large_sample_is_many_tasks(spark):
