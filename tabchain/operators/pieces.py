@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tabchain.functions.sqltext import lit
 from tabchain.operators.assembly import union_sets
 from tabchain.operators.encoding import BOS_ID, EOS_ID, PAD_ID, SPECIAL_TOKENS
+from tabchain.operators.mapping import row_slices
 
 #: Words with the white space before them, single marks likewise, white space at the end.
 PIECE_PATTERN = r"\s*[\p{L}\p{N}]+|\s*[^\s\p{L}\p{N}]|\s+"
@@ -26,6 +27,8 @@ FIRST_BYTE = len(SPECIAL_TOKENS)
 FIRST_PIECE = FIRST_BYTE + 256
 #: Bytes of all pieces of a vocabulary together: what is sent to each executor.
 MAX_VOCABULARY_BYTES = 64 << 20
+#: Pieces, or ids, of the lists that are looked up at a time.
+ITEMS_AT_ONCE = 1 << 18
 
 
 def pieces(text: str) -> Column:
@@ -72,6 +75,11 @@ class PieceTable:
         return pa.concat_arrays([pa.array(head, pa.large_binary()), self.pieces().cast(pa.large_binary())])
 
 
+def _list_sizes(lists: pa.ListArray) -> np.ndarray:
+    """Items of each list, one at least, so that a slice of empty lists is bounded too."""
+    return np.maximum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64), 1)
+
+
 def _spelled(lists: pa.ListArray, known: pa.Array) -> pa.ListArray:
     """Ids of lists of pieces, all of a batch as flat arrays."""
     flat = lists.flatten()
@@ -104,7 +112,8 @@ def encode_pieces(df: DataFrame, id_col: str, text: str, vocabulary: DataFrame)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.pieces()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], _spelled(batch.column(2), known)], names=batch.schema.names)
+            for part in row_slices(batch, _list_sizes(batch.column(2)), ITEMS_AT_ONCE):
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], _spelled(part.column(2), known)], names=part.schema.names)
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
@@ -131,7 +140,8 @@ def decode_pieces(df: DataFrame, id_col: str, ids: str, vocabulary: DataFrame, n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_id = table.by_id()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _joined(batch.column(1), by_id)], names=batch.schema.names)
+            for part in row_slices(batch, _list_sizes(batch.column(1)), ITEMS_AT_ONCE):
+                yield pa.RecordBatch.from_arrays([part.column(0), _joined(part.column(1), by_id)], names=part.schema.names)
 
     found = rows.mapInArrow(run, T.StructType([rows.schema.fields[0], T.StructField(name, T.BinaryType())]))
     return found.withColumn(name, F.make_valid_utf8(F.col(name).cast("string")))
