@@ -27,8 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabchain.llm.tokens import encoder, vocabulary_path
+from tabchain.operators.mapping import row_slices, text_bytes
 
 END_ID = 1
+#: Bytes of text that are encoded at a time.
+BYTES_AT_ONCE = 4 << 20
 LENGTH, CHECK = struct.Struct("<Q"), struct.Struct("<I")
 HEADER = struct.Struct("<qIBB")
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("start", "<u8"), ("flags", "u1")])
@@ -120,16 +123,17 @@ def write_records(
         name = f"part-{number:05d}"
         out, index, offset, tokens = None, [], 0, 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if out is None:
-                    system.create_dir(root, recursive=True)
-                    out = system.open_output_stream(f"{root}/.{name}.{attempt}.bin")
-                ids = words.encode(text) + end
-                record = framed(packed(doc_id, ids))
-                out.write(record)
-                index.append((doc_id or 0, offset, len(record), tokens, NULL_ID if doc_id is None else 0))
-                offset += len(record)
-                tokens += len(ids) // 2
+            for part in row_slices(batch, text_bytes(batch.column(1)), BYTES_AT_ONCE):
+                for doc_id, text_ids in zip(part.column(0).to_pylist(), words.encode_all(part.column(1)), strict=True):
+                    if out is None:
+                        system.create_dir(root, recursive=True)
+                        out = system.open_output_stream(f"{root}/.{name}.{attempt}.bin")
+                    ids = text_ids + end
+                    record = framed(packed(doc_id, ids))
+                    out.write(record)
+                    index.append((doc_id or 0, offset, len(record), tokens, NULL_ID if doc_id is None else 0))
+                    offset += len(record)
+                    tokens += len(ids) // 2
         if out is None:
             return
         out.close()
