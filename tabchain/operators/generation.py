@@ -26,6 +26,8 @@ CONDITION_DDL = (
 RESULT_TYPE = "decimal(38,10)"
 #: Places of a generated mean.
 MEAN_PLACES = 4
+#: Rows of queries that a task groups at a time.
+ROWS_PER_TASK = 250_000
 
 
 def with_query_numbers(df: DataFrame, per_table: int, name: str = "query_no") -> DataFrame:
@@ -312,6 +314,17 @@ def with_where(queries: DataFrame, wheres: DataFrame, key: str) -> DataFrame:
     return met.select(*queries.columns, plain).withColumn("text", F.expr(f"concat({select}, {clause}, {group})"))
 
 
+def _dealt(joined: DataFrame, rows: DataFrame, wanted: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """Rows of queries in tasks of about :data:`ROWS_PER_TASK`, as many as the rows need.
+
+    A task's groups take memory; without this, as few tasks as there are cores would
+    share the groups of any number of rows.
+    """
+    queries = wanted.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    parts = -(-rows.count() * queries // ROWS_PER_TASK)
+    return joined.repartition(parts, *by) if parts > 1 else joined
+
+
 def having_from_groups(
     rows: DataFrame,
     queries: DataFrame,
@@ -343,7 +356,7 @@ def having_from_groups(
         queries = with_where(queries, wheres, key)
     extra = ["wheres"] if wheres is not None else []
     wanted = queries.select(key, "query_no", "group_pos", F.expr(used).alias("items"), *extra)
-    joined = spread_join(rows, wanted, [key], [row_id], salts=salts)
+    joined = _dealt(spread_join(rows, wanted, [key], [row_id], salts=salts), rows, wanted, key, [row_id, "query_no"])
     if wheres is not None:
         joined = joined.where(f"size(wheres) = 0 OR {row_holds('cells', 'wheres')}")
     cells = (
