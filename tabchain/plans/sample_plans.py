@@ -23,9 +23,12 @@ from tabchain.functions.sqltext import forall, is_number, transform, where
 from tabchain.operators.generation import decimal_text
 from tabchain.operators.positions import numbered
 from tabchain.plans.corpus_chain import cell_holds, sort_key
+from tabchain.session import cut_lineage
 
 #: Shapes of chains that one call takes; each is a plan of its own.
 MAX_SHAPES = 256
+#: Rows of the tables for each task that an ordering is dealt to.
+ROWS_PER_TASK = 50_000
 #: Exact type of sums and means, and places of a mean.
 NUMBER, MEAN_PLACES = "decimal(38,10)", 4
 
@@ -40,6 +43,8 @@ class State:
     rows: DataFrame
     heads: DataFrame
     tables: DataFrame
+    #: Tasks that an ordering of the rows is dealt to.
+    parts: int = 1
 
     def each(self, ok: str, columns: str | None = None, cells: str | None = None) -> State:
         """New columns and cells where the step can be taken; it is counted where it can't."""
@@ -47,13 +52,13 @@ class State:
         if columns is not None:
             context["columns"] = F.expr(f"if({ok}, {columns}, columns)")
         more = {"cells": F.expr(f"if({ok}, {cells}, cells)")} if cells is not None else {}
-        return State(self.rows.withColumns(context | more), self.heads.withColumns(context), self.tables)
+        return State(self.rows.withColumns(context | more), self.heads.withColumns(context), self.tables, self.parts)
 
     def replaced(self, ok: str, rows: Callable[[DataFrame], DataFrame], columns: str | None = None) -> State:
         """Other rows (``sample_id, pos, cells``) for the samples that can take the step."""
         made = rows(self.rows.where(ok)).select("sample_id", "pos", "cells")
         met = made.join(self.heads.where(ok), "sample_id").select(*self.rows.columns)
-        both = State(self.rows.where(f"NOT ({ok})").unionByName(met), self.heads, self.tables)
+        both = State(self.rows.where(f"NOT ({ok})").unionByName(met), self.heads, self.tables, self.parts)
         return both.each(ok, columns)
 
 
@@ -78,9 +83,14 @@ def _second(s: str) -> str:
     return _position(f"get({s}.columns, 1)")
 
 
-def _ordered(rows: DataFrame, order: list[Column | str]) -> DataFrame:
+def _sorted_in(rows: DataFrame, parts: int, order: list[Column | str]) -> DataFrame:
+    """Rows in a global order, in as many tasks as asked: what a task sorts doesn't grow with the rows."""
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order) if parts > 1 else rows.orderBy(*order)
+
+
+def _ordered(rows: DataFrame, order: list[Column | str], parts: int) -> DataFrame:
     """Rows with their place in a new order, within their sample."""
-    return numbered(rows.orderBy("sample_id", *order).withColumnRenamed("pos", "_old"), "pos").drop("_old")
+    return numbered(_sorted_in(rows, parts, ["sample_id", *order]).withColumnRenamed("pos", "_old"), "pos").drop("_old")
 
 
 def _ranked(placed: DataFrame) -> DataFrame:
@@ -90,11 +100,11 @@ def _ranked(placed: DataFrame) -> DataFrame:
     return met.withColumns({"rank": F.col("pos") - F.col("_first"), "size": F.col("_last") - F.col("_first") + 1}).drop("_first", "_last")
 
 
-def _sorted(rows: DataFrame, at: str, ok: str, descending: bool) -> DataFrame:
+def _sorted(state: State, at: str, ok: str, descending: bool) -> DataFrame:
     names = list(sort_key("c"))
     keys = {f"_{n}": F.expr(f"if({ok}, {e}, NULL)") for n, e in sort_key(f"get(cells, {at})").items()}
     order = [F.col(f"_{n}").desc() if descending and n != "kind" else F.col(f"_{n}") for n in names]
-    return _ordered(rows.withColumns(keys), [*order, "pos"]).drop(*keys)
+    return _ordered(state.rows.withColumns(keys), [*order, "pos"], state.parts).drop(*keys)
 
 
 @step("select")
@@ -108,7 +118,7 @@ def select(state: State, s: str) -> State:
 def filter_rows(state: State, s: str) -> State:
     ok = f"{_first(s)} IS NOT NULL"
     kept = state.rows.where(f"NOT ({ok}) OR {cell_holds(f'get(cells, {_first(s)})', f'{s}.op', f'{s}.value')}")
-    return State(kept, state.heads, state.tables).each(ok)
+    return State(kept, state.heads, state.tables, state.parts).each(ok)
 
 
 @step("add_column")
@@ -131,24 +141,24 @@ def row_mean(state: State, s: str) -> State:
 @step("sort")
 def sort(state: State, s: str) -> State:
     ok = f"{_first(s)} IS NOT NULL"
-    return State(_sorted(state.rows, _first(s), ok, False), state.heads, state.tables).each(ok)
+    return State(_sorted(state, _first(s), ok, False), state.heads, state.tables, state.parts).each(ok)
 
 
 @step("sort_desc")
 def sort_desc(state: State, s: str) -> State:
     ok = f"{_first(s)} IS NOT NULL"
-    return State(_sorted(state.rows, _first(s), ok, True), state.heads, state.tables).each(ok)
+    return State(_sorted(state, _first(s), ok, True), state.heads, state.tables, state.parts).each(ok)
 
 
 def _cut(state: State, ok: str, keep: str) -> State:
     """Rows that ``keep`` by their rank, of a state that was just ordered."""
     kept = _ranked(state.rows).where(f"NOT ({ok}) OR {keep}").drop("rank", "size")
-    return State(kept.select(*state.rows.columns), state.heads, state.tables)
+    return State(kept.select(*state.rows.columns), state.heads, state.tables, state.parts)
 
 
 @step("limit")
 def limit(state: State, s: str) -> State:
-    placed = State(_ordered(state.rows, ["pos"]), state.heads, state.tables)
+    placed = State(_ordered(state.rows, ["pos"], state.parts), state.heads, state.tables, state.parts)
     return _cut(placed, "true", f"rank < coalesce({s}.n, 0)").each("true")
 
 
@@ -156,7 +166,7 @@ def limit(state: State, s: str) -> State:
 def top(state: State, s: str) -> State:
     """First ``n`` rows, the greatest first."""
     ok = f"{_first(s)} IS NOT NULL"
-    placed = State(_sorted(state.rows, _first(s), ok, True), state.heads, state.tables)
+    placed = State(_sorted(state, _first(s), ok, True), state.heads, state.tables, state.parts)
     return _cut(placed, ok, f"rank < coalesce({s}.n, 0)").each(ok)
 
 
@@ -164,7 +174,7 @@ def top(state: State, s: str) -> State:
 def tail(state: State, s: str) -> State:
     """Last ``n`` rows in ascending order."""
     ok = f"{_first(s)} IS NOT NULL"
-    placed = State(_sorted(state.rows, _first(s), ok, False), state.heads, state.tables)
+    placed = State(_sorted(state, _first(s), ok, False), state.heads, state.tables, state.parts)
     return _cut(placed, ok, f"rank >= size - coalesce({s}.n, 0)").each(ok)
 
 
@@ -172,7 +182,7 @@ def tail(state: State, s: str) -> State:
 def argmax(state: State, s: str) -> State:
     """The first column's cell of the first row with the greatest second column."""
     ok = f"{_first(s)} IS NOT NULL AND {_second(s)} IS NOT NULL"
-    placed = State(_sorted(state.rows, _second(s), ok, True), state.heads, state.tables)
+    placed = State(_sorted(state, _second(s), ok, True), state.heads, state.tables, state.parts)
     return _cut(placed, ok, "rank < 1").each(ok, f"array(get({s}.columns, 0))", f"array(get(cells, {_first(s)}))")
 
 
@@ -180,7 +190,7 @@ def _grouped(state: State, s: str, ok: str, name: str, value: Column) -> State:
     def rows(own: DataFrame) -> DataFrame:
         keyed = own.withColumn("_key", F.expr(f"get(cells, {_first(s)})")).where("_key IS NOT NULL")
         groups = keyed.groupBy("sample_id", "_key").agg(value.alias("_value"))
-        placed = numbered(groups.orderBy("sample_id", "_key"), "pos")
+        placed = numbered(_sorted_in(groups, state.parts, ["sample_id", "_key"]), "pos")
         return placed.withColumn("cells", F.array("_key", "_value"))
 
     return state.replaced(ok, rows, f"array(get({s}.columns, 0), {name})")
@@ -230,7 +240,7 @@ def union(state: State, s: str) -> State:
     def rows(own: DataFrame) -> DataFrame:
         more = state.tables.join(wanted, ["sample_id", "table_no"]).select("sample_id", "pos", "cells", F.lit(1).alias("_late"))
         both = own.select("sample_id", "pos", "cells", F.lit(0).alias("_late")).unionByName(more)
-        return _ordered(both, ["_late", "pos"])
+        return _ordered(both, ["_late", "pos"], state.parts)
 
     return state.replaced(f"coalesce({ok}, false)", rows)
 
@@ -256,7 +266,7 @@ def join(state: State, s: str) -> State:
         )
         met = keyed.join(other, ["sample_id", "table_no", "_key"])
         joined = F.expr("concat(cells, filter(_cells, (x, i) -> i != _at))")
-        return _ordered(met.select("sample_id", "pos", "_right", joined.alias("cells")), ["pos", "_right"])
+        return _ordered(met.select("sample_id", "pos", "_right", joined.alias("cells")), ["pos", "_right"], state.parts)
 
     return state.replaced(ok, rows, f"concat({left_names}, {right_names})")
 
@@ -268,19 +278,23 @@ def run_sample_plans(tables: DataFrame, headers: DataFrame, steps: DataFrame) ->
     ``columns`` of each ``(sample_id, table_no)``, numbered from 1 without gaps, ``steps``
     a chain per sample in the form of :data:`tabchain.plans.corpus_chain.STEP_DDL`. A
     chain starts on table 1. ``pos`` orders the rows of a sample. A NULL cell is an
-    empty one.
+    empty one. Chains and rows are written once, since every shape and step reads them.
     """
     lists = headers.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("table_no", "columns")))["columns"].alias("others"))
     shape = F.array_join(F.transform("steps", lambda s: s["step"]), ">")
     chains = steps.join(lists, "sample_id").select(
         "sample_id", F.get("others", F.lit(0)).alias("columns"), "others", "steps", F.lit(0).alias("failed"), shape.alias("shape")
     )
+    chains = cut_lineage(chains)
     shapes = [r.shape for r in chains.select("shape").distinct().limit(MAX_SHAPES + 1).collect()]
     if len(shapes) > MAX_SHAPES:
         raise ValueError(f"at most {MAX_SHAPES} shapes of chains run at a time")
     cells = F.transform("cells", lambda c: F.coalesce(c, F.lit("")))
     flat = tables.select("sample_id", "table_no", F.col("row_no").cast("long").alias("pos"), cells.alias("cells"))
-    done = [_run_shape(flat, chains.where(F.col("shape") == x).drop("shape"), x) for x in sorted(shapes)]
+    if shapes:
+        flat = cut_lineage(flat)
+    parts = -(-flat.count() // ROWS_PER_TASK) if shapes else 1
+    done = [_run_shape(flat, chains.where(F.col("shape") == x).drop("shape"), x, parts) for x in sorted(shapes)]
     if not done:
         return flat.select("sample_id", "pos", "cells").where("false"), chains.select("sample_id", "columns", F.col("failed").alias("failed_steps"))
     rows = reduce(DataFrame.unionByName, [s.rows.select("sample_id", "pos", "cells") for s in done])
@@ -288,10 +302,10 @@ def run_sample_plans(tables: DataFrame, headers: DataFrame, steps: DataFrame) ->
     return rows, heads
 
 
-def _run_shape(tables: DataFrame, heads: DataFrame, shape: str) -> State:
+def _run_shape(tables: DataFrame, heads: DataFrame, shape: str, parts: int) -> State:
     own = tables.join(heads.select("sample_id"), "sample_id", "left_semi")
     rows = own.where("table_no = 1").join(heads, "sample_id").select("sample_id", "pos", "cells", *_CONTEXT)
-    state = State(rows, heads.select("sample_id", *_CONTEXT), own)
+    state = State(rows, heads.select("sample_id", *_CONTEXT), own, parts)
     for k, name in enumerate(shape.split(">") if shape else []):
         s = f"get(steps, {k})"
         state = STEPS[name](state, s) if name in STEPS else state.each("false")
