@@ -58,7 +58,7 @@ class PackedCandidates:
         biased = (components.astype(object) if not narrow else components) + self.shift
         padding = -self.count % self.fields
         biased = np.vstack([biased, np.zeros((padding, self.depth), biased.dtype)]).astype(self.kind)
-        parts = biased.reshape(-1, self.fields, self.depth)
+        parts = biased.reshape(len(biased) // self.fields, self.fields, self.depth)
         self.words = np.zeros((self.depth, len(parts)), self.kind)
         for field in range(self.fields):
             self.words |= parts[:, field].T << self._number(field * self.bits)
