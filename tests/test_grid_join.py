@@ -59,6 +59,36 @@ def test_no_cell_holds_a_hot_key_whole(spark, monkeypatch):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("how", JOIN_TYPES)
+def test_hot_rows_meet_blocks(spark, monkeypatch, how):
+    """The join sees blocks, not single rows, of the right side; copies and sides of keys alone lose nothing."""
+    monkeypatch.setattr(gj, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(gj, "TASK_ROWS", 1000)
+    left, right = side(spark, 7, 90), side(spark, 8, 60, "int").union(side(spark, 8, 60, "int"))
+    for a, b in ((left, right), (left.select("`k.1`"), right), (left, right.select("`k.1`"))):
+        got, want = gj.grid_join(a, b, "k.1", how), table_join(a, b, "k.1", how)
+        assert rows(got) == rows(want)
+    plan = gj.grid_join(left, right, "k.1", how)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate inline(_rows" in plan
+
+
+def test_blocks_hold_each_row_once(spark, monkeypatch):
+    monkeypatch.setattr(gj, "BLOCK_ROWS", 10)
+    marks = {"_hot": F.lit(0), "_lines": F.lit(1), "_columns": F.lit(3)}
+    same = spark.range(0, 100, 1, 1).select(F.lit(None).cast("int").alias("k"), F.lit("x").alias("v"))
+    other = spark.range(0, 100, 1, 4).select(F.lit(None).cast("int").alias("k"), F.col("id").cast("string").alias("v"))
+    found = gj._blocks(same.union(other).withColumns(marks), "_column", "_columns", None, ["v"]).collect()
+    assert max(len(b._rows) for b in found) == 10 and {b._column for b in found} == {0, 1, 2}
+    assert sorted(r._r0 for b in found for r in b._rows) == sorted(["x"] * 100 + [str(k) for k in range(100)])
+
+
+def test_tasks_follow_the_pairs(spark):
+    left, right = spark.range(40_000).select(F.lit(1).alias("k"), "id"), spark.range(3_000).select(F.lit(1).alias("k"), "id")
+    found, _ = gj.hot_grid(left, right, ["k"])
+    assert gj._tasks(found) == 1 + 40_000 * 3_000 // gj.TASK_ROWS
+    assert gj.grid_join(left.limit(4000), right, "k").count() == 12_000_000
+
+
 def test_step(spark):
     tables = {"l": side(spark, 5, 40), "r": side(spark, 6, 30)}
     made = chain(tables, ("join", {"table": "r", "on": "k.1", "how": "outer", "grid": True}, "l"))
